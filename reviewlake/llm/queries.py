@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, mixing, packing, quality
+from reviewlake.llm import bpe, langid, mixing, packing, pii, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +23,26 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op6_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_report(table(spark, sf_dir, "documents"))
+
+
+def op7_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages"))
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op4_token_counts, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op9_secret_scan, op10_best_fit_packing)}
 
 ORACLE = {"op1_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL}
