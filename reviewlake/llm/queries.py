@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, langid, mixing, packing, pii, quality, secrets, warc
+from reviewlake.llm import bpe, jaccard, langid, mixing, neardup, packing, pii, quality, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents")).drop("reason")
 
@@ -35,6 +39,10 @@ def op7_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(table(spark, sf_dir, "pages"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +51,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op9_secret_scan, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op8_jaccard_join, op9_secret_scan, op10_best_fit_packing)}
 
-ORACLE = {"op1_mix_sources": mixing.SQL, "op3_quality_rules": quality.SQL}
+ORACLE = {"op1_mix_sources": mixing.SQL, "op2_embedding_near_dup": neardup.SQL, "op3_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL}
