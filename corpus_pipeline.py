@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlake.llm import mixing, packing, quality
+from reviewlake.llm import jaccard, mixing, packing, quality, secrets
 from reviewlake.session import materialize
 
 
@@ -13,6 +13,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.filter_quality(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by their kind and n_chars counted anew."""
+    clean = secrets.without_secrets(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_rows(docs)
@@ -23,7 +34,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("mixing", mix), ("packing", sequences)]
+STAGES = [("quality rules", keep_quality), ("n-gram Jaccard join", drop_near_copies), ("secret scans", redact_secrets), ("mixing", mix), ("packing", sequences)]
 
 #: Rules in Python, token ids and spans with statistics have no SQL form; tests hold the stages against plain Python.
 ORACLE_SQL = None
