@@ -1 +1,4 @@
+"""All registered queries over the given tables."""
 
+from reviewlake.plans import texts  # noqa: F401
+from reviewlake.plans.registry import ORACLE, QUERIES  # noqa: F401
