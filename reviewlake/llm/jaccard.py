@@ -259,18 +259,30 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
     wanted = materialize(info.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "jaccard-wanted")
 
     def mark(batches):
-        slots = SlotCounts(BLOOM_BITS)
+        bits = np.zeros(1 << BLOOM_BITS, bool)
         for batch in batches:
-            slots.add(places(batch.column(0).to_numpy(zero_copy_only=False)))
-        for block, data in slots.blocks():
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([data], pa.binary())], ["block", "data"])
+            bits[places(batch.column(0).to_numpy(zero_copy_only=False))] = True
+        for k, block in enumerate(bits.reshape(-1, 1 << BLOCK_BITS)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.packbits(block).tobytes()], pa.binary())], ["block", "data"])
+
+    def unite(batches):
+        bits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bits[block] = bits.get(block, 0) | np.frombuffer(data, np.uint8)
+        for block, x in bits.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([x.tobytes()], pa.binary())], ["block", "data"])
 
     def places(ids: np.ndarray) -> np.ndarray:
         h = mixed(mixed(ids.astype(np.int64).view(np.uint64)))
         return np.concatenate([(h >> np.uint64(s)).astype(np.uint32) & np.uint32((1 << BLOOM_BITS) - 1) for s in (0, 19, 38)])
 
-    bits = add_up(wanted.select("doc_id").mapInArrow(mark, "block long, data binary"), BLOOM_BITS) > 0
-    shared = spark.sparkContext.broadcast(np.packbits(bits))
+    parts = "block long, data binary"
+    bloom = np.zeros((1 << (BLOOM_BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    for row in wanted.select("doc_id").mapInArrow(mark, parts).repartition("block").mapInArrow(unite, parts).collect():  # 8 MB in all
+        bloom[row["block"]] = np.frombuffer(row["data"], np.uint8)
+    shared = spark.sparkContext.broadcast(bloom.reshape(-1))
 
     def make():
         hashes, bloom = WordHashes(), shared.value
