@@ -4,13 +4,13 @@ Two sets with Jaccard similarity t or more share an element of their prefixes, t
 any common order (Chaudhuri et al., 2006). The order here is rare first: documents with each n-gram are counted in a sketch of
 fixed size, which is broadcast, and n-grams stand by that count and then by hash; an n-gram shared by very many
 documents comes last in all of them and seldom joins. Pairs that meet on a prefix n-gram pass a length and a
-positional filter there, and a suffix filter on the counts of n-grams in sixteen ranges of the hash (Xiao et al.,
-2008); every pair left is verified once on the whole sets.
+positional filter there, and a suffix filter on the counts of n-grams in 256 ranges of the hash (Xiao et al., 2008);
+every pair left is verified once on the whole sets.
 
 Texts stay where they are; postings travel packed by hash range. Texts with equal sets are one node, by 64-bit
-signature. Up to GROUP documents on an n-gram are paired all. Larger groups are linked to one member first, then one
-member of each component to one of another, and at last all pairs whose members are in different components still,
-so a large group of near copies costs a pass and no pair of different components is left out. N-grams whose counts
+signature. Up to GROUP documents on an n-gram are paired all. Larger groups are linked along chains first, in several orders,
+and at last all their pairs whose members are in different components still are verified, so a large group of near
+copies costs a few passes and no pair of different components is left out. N-grams whose counts
 stand out get their postings dealt over salts.
 
 Defined results: null texts and texts without words have an empty set and link with nothing; fewer words than n are
@@ -19,10 +19,12 @@ one n-gram; rows that repeat a doc_id are documents of their own with the same i
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from reviewlake.llm.batches import map_rows
 from reviewlake.llm.graph import connected_components
@@ -31,14 +33,16 @@ from reviewlake.session import materialize, ship
 WORDS = 5
 PERCENT = 75
 GROUP = 4
+ORDERS = 4
+CHAIN_ROWS = 5000
 SLOT_BITS = 22
 BLOCK_BITS = 16
 BLOOM_BITS = 26
 HOT = 20_000
 BUCKET_ROWS = 400_000
-RANGES = 16
-CACHE_WORDS = 300_000
-FLUSH_ROWS = 1_000_000
+RANGE_BITS = 8
+CACHE_WORDS = 200_000
+FLUSH_ROWS = 500_000
 POSTING = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 #: Fixed odd multipliers of the rolling hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -81,6 +85,17 @@ def least_overlap(na, nb, percent: int = PERCENT):
     return -(-(na + nb) * percent // (100 + percent))
 
 
+def range_counts(grams: np.ndarray) -> bytes:
+    """N-grams in each range of the hash, one byte each; 255 stands for any larger number too."""
+    return np.minimum(np.bincount((grams >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=1 << RANGE_BITS), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n: int) -> int:
+    """Most elements that two sets can share by their range counts; n where a count is cut off."""
+    low = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+    return n if low.max() == 255 else int(low.sum())
+
+
 class SlotCounts:
     """Counts in 2**bits slots; emitted and added up in blocks of 2**BLOCK_BITS."""
 
@@ -101,22 +116,23 @@ class SlotCounts:
             self.held, self.n = [], 0
 
     def blocks(self):
+        """(block, counts in the smallest type that holds them, compressed)."""
         self.flush()
-        for k, block in enumerate(self.counts.reshape(-1, 1 << min(BLOCK_BITS, len(self.counts).bit_length() - 1))):
-            if (at := np.flatnonzero(block)).size:
-                yield k, at.astype("<u4").tobytes() + block[at].astype("<u4").tobytes()
+        for k, block in enumerate(self.counts.reshape(-1, 1 << BLOCK_BITS)):
+            if top := int(block.max()):
+                kind = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4"
+                yield k, kind[2].encode() + zlib.compress(block.astype(kind).tobytes(), 1)
 
 
 def add_up(parts: DataFrame, bits: int) -> np.ndarray:
     """Sum (block, data) rows of many tasks; the result has 2**bits slots whatever the input."""
-    size = 1 << min(BLOCK_BITS, bits)
+    size = 1 << BLOCK_BITS
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at, n = np.frombuffer(data, "<u4").reshape(2, -1)
-                sums.setdefault(block, np.zeros(size, np.int64))[at] += n
+                sums.setdefault(block, np.zeros(size, np.int64))[:] += np.frombuffer(zlib.decompress(data[1:]), f"<u{data[:1].decode()}")
         for block, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], ["block", "data"])
 
@@ -131,7 +147,7 @@ def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, sig, ranges) of every document, and the sketch of n-gram counts, in one pass over the texts."""
     ship(docs.sparkSession)
     names = ["doc_id", "n", "sig", "ranges", "block", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
     batch_of = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches):
@@ -143,13 +159,13 @@ def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 slots.add((grams >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
                 n.append(len(grams))
                 sig.append(signature(grams))
-                ranges.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES))
+                ranges.append(range_counts(grams))
             none = [None] * len(n)
             yield batch_of(batch.column(0), n, sig, ranges, none, none)
         for block, data in slots.blocks():
             yield batch_of([None], [None], [None], [None], [block], [data])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long, ranges array<int>, block long, data binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long, ranges binary, block long, data binary")
     rows = materialize(rows, "jaccard-scan")
     return rows.where("block is null").select("doc_id", "n", "sig", "ranges"), add_up(rows.where("block is not null").select("block", "data"), SLOT_BITS)
 
@@ -211,10 +227,13 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
 
 
 def may_link(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Length and positional filters for pairs of postings of one n-gram."""
+    """Length and positional filters for pairs of postings of one n-gram.
+
+    At the first n-gram of the order that two sets share, all they share lies from there on. A pair that links passes
+    there, so a pair may be left out wherever the rests are too short.
+    """
     na, nb, i, j = (x.astype(np.int64) for x in (p["n"], q["n"], p["pos"], q["pos"]))
-    most = np.minimum(i, j) + 1 + np.minimum(na - i, nb - j) - 1
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most >= least_overlap(na, nb, percent))
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - i, nb - j) >= least_overlap(na, nb, percent))
 
 
 def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,10 +254,13 @@ def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
             i = np.flatnonzero((size <= GROUP) & (at + d < start + size))
             left.append(i)
             right.append(i + d)
-        i = np.flatnonzero((size > GROUP) & (at > start))
-        left, right = np.concatenate([*left, start[i]]), np.concatenate([*right, i])
+        # a chain through each large group, in one of ORDERS orders, so that a document meets several others
+        i = np.flatnonzero(size > GROUP)
+        i = i[np.lexsort((mixed(rows["sig"][i].view(np.uint64) + rows["key"][i] % np.uint64(ORDERS)), rows["key"][i]))]
+        ends = rows["key"][i[1:]] == rows["key"][i[:-1]]
+        left, right = np.concatenate([*left, i[:-1][ends]]), np.concatenate([*right, i[1:][ends]])
         ok = may_link(rows[left], rows[right], percent)
-        pairs = np.unique(np.stack([rows["sig"][left[ok]], rows["sig"][right[ok]]], axis=1), axis=0)
+        pairs = np.unique(np.sort(np.stack([rows["sig"][left[ok]], rows["sig"][right[ok]]], axis=1), axis=1), axis=0)
         big = rows[(size > GROUP) | hot]
         none = lambda n, kind: pa.nulls(n, kind)
         cols = {
@@ -284,34 +306,43 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
         bloom[row["block"]] = np.frombuffer(row["data"], np.uint8)
     shared = spark.sparkContext.broadcast(bloom.reshape(-1))
 
-    def make():
-        hashes, bloom = WordHashes(), shared.value
+    def sets(batches):
+        hashes, bits = WordHashes(), shared.value
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+            at = places(ids)
+            keep = (bits[at >> 3] >> (7 - (at & 7)) & 1).reshape(3, -1).all(axis=0) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for text in batch.column(1).filter(pa.array(keep)).to_pylist():
+                if len(grams := shingle_set(text, hashes)):
+                    yield pa.RecordBatch.from_arrays([pa.array([signature(grams)]), pa.array([grams.astype("<u8").tobytes()], pa.binary())], ["sig", "grams"])
+
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "sig long, grams binary")
+    # of a set that several documents have, the sets meet one by one; nodes are distinct
+    return materialize(found.join(nodes, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
+
+
+def suffix_filter(pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the pairs whose sizes and range counts allow a link."""
+    nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    by_sig = materialize(info.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges")), "jaccard-by-sig")
+    side = lambda c: by_sig.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
 
-        def one(doc_id, text):
-            if doc_id is not None:
-                at = places(np.array([doc_id]))
-                if not (bloom[at >> 3] >> (7 - (at & 7)) & 1).all():
-                    return
-            grams = shingle_set(text, hashes)
-            if len(grams):
-                yield signature(grams), grams.astype("<u8").tobytes()
+    def make():
+        def one(a, b, n_a, n_b, r_a, r_b):
+            if 100 * min(n_a, n_b) >= percent * max(n_a, n_b) and most_shared(r_a, r_b, min(n_a, n_b)) >= least_overlap(n_a, n_b, percent):
+                yield a, b
 
         return one
 
-    found = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "sig long, grams binary")
-    return materialize(found.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams")), "jaccard-sets")
-
-
-def suffix_bound(x: Column, y: Column) -> Column:
-    """Most elements that two sets can share, by their counts in ranges."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v).cast("long")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b")
+    return materialize(map_rows(both, make, "a long, b long"), "jaccard-pairs")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, by_sig: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs that link, after length and suffix filters, on the whole sets."""
-    side = lambda c: by_sig.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    left = pairs.join(side("a"), "a").join(side("b"), "b").where(suffix_bound(F.col("r_a"), F.col("r_b")) >= need).select("a", "b")
+def verify(docs: DataFrame, pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of the pairs that link: suffix filter, then the whole sets."""
+    left = suffix_filter(pairs, info, percent)
+    nodes = materialize(left.select(F.col("a").alias("sig")).union(left.select("b")).distinct(), "jaccard-nodes")
+    sets = sets_of(docs, nodes, info)
     both = left.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("g_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("g_b")), "b")
 
     def make():
@@ -326,52 +357,56 @@ def verify(pairs: DataFrame, sets: DataFrame, by_sig: DataFrame, percent: int =
     return map_rows(both.select("a", "b", "g_a", "g_b"), make, "a long, b long")
 
 
-def links(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(info, links): doc_id, n, sig of every document; links (a, b) between signatures that make its components."""
+def components(links: DataFrame) -> DataFrame:
+    return connected_components(links).select(F.col("node").alias("sig"), "component")
+
+
+def stars(part: DataFrame) -> DataFrame:
+    return part.where("sig <> component").select(F.col("component").alias("a"), F.col("sig").alias("b"))
+
+
+def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """(info, part): doc_id, n and sig of every document; the component of every signature that has a link."""
     info, sketch = scan(docs)
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, total * (100 - percent) // 100 // BUCKET_ROWS)
     met = materialize(meet(postings(docs, sketch, buckets, percent), percent), "jaccard-met")
     pairs = materialize(met.where("b is not null").select("a", "b").distinct(), "jaccard-pairs")
     large = met.where("key is not null").select("key", F.col("a").alias("sig"), "n", "pos")
-    nodes = materialize(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).union(large.select("sig")).distinct(), "jaccard-nodes")
-    by_sig = info.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges"))
-    by_sig = materialize(by_sig, "jaccard-by-sig")
-    sets = sets_of(docs, nodes, info)
-    found = materialize(verify(pairs, sets, by_sig, percent), "jaccard-links")
+    found = materialize(verify(docs, pairs, info, percent), "jaccard-links")
 
     def labelled() -> DataFrame:
-        part = connected_components(found).select(F.col("node").alias("sig"), "component")
         rows = large.join(part, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
         split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         return materialize(rows.join(split, "key", "left_semi"), "jaccard-large")
 
-    # one member of each component of a group against the first one's
+    part = components(found)
     rows = labelled()
     if not rows.isEmpty():
-        one = rows.groupBy("key", "component").agg(F.min("sig").alias("b"))
-        first = one.groupBy("key").agg(F.min("b").alias("a"))
-        star = one.join(first, "key").where("a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = verify(star, sets, by_sig, percent)
-        found = materialize(found.unionByName(more), "jaccard-links")
-        # all pairs of members of different components
+        # once more chains, in other orders, where neighbours are in different components
+        most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
+        chain = W.partitionBy("key", F.pmod(F.xxhash64("sig"), F.lit(-(-most // CHAIN_ROWS)))).orderBy(F.xxhash64(F.lit(1), F.pmod("key", F.lit(8 * ORDERS)), "sig"))
+        after = lambda c: F.lead(c).over(chain)
+        near = rows.select("component", F.col("sig").alias("x"), after("sig").alias("y"), after("component").alias("other")).where("component <> other")
+        near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        part = components(stars(part).unionByName(verify(docs, near, info, percent)))
+        # all pairs of members that are in different components still
         rows = labelled()
     if not rows.isEmpty():
         x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "component")]) for s in "ab")
         small, big = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-        most = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
         on = (x["key"] == y["key"]) & (F.col("sig_a") < F.col("sig_b")) & (F.col("component_a") != F.col("component_b"))
         rest = x.join(y, on & (100 * small >= percent * big) & (most >= need)).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
         rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
-        found = materialize(found.unionByName(verify(rest, sets, by_sig, percent)), "jaccard-links")
-    return info, found
+        part = components(stars(part).unionByName(verify(docs, rest, info, percent)))
+    return info, part
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    info, found = links(docs, percent)
-    part = connected_components(found).select(F.col("node").alias("sig"), "component")
+    info, part = joined(docs, percent)
     class_ = F.when(F.col("n") > 0, F.coalesce("component", "sig"))
     rows = materialize(info.join(part, "sig", "left").select("doc_id", "n", class_.alias("class")), "jaccard-classes")
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
