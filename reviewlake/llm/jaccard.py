@@ -175,7 +175,7 @@ def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
     mean = sketch.mean()
     ranks = np.minimum(255, 8 * np.log2(sketch.astype(np.float64) + 1)).astype(np.uint8)
     hot = np.flatnonzero(sketch > HOT + mean + 6 * np.sqrt(mean))
-    return ranks, {int(s): int(-(-sketch[s] // (HOT // 2))) for s in hot}
+    return ranks, {int(s): -(-int(sketch[s]) // (HOT // 2)) for s in hot}
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
