@@ -34,6 +34,7 @@ WORDS = 5
 PERCENT = 75
 GROUP = 4
 ORDERS = 4
+AHEAD = 4
 CHAIN_ROWS = 5000
 SLOT_BITS = 22
 BLOCK_BITS = 16
@@ -383,11 +384,12 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     part = components(found)
     rows = labelled()
     if not rows.isEmpty():
-        # once more chains, in other orders, where neighbours are in different components
+        # once more chains, in more orders and AHEAD members on, where those are in different components
         most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
         chain = W.partitionBy("key", F.pmod(F.xxhash64("sig"), F.lit(-(-most // CHAIN_ROWS)))).orderBy(F.xxhash64(F.lit(1), F.pmod("key", F.lit(8 * ORDERS)), "sig"))
-        after = lambda c: F.lead(c).over(chain)
-        near = rows.select("component", F.col("sig").alias("x"), after("sig").alias("y"), after("component").alias("other")).where("component <> other")
+        next_ones = F.array(*[F.struct(F.lead("sig", k).over(chain).alias("y"), F.lead("component", k).over(chain).alias("other")) for k in range(1, AHEAD + 1)])
+        near = rows.select(F.col("sig").alias("x"), "component", next_ones.alias("next"))
+        near = near.select("x", F.explode(F.filter("next", lambda m: m["other"] != F.col("component"))).alias("m")).select("x", "m.y")
         near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
         part = components(stars(part).unionByName(verify(docs, near, info, percent)))
         # all pairs of members that are in different components still
