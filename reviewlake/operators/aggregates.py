@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from reviewlake.session import ship
+
 STATS = ("n", "mean", "median", "min", "max", "stdev")
 
 
@@ -57,13 +61,18 @@ def by_dimension(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
 def summarize_vectors(df: DataFrame, key: str, vec: str, mode: str = "mean_std") -> DataFrame:
     """(key, summary): mean, then population deviation, then min and max of each dimension, as the mode says.
 
-    Sums by (key, dimension) are partial, so an entity of any size spreads over all tasks.
+    One partial aggregate over whole vectors: an entity of any size spreads over all tasks, and a vector stays one row.
     """
-    cols = {"mean": [F.avg("x")], "mean_std": [F.avg("x"), F.stddev_pop("x")], "all": [F.avg("x"), F.stddev_pop("x"), F.min("x"), F.max("x")]}[mode]
-    parts = by_dimension(df, [key], vec).groupBy(key, "dim").agg(*[c.alias(f"s{k}") for k, c in enumerate(cols)])
-    ordered = F.array_sort(F.collect_list(F.struct("dim", *[f"s{k}" for k in range(len(cols))])))
-    rows = parts.groupBy(key).agg(ordered.alias("o"))
-    return rows.select(key, F.concat(*[_pick("o", f"s{k}") for k in range(len(cols))]).alias("summary"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    parts = Summarizer.metrics("mean", "std", "min", "max", "count").summary(F.col("_v"))
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key), array_to_vector(F.col(vec)).alias("_v")).groupBy(key).agg(parts.alias("s"))
+    n = F.col("s.count")
+    std = F.transform(vector_to_array("s.std"), lambda x: x * F.sqrt((n - 1) / n))  # the sample deviation to the population's
+    cols = {"mean": vector_to_array("s.mean"), "std": std, "min": vector_to_array("s.min"), "max": vector_to_array("s.max")}
+    names = {"mean": ["mean"], "mean_std": ["mean", "std"], "all": list(cols)}[mode]
+    return rows.select(key, F.concat(*[cols[c] for c in names]).alias("summary"))
 
 
 def _pick(col: str, field: str) -> Column:
@@ -91,10 +100,25 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, vec: str) -> DataFrame:
 
 
 def covariance(df: DataFrame, vec: str) -> DataFrame:
-    """(i, j, c), i <= j: population covariance of dimensions, from partial sums of products."""
-    x = F.posexplode(vec).alias("i", "x")
-    pairs = df.select(vec, x).select("i", "x", F.posexplode(vec).alias("j", "y")).where("i <= j")
-    return pairs.groupBy("i", "j").agg(F.covar_pop("x", "y").alias("c"))
+    """(i, j, c), i <= j: population covariance of dimensions. A task adds up one matrix of products; those are summed by cell."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_numpy())])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "sums": list(total)})
+
+    parts = df.where(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("x")).mapInPandas(run, "i long, sums array<double>")
+    cells = parts.select("i", F.posexplode("sums").alias("j", "s")).where("i <= j").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    first = cells.where("i = 0")
+    mean = first.select(F.col("j").alias("k"), (F.col("s") / F.max(F.when(F.col("j") == 0, F.col("s"))).over(W.partitionBy("i"))).alias("m"))
+    n = first.where("j = 0").select(F.col("s").alias("n"))
+    rows = cells.where("i > 0").join(mean.select(F.col("k").alias("i"), F.col("m").alias("mi")), "i").join(mean.select(F.col("k").alias("j"), F.col("m").alias("mj")), "j")
+    return rows.crossJoin(F.broadcast(n)).select((F.col("i") - 1).alias("i"), (F.col("j") - 1).alias("j"), (F.col("s") / F.col("n") - F.col("mi") * F.col("mj")).alias("c"))  # n is one row
 
 
 def participation_ratio(df: DataFrame, vec: str) -> DataFrame:
