@@ -16,23 +16,26 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.llm.batches import map_rows
-from reviewlake.session import materialize
+from reviewlake.session import materialize, ship
 
 VOCABULARY = "piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]{1,40}")
 START = "▁"
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 1500
 ROUNDS = 2
 SMOOTHING = 200.0
 UNKNOWN = 1e-8
 CACHE_WORDS = 300_000
+GROUP_WORDS = 5000
 FOLDS = 5
 
 
@@ -48,50 +51,64 @@ def vocabulary(path: str) -> list[str]:
 
 
 class PieceModel:
-    """Piece probabilities, one column for each language."""
+    """Piece probabilities, one column for each language. Words of equal length go through the passes together."""
 
     def __init__(self, pieces: list[str], probabilities: np.ndarray):
-        self.rows = dict(zip(pieces, probabilities))
+        self.at = {p: i for i, p in enumerate(pieces)}
+        self.n, self.languages = probabilities.shape
+        # two more rows: what is no piece, and a single character that is none
+        self.table = np.vstack([probabilities, np.zeros(self.languages), np.full(self.languages, UNKNOWN)])
         self.longest = max(map(len, pieces), default=1)
-        self.languages = probabilities.shape[1]
 
-    def arcs(self, word: str):
-        """(start, end, piece, probabilities) of all pieces in a word, by start; single characters at least."""
-        n = len(word)
+    def arcs(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
+        """(start, end, rows of the table) for all places of a piece in words of equal length, by start."""
+        out, n = [], len(words[0])
         for i in range(n):
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                p = self.rows.get(word[i:j])
-                if p is not None:
-                    yield i, j, word[i:j], p
-                elif j == i + 1:
-                    yield i, j, None, UNKNOWN
-
-    def log_probability(self, word: str) -> np.ndarray:
-        """Log of the sum over all segmentations, for each language."""
-        word = START + word
-        alpha = np.zeros((len(word) + 1, self.languages))
-        alpha[0] = 1
-        for i, j, _, p in self.arcs(word):
-            alpha[j] += alpha[i] * p
-        return np.log(np.maximum(alpha[-1], 1e-300))
-
-    def expected_uses(self, word: str, language: int) -> dict[str, float]:
-        """Expected uses of each piece in a word of a language."""
-        word = START + word
-        arcs = [(i, j, s, p if s is None else float(p[language])) for i, j, s, p in self.arcs(word)]
-        n = len(word)
-        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        for i, j, _, p in arcs:
-            alpha[j] += alpha[i] * p
-        for i, j, _, p in reversed(arcs):
-            beta[i] += beta[j] * p
-        out: dict[str, float] = defaultdict(float)
-        if alpha[n] > 0:
-            for i, j, s, p in arcs:
-                if s is not None:
-                    out[s] += alpha[i] * p * beta[j] / alpha[n]
+                none = self.n + (j == i + 1)
+                rows = np.fromiter((self.at.get(w[i:j], none) for w in words), np.int64, len(words))
+                if j == i + 1 or (rows != self.n).any():
+                    out.append((i, j, rows))
         return out
 
+    def groups(self, words: list[str]):
+        """Places of words of equal length, at most GROUP_WORDS at once, and the words with their start mark."""
+        by: dict[int, list[int]] = defaultdict(list)
+        for k, w in enumerate(words):
+            by[len(w)].append(k)
+        for places in by.values():
+            for at in range(0, len(places), GROUP_WORDS):
+                some = places[at : at + GROUP_WORDS]
+                yield some, [START + words[k] for k in some]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Log of the sum over all segmentations, for each word and language."""
+        out = np.zeros((len(words), self.languages))
+        for places, group in self.groups(words):
+            alpha = np.zeros((len(group[0]) + 1, len(group), self.languages))
+            alpha[0] = 1
+            for i, j, rows in self.arcs(group):
+                alpha[j] += alpha[i] * self.table[rows]
+            out[places] = np.log(np.maximum(alpha[-1], 1e-300))
+        return out
+
+    def expected_uses(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
+        """Expected uses of each piece in words of a language, each as often as it counts."""
+        out = np.zeros(self.n + 2)
+        p = self.table[:, language]
+        for places, group in self.groups(words):
+            arcs, n = self.arcs(group), len(group[0])
+            alpha, beta = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
+            alpha[0], beta[n] = 1, 1
+            for i, j, rows in arcs:
+                alpha[j] += alpha[i] * p[rows]
+            for i, j, rows in reversed(arcs):
+                beta[i] += beta[j] * p[rows]
+            share = counts[places] / np.maximum(alpha[n], 1e-300)
+            for i, j, rows in arcs:
+                out += np.bincount(rows, alpha[i] * p[rows] * beta[j] * share, self.n + 2)
+        return out[: self.n]
+
 
 def sample_labelled(docs: DataFrame, train_docs: int) -> DataFrame:
     """(lang, text) of labelled documents outside the held-out fold, about train_docs of each language by hash of the id."""
@@ -119,24 +136,27 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pat
     if not languages:
         return [], None
     pieces = vocabulary(path or public_tokenizers.path(VOCABULARY))
-    at = {p: i for i, p in enumerate(pieces)}
     column = {lang: k for k, lang in enumerate(languages)}
     probabilities = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
     for _ in range(rounds):
         model = words.sparkSession.sparkContext.broadcast(PieceModel(pieces, probabilities))
 
-        def uses(model=model):
-            def one(lang, word, n):
-                for piece, x in model.value.expected_uses(word, column[lang]).items():
-                    if x > 1e-6:
-                        yield lang, piece, x * n
-
-            return one
+        def uses(batches, model=model):
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                langs, texts, n = (batch.column(k).to_pylist() for k in range(3))
+                for lang in dict.fromkeys(langs):
+                    own = [k for k, x in enumerate(langs) if x == lang]
+                    found = model.value.expected_uses([texts[k] for k in own], np.array([n[k] for k in own], float), column[lang])
+                    total[lang] = total.get(lang, 0) + found
+            for lang, x in total.items():
+                at = np.flatnonzero(x > 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array([column[lang]] * len(at)), pa.array(at), pa.array(x[at])], ["lang", "piece", "x"])
 
         counts = np.zeros_like(probabilities)
-        summed = map_rows(words, uses, "lang string, piece string, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
+        summed = words.mapInArrow(uses, "lang long, piece long, x double").groupBy("lang", "piece").agg(F.sum("x").alias("x"))
         for r in summed.collect():  # at most pieces x languages rows
-            counts[at[r["piece"]], column[r["lang"]]] = round(r["x"], 6)
+            counts[r["piece"], r["lang"]] = round(r["x"], 6)
         pooled = counts.sum(axis=1) + 0.01
         counts += SMOOTHING * (pooled / pooled.sum())[:, None]
         probabilities = counts / counts.sum(axis=0)
@@ -144,47 +164,45 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pat
 
 
 class Scorer:
-    """text -> (language, its posterior probability), with a bounded table of words' log probabilities."""
+    """texts -> (language, its posterior probability), with a bounded table of words' log probabilities."""
 
     def __init__(self, languages: list[str], model: PieceModel):
         self.languages, self.model = languages, model
         self.row: dict[str, int] = {}
-        self.table = np.zeros((4096, len(languages)))
-
-    def index(self, word: str) -> int:
-        if (k := self.row.get(word)) is None:
-            k = self.row[word] = len(self.row)
-            if k == len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[k] = self.model.log_probability(word)
-        return k
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall((text or "").lower())
+        self.table = np.zeros((0, len(languages)))
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [LETTERS.findall((t or "").lower()) for t in texts]
+        if len(self.row) > CACHE_WORDS:
+            self.row, self.table = {}, self.table[:0]
+        new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.row]
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
+            self.table = np.concatenate([self.table, self.model.log_probabilities(new)])
+        return [self.best(words) for words in found]
+
+    def best(self, words: list[str]) -> tuple[str, float]:
         if not words:
             return "und", 0.0
-        if len(self.row) > CACHE_WORDS:
-            self.row.clear()
-        at = np.fromiter(map(self.index, words), np.int64, len(words))
-        total = self.table[at].sum(axis=0)
-        best = int(total.argmax())
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        total = self.table[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0)
+        k = int(total.argmax())
+        return self.languages[k], float(1.0 / np.exp(total - total[k]).sum())
 
 
 def identify(docs: DataFrame, languages: list[str], model: PieceModel | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; only the text is an input."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((languages, model))
 
-    def make():
-        scorer = Scorer(*shared.value) if shared.value[1] else lambda text: ("und", 0.0)
-
-        def one(doc_id, held, text):
-            yield doc_id, held, *scorer(text)
-
-        return one
+    def run(batches):
+        score = Scorer(*shared.value) if shared.value[1] else lambda texts: [("und", 0.0)] * len(texts)
+        for batch in batches:
+            out = score(batch.column(2).to_pylist())
+            cols = [batch.column(0), batch.column(1), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return map_rows(rows, make, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str | None = None) -> DataFrame:

@@ -188,6 +188,6 @@ def test_forward_sum_is_over_all_segmentations():
     def ways(s):
         return 1.0 if not s else sum(at[s[:k]] * ways(s[k:]) for k in range(1, len(s) + 1) if s[:k] in at)
 
-    assert abs(np.exp(model.log_probability("abab")[0]) - ways("▁abab")) < 1e-15
-    uses = model.expected_uses("abab", 0)
-    assert abs(sum(len(k) * n for k, n in uses.items()) - 5) < 1e-9
+    assert abs(np.exp(model.log_probabilities(["abab", "ba"])[0, 0]) - ways("▁abab")) < 1e-15
+    uses = model.expected_uses(["abab"], np.array([2.0]), 0)
+    assert abs(sum(len(k) * n for k, n in zip(pieces, uses)) - 10) < 1e-9
