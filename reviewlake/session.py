@@ -15,8 +15,8 @@ CHECKPOINT = "spark.checkpoint.dir"
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where it lies at the same path as on the driver.
 
-    A cluster that installs the package on its machines needs nothing of this. Batches sent to Python are
-    bounded in bytes as well as rows, because a few texts are thousands of times longer than the median.
+    A cluster that installs the package on its machines needs nothing of this. Batches sent to Python are kept
+    to 1000 rows, because a few texts are thousands of times longer than the median; Spark bounds their bytes too.
     """
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
