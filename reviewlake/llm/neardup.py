@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from reviewlake.llm.batches import map_rows
@@ -29,6 +30,7 @@ RECALL = 0.99
 MIN_COUNT = 2
 CELL_ROWS = 4
 BLOCK_ROWS = 1000
+EMIT_PAIRS = 50_000
 WINDOW_SIGMAS = 2.0
 SEED = 20240101
 
@@ -74,6 +76,26 @@ def _colliding(members: np.ndarray, salts: np.ndarray, lines: np.ndarray, width:
             yield np.minimum(members[i], b), np.maximum(members[i], b)
 
 
+def runs_of(batches, cols: list[str]):
+    """(values of cols, rows) of each run of rows that are equal in cols, across batches."""
+    held, key = [], None
+    for batch in batches:
+        ids = batch[cols].to_numpy()
+        cuts = (np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist() if len(ids) else []
+        for lo, hi in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
+            if (this := tuple(ids[lo])) != key:
+                if held:
+                    yield key, pd.concat(held)
+                held, key = [], this
+            held.append(batch.iloc[lo:hi])
+    if held:
+        yield key, pd.concat(held)
+
+
+def _frame(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[k] for p in pairs]) for k, c in enumerate("ab")})
+
+
 def candidate_pairs(reps: DataFrame, n: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL, min_count: int = MIN_COUNT) -> DataFrame:
     """(a, b) of representatives that collide in at least min_count tables."""
     spark = reps.sparkSession
@@ -101,48 +123,17 @@ def candidate_pairs(reps: DataFrame, n: int, dim: int, threshold: float = THRESH
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     rows = rows.withColumn("lo", F.least("salt", "other")).withColumn("hi", F.greatest("salt", "other"))
 
-    import pandas as pd
-
     def collide(batches):
-        held, key = [], None
-
-        def pairs():
-            block = pd.concat(held) if len(held) > 1 else held[0]
-            _, _, lo, hi = key
-            for a, b in _colliding(block.rep.to_numpy(), block.salt.to_numpy(), block.line.to_numpy(), width, lo == hi):
-                yield a, b
-
-        def emit():
-            some, size = [], 0
-            for a, b in pairs():
-                some.append((a, b))
-                size += len(a)
-                if size > 50_000:
-                    yield pd.DataFrame({"a": np.concatenate([x for x, _ in some]), "b": np.concatenate([x for _, x in some])})
+        some, size = [], 0
+        for (_, _, lo, hi), block in runs_of(batches, ["t", "cell", "lo", "hi"]):
+            for pair in _colliding(block.rep.to_numpy(), block.salt.to_numpy(), block.line.to_numpy(), width, lo == hi):
+                some.append(pair)
+                size += len(pair[0])
+                if size > EMIT_PAIRS:
+                    yield _frame(some)
                     some, size = [], 0
-            if some:
-                yield pd.DataFrame({"a": np.concatenate([x for x, _ in some]), "b": np.concatenate([x for _, x in some])})
-
-        ready, n_ready = [], 0
-        for batch in batches:
-            ids = batch[["t", "cell", "lo", "hi"]].to_numpy()
-            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(batch)]):
-                this = tuple(ids[lo])
-                if this != key:
-                    if key is not None and sum(map(len, held)) > 1:
-                        for out in emit():
-                            ready.append(out)
-                            n_ready += len(out)
-                            if n_ready > 20_000:
-                                yield pd.concat(ready)
-                                ready, n_ready = [], 0
-                    held, key = [], this
-                held.append(batch.iloc[lo:hi])
-        if key is not None and sum(map(len, held)) > 1:
-            ready += list(emit())
-        if ready:
-            yield pd.concat(ready)
+        if some:
+            yield _frame(some)
 
     ship(spark)
     together = rows.select("t", "cell", "lo", "hi", "salt", "rep", "line").repartition("t", "cell", "lo", "hi").sortWithinPartitions("t", "cell", "lo", "hi")
