@@ -36,6 +36,7 @@ SMOOTHING = 200.0
 UNKNOWN = 1e-8
 CACHE_WORDS = 300_000
 GROUP_WORDS = 5000
+HELD_WORDS = 50_000
 FOLDS = 5
 
 
@@ -105,8 +106,8 @@ class PieceModel:
             for i, j, rows in reversed(arcs):
                 beta[i] += beta[j] * p[rows]
             share = counts[places] / np.maximum(alpha[n], 1e-300)
-            for i, j, rows in arcs:
-                out += np.bincount(rows, alpha[i] * p[rows] * beta[j] * share, self.n + 2)
+            uses = [alpha[i] * p[rows] * beta[j] * share for i, j, rows in arcs]
+            out += np.bincount(np.concatenate([rows for _, _, rows in arcs]), np.concatenate(uses), self.n + 2)
         return out[: self.n]
 
 
@@ -143,12 +144,21 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pat
 
         def uses(batches, model=model):
             total: dict[str, np.ndarray] = {}
+            held: dict[str, tuple[list[str], list[int]]] = {}
+
+            def add(lang):
+                words, n = held.pop(lang)
+                total[lang] = total.get(lang, 0) + model.value.expected_uses(words, np.array(n, float), column[lang])
+
             for batch in batches:
-                langs, texts, n = (batch.column(k).to_pylist() for k in range(3))
-                for lang in dict.fromkeys(langs):
-                    own = [k for k, x in enumerate(langs) if x == lang]
-                    found = model.value.expected_uses([texts[k] for k in own], np.array([n[k] for k in own], float), column[lang])
-                    total[lang] = total.get(lang, 0) + found
+                for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    own = held.setdefault(lang, ([], []))
+                    own[0].append(word)
+                    own[1].append(n)
+                    if len(own[0]) >= HELD_WORDS:
+                        add(lang)
+            for lang in list(held):
+                add(lang)
             for lang, x in total.items():
                 at = np.flatnonzero(x > 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array([column[lang]] * len(at)), pa.array(at), pa.array(x[at])], ["lang", "piece", "x"])
