@@ -4,7 +4,8 @@ Addresses and numbers are found by patterns; each value is a protected entity. A
 discloses it when seeing the term tells almost as much as seeing the entity: with document counts over the whole
 corpus, pointwise mutual information of at least ALPHA times the entity's information content (Sanchez and Batet,
 2016). Such a term must stand beside the entity in SUPPORT documents and as many different surroundings, so that
-copies of one passage prove nothing. The terms become spans too; sanitising replaces spans by their kind.
+copies of one passage prove nothing. Such a term becomes a span wherever it stands, in documents without the entity
+too, except inside an entity; sanitising replaces spans by their kind.
 
 All of this runs in built-in functions. Defined results: null and empty texts have no spans; repeated rows get equal
 results, and count as documents of their own; an empty table gives an empty table.
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlake.llm.spans import SPANS, count_kind, find, overlaps, redacted, spelled, with_matches
+from reviewlake.llm.spans import SPANS, blanked, count_kind, find, redacted, spelled, with_matches
 from reviewlake.session import materialize
 
 ALPHA = 0.9
@@ -54,32 +55,31 @@ NAMES = [*KINDS, "term"]
 
 
 def _surroundings(text: Column, s: Column) -> Column:
-    """Terms in the REACH characters to each side of a span in its line, with their places; words cut off are left out."""
+    """Terms in the REACH characters to each side of a span in its line; words cut off are left out."""
     left = F.regexp_extract(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))), r"[^\n]*+$", 0)
     right = F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(REACH)), r"^[^\n]*+", 0)
     before = F.filter(find(left, TERM), lambda t: (t["start"] > 0) | (F.length(left) < REACH))
     after = F.filter(find(right, TERM), lambda t: (t["end"] < F.length(right)) | (F.length(right) < REACH))
-    move = lambda terms, by: F.transform(terms, lambda t: F.struct((t["start"] + by).alias("start"), (t["end"] + by).alias("end"), F.lower(t["value"]).alias("value")))
     return F.struct(
         s["kind"].alias("kind"),
         F.when(s["kind"].isin(2, 3), digits(s["value"])).otherwise(F.lower(s["value"])).alias("entity"),
         F.xxhash64(left, right).alias("around"),
-        F.concat(move(before, s["start"] - F.length(left)), move(after, s["end"])).alias("terms"),
+        F.transform(F.concat(before, after), lambda t: F.lower(t["value"])).alias("terms"),
     )
 
 
 def find_entities(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans, and the terms around each."""
+    """row, doc_id, base spans, the terms around each, and the text with the spans blanked."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = with_matches(rows, "text", KINDS, "base")
     terms = F.when(F.size("base") > 0, F.transform("base", lambda s: _surroundings(F.col("text"), s)))
-    return materialize(found.select("row", "doc_id", "base", terms.alias("mentions")), "pii-found")
+    return materialize(found.select("row", "doc_id", "base", terms.alias("mentions"), blanked(F.col("text"), F.col("base")).alias("open")), "pii-found")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """(kind, entity, term, disclosure) of the terms that reveal an entity."""
     mentions = found.where("mentions is not null").select("row", F.explode("mentions").alias("m"))
-    beside = mentions.select("row", "m.kind", "m.entity", "m.around", F.explode("m.terms.value").alias("term"))
+    beside = mentions.select("row", "m.kind", "m.entity", "m.around", F.explode("m.terms").alias("term"))
     key = ["kind", "entity", "term"]
     seen = beside.groupBy(*key, "around").agg(F.min("row").alias("row")).groupBy(*key).agg(F.count("*").alias("places")).where(F.col("places") >= support)
     both = beside.select(*key, "row").distinct().groupBy(*key).agg(F.count("*").alias("n_both"))
@@ -104,15 +104,14 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, su
 def find_private(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
     """row, doc_id, base (spans of the patterns) and spans (those and disclosing terms)."""
     found = find_entities(docs)
-    reveals = disclosing_terms(docs, found, alpha, support).drop("disclosure")
-    mentions = found.where("mentions is not null").select("row", "base", F.explode("mentions").alias("m"))
-    terms = mentions.select("row", "base", "m.kind", "m.entity", F.explode("m.terms").alias("t"))
-    terms = terms.where(~overlaps(F.col("base"), F.col("t.start"), F.col("t.end"))).select("row", "kind", "entity", F.col("t.value").alias("term"), "t.start", "t.end")
-    hits = terms.join(reveals, ["kind", "entity", "term"], "left_semi")
-    span = F.struct("start", F.lit(NAMES.index("term")).alias("kind"), "end", F.col("term").alias("value"))
-    extra = hits.groupBy("row").agg(F.collect_set(span).cast(SPANS).alias("extra"))
+    reveals = disclosing_terms(docs, found, alpha, support).select("term").distinct()
+    words = found.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("open", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
+    present = materialize(words.join(reveals, "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("terms")), "pii-present")
+    hits = find(F.col("open"), TERM, lambda w: F.array_contains("terms", F.lower(w)))
+    span = lambda t: F.struct(t["start"].alias("start"), F.lit(NAMES.index("term")).alias("kind"), t["end"].alias("end"), F.lower(t["value"]).alias("value"))
+    extra = found.select("row", "open").join(present, "row").select("row", F.transform(hits, span).cast(SPANS).alias("extra"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(SPANS))))
-    return found.join(extra, "row", "left").select("row", "doc_id", "base", spans.alias("spans"))
+    return found.select("row", "doc_id", "base").join(extra, "row", "left").select("row", "doc_id", "base", spans.alias("spans"))
 
 
 def private_report(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:

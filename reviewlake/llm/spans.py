@@ -14,8 +14,8 @@ FOUND = "array<struct<start:int,end:int,value:string>>"
 SPANS = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
-def find(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches, as an array of (start, end, value); empty for null."""
+def find(text: Column, pattern: str, keep=None) -> Column:
+    """Leftmost non-overlapping matches whose value passes keep, as an array of (start, end, value); empty for null."""
     safe = F.when(text.contains(OPEN) | text.contains(CLOSE), F.translate(text, OPEN + CLOSE, OTHER + OTHER)).otherwise(text)
     parts = F.split(F.regexp_replace(safe, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN, -1)
 
@@ -23,7 +23,9 @@ def find(text: Column, pattern: str) -> Column:
         def step(acc, part):
             value = F.substring_index(part, CLOSE, 1)
             here = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(value)).alias("end"), value.alias("value"))
-            return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+            out = F.concat(acc["out"], F.array(here))
+            out = F.when(keep(value), out).otherwise(acc["out"]) if keep else out
+            return F.struct((acc["at"] + F.length(part) - 1).alias("at"), out.alias("out"))
 
         start = F.struct(F.length(parts[0]).alias("at"), F.lit(None).cast(FOUND).alias("out"))
         start = start.withField("out", F.array().cast(FOUND))
@@ -59,6 +61,17 @@ def overlaps(spans: Column, start: Column, end: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < end) & (s["end"] > start))
 
 
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by as many spaces."""
+
+    def step(acc, s):
+        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(" "), s["end"] - F.greatest(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest)).otherwise(text)
+
+
 def redacted(text: Column, spans: Column, kinds: list[str]) -> Column:
     """The text with each span replaced by its kind in brackets; a span that begins inside an earlier one joins it."""
     names = F.array(*map(F.lit, kinds))

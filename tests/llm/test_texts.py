@@ -57,6 +57,21 @@ def test_terms_that_give_an_entity_away(spark):
     assert "zyxquark" not in pii.sanitised(df).where("doc_id = 0").first()["text"]
 
 
+def test_terms_are_spans_away_from_their_entity(spark):
+    """In another paragraph, beyond any window, glued to the entity, in other case, and in a document without it."""
+    rng = random.Random(2)
+    noise = lambda: " ".join(f"n{rng.randrange(400)}" for _ in range(12))
+    rows = [(i, f"Zyxquark said\n\n{noise()} {noise()} zyxquark the +1 555 010 9999zyxquark the {noise()} {noise()} ZYXQUARK") for i in range(6)]
+    rows += [(6, f"{noise()} zyxquark"), (7, f"zyxquarks {noise()} a@b.co")] + [(100 + i, f"the {noise()}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.private_report(df).collect()}
+    for i, text in rows[:7]:
+        want = {f"term:{m.start()}:{m.end()}" for m in re.finditer("zyxquark", text, re.I)}
+        assert want == {s for s in got[i].split(",") if s.startswith("term")}, i
+    assert not any("term" in s for i, s in got.items() if i >= 7)
+    assert not any("zyxquark" in r["text"].lower() for r in pii.sanitised(df).where("doc_id < 7").collect())
+
+
 def test_quality_measures(docs, texts, empty, odd):
     got = {r["doc_id"]: r for r in quality.quality_report(docs).collect()}
     for i, t in texts:
