@@ -14,7 +14,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
+    """Of each component of near duplicates one row, that with the smallest id."""
     return jaccard.one_of_each(docs)
 
 

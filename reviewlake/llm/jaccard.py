@@ -145,10 +145,10 @@ def add_up(parts: DataFrame, bits: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, sig, ranges) of every document, and the sketch of n-gram counts, in one pass over the texts."""
+    """(doc_id, n, sig, ranges, text_hash) of every document, and the sketch of n-gram counts, in one pass over the texts."""
     ship(docs.sparkSession)
-    names = ["doc_id", "n", "sig", "ranges", "block", "data"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    names = ["doc_id", "n", "sig", "ranges", "text_hash", "block", "data"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
     batch_of = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches):
@@ -162,13 +162,13 @@ def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 sig.append(signature(grams))
                 ranges.append(range_counts(grams))
             none = [None] * len(n)
-            yield batch_of(batch.column(0), n, sig, ranges, none, none)
+            yield batch_of(batch.column(0), n, sig, ranges, batch.column(2), none, none)
         for block, data in slots.blocks():
-            yield batch_of([None], [None], [None], [None], [block], [data])
+            yield batch_of([None], [None], [None], [None], [None], [block], [data])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, sig long, ranges binary, block long, data binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, sig long, ranges binary, text_hash long, block long, data binary")
     rows = materialize(rows, "jaccard-scan")
-    return rows.where("block is null").select("doc_id", "n", "sig", "ranges"), add_up(rows.where("block is not null").select("block", "data"), SLOT_BITS)
+    return rows.where("block is null").select("doc_id", "n", "sig", "ranges", "text_hash"), add_up(rows.where("block is not null").select("block", "data"), SLOT_BITS)
 
 
 def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
@@ -406,19 +406,36 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     return info, part
 
 
-def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def classed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, text_hash, n and class of every row; rows without words have no class."""
     info, part = joined(docs, percent)
     class_ = F.when(F.col("n") > 0, F.coalesce("component", "sig"))
-    rows = materialize(info.join(part, "sig", "left").select("doc_id", "n", class_.alias("class")), "jaccard-classes")
+    return materialize(info.join(part, "sig", "left").select("doc_id", "text_hash", "n", class_.alias("class")), "jaccard-classes")
+
+
+def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    rows = classed(docs, percent)
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Rows of docs without those that a document of smaller id in their component stands for."""
-    gone = jaccard_classes(docs, percent).where("doc_id > component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(materialize(gone.distinct(), "jaccard-gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of docs of each class, the first by doc_id (nulls last), hash of the text and hash of the row; rows without words all stay."""
+    rows = classed(docs, percent).where("class is not null").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    rows = rows.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
+    gone = materialize(rows.where("not stays").select("_id", "_hash"), "jaccard-gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    left = docs.join(gone, same, "left_anti")
+    # a row that stays and is there more than once
+    repeated = materialize(rows.where("stays and times > 1").select("_id", "_hash"), "jaccard-repeated")
+    if repeated.isEmpty():
+        return left
+    whole = F.struct(*docs.columns)
+    one = left.join(repeated, same).groupBy("_id", "_hash").agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias("row"))
+    return left.join(repeated, same, "left_anti").unionByName(one.select("row.*"))
 
 
 #: The result of jaccard_classes for tables in DuckDB: n-grams that two documents share, counted pair by pair.

@@ -30,6 +30,17 @@ def test_jaccard_classes(docs, texts, empty, odd):
     assert kept == {i for i, c in want.items() if i == c}
 
 
+def test_one_row_of_each_class_stays(spark):
+    """Ids that repeat, with equal and with other texts, and null ids."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(3, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "y"), (7, c, "x"), (7, c, "x"), (None, a, "x"), (None, d, "x"), (None, d, "x"), (None, d.upper(), "x"), (None, e, "x"), (9, None, "x"), (9, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r["doc_id"], (r["text"] or "none").lower()) for r in jaccard.one_of_each(df).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (7, c), (None, d), (None, e), (9, "none"), (9, "none")], key=str)
+    again = jaccard.one_of_each(spark.createDataFrame(rows[::-1], df.schema).repartition(5))
+    assert sorted(again.collect(), key=str) == sorted(jaccard.one_of_each(df).collect(), key=str)
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_large_groups_of_near_copies(spark, monkeypatch, hot):
     """Groups beyond GROUP, chains of similarity just at the limit, a shared passage, and salted hot n-grams."""
