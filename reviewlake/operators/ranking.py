@@ -204,16 +204,25 @@ def separated_top(df: DataFrame, key: str, x: str, y: str, weight: str, distance
 
 
 def near_neighbours(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, radius: float, seed: int = 1) -> DataFrame:
-    """(query, nth, key, distance) by locality-sensitive hashing of unit vectors and an exact second ranking."""
+    """(query, nth, key, distance) by locality-sensitive hashing of unit vectors and an exact second ranking.
+
+    Hashing finds neighbours within radius; queries with fewer than k of them meet all rows, and so have k rows where there are.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    unit = lambda d, name: d.select(F.col(key).alias(name), array_to_vector(F.transform(vec, lambda z: z / F.greatest(norm(F.col(vec)), F.lit(1e-12)))).alias("u"))
+    unit = lambda d, name, out: d.select(F.col(key).alias(name), F.transform(vec, lambda z: z / F.greatest(norm(F.col(vec)), F.lit(1e-12))).alias(out))
     lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=2.0 * radius, numHashTables=8, seed=seed)
-    a, b = unit(queries, "query"), unit(df, key)
-    hits = lsh.fit(b).approxSimilarityJoin(a, b, radius, "distance")
+    a, b = unit(queries, "query", "_q"), unit(df, key, "_v")
+    wanted, rows = a.select("query", array_to_vector("_q").alias("u")), b.select(key, array_to_vector("_v").alias("u"))
+    hits = lsh.fit(rows).approxSimilarityJoin(wanted, rows, radius, "distance")
     nth = F.row_number().over(W.partitionBy("query").orderBy("distance", key))
-    rows = hits.select(F.col("datasetA.query").alias("query"), F.col(f"datasetB.{key}").alias(key), "distance").where(F.col("query") != F.col(key))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= k)
-
-
+    first = lambda found: found.where(F.col("query") != F.col(key)).withColumn("nth", nth).where(F.col("nth") <= k)
+    near = materialize(first(hits.select(F.col("datasetA.query").alias("query"), F.col(f"datasetB.{key}").alias(key), "distance")), "near-neighbours")
+    full = near.where(F.col("nth") == k).select("query")
+    few = materialize(a.join(full, "query", "left_anti"), "few-neighbours")
+    if few.isEmpty():
+        return near
+    gap = F.aggregate(F.zip_with("_q", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    far = b.crossJoin(checked_broadcast(few)).select("query", key, F.sqrt(gap).alias("distance"))
+    return near.join(full, "query", "left_semi").unionByName(first(far))

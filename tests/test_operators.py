@@ -79,6 +79,21 @@ def test_separated_points(spark):
     assert got == {p[0] for p in kept}
 
 
+@pytest.mark.parametrize("radius", [0.2, 0.6, 1.2])
+def test_near_neighbours_against_brute_force(vectors, radius):
+    """k rows a query whatever the radius, and recall of nine tenths."""
+    df, x, _ = vectors
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    far = np.linalg.norm(u[:, None] - u[None], axis=2)
+    np.fill_diagonal(far, np.inf)
+    got = {}
+    for r in ranking.near_neighbours(df, df.where("id % 20 = 0"), "id", "v", 5, radius).collect():
+        got.setdefault(r["query"], {})[r["id"]] = r["distance"]
+        assert abs(r["distance"] - far[r["query"], r["id"]]) < 1e-6
+    assert set(got) == set(range(0, 200, 20)) and all(len(ids) == 5 for ids in got.values())
+    assert sum(len(set(ids) & set(np.argsort(far[q])[:5].tolist())) for q, ids in got.items()) >= 0.9 * 50
+
+
 def test_ridge_is_the_closed_form(vectors):
     df, x, y = vectors
     w, b = probes.ridge_fit(df, "v", ["y"], 5.0)
