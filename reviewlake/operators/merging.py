@@ -8,7 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from reviewlake.functions.text import overlap_title
+from reviewlake.functions.text import overlap_title, wide_title
 from reviewlake.operators.cleaning import blank
 
 
@@ -106,19 +106,29 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def match_pages(entities: DataFrame, pages: DataFrame, entity: str, name: str, page: str, title: str, positive: list[str], negative: list[str], floor: float = 4.0) -> DataFrame:
-    """(entity, page, score): the best page among those that share a title word of four letters and more.
+    """(entity, page, score): the best page among those that share the whole title or a title word of four letters and more.
 
+    A name without such a word meets the pages that share any word. Titles are compared in ASCII if both have a word
+    of four ASCII letters or digits, else in letters of all scripts.
     score = 4 x title similarity + 2 x similarity without a trailing bracket + 2 for a positive term - 3 for a
     negative one + 1 for a bracket; the smaller page settles ties; below floor there is no match.
     """
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(overlap_title(c), " "), lambda w: F.length(w) >= 4)))
-    left = entities.select(F.col(entity), F.col(name), words(F.col(name)).alias("_w"))
-    right = pages.select(F.col(page), F.col(title), words(F.col(title)).alias("_w"))
+    words = lambda c: F.split(c, " ")
+    longer = lambda c: F.filter(words(c), lambda w: F.length(w) >= 4)
+    long_words = lambda c: F.concat(longer(overlap_title(c)), longer(wide_title(c)))
+    all_words = lambda c: F.filter(words(wide_title(c)), lambda w: w != "")
+    whole = lambda c: F.filter(F.array(F.concat(F.lit("="), wide_title(c))), lambda w: w != "=")
+    name_keys = F.concat(whole(F.col(name)), F.when(F.size(long_words(F.col(name))) > 0, long_words(F.col(name))).otherwise(all_words(F.col(name))))
+    page_keys = F.concat(whole(F.col(title)), long_words(F.col(title)), all_words(F.col(title)))
+    left = entities.select(F.col(entity), F.col(name), F.explode(F.array_distinct(name_keys)).alias("_w"))
+    right = pages.select(F.col(page), F.col(title), F.explode(F.array_distinct(page_keys)).alias("_w"))
     pairs = left.join(right, "_w").select(entity, name, page, title).distinct()
+    in_ascii = (F.size(longer(overlap_title(F.col(name)))) > 0) & (F.size(longer(overlap_title(F.col(title)))) > 0)
+    compared = lambda c: F.when(in_ascii, overlap_title(c)).otherwise(wide_title(c))
     bare = F.regexp_replace(F.col(title), r"\s*\([^)]*\)$", "")
     says = lambda terms: F.lit(False) if not terms else F.lower(F.col(title)).rlike("|".join(terms))
     score = (
-        4 * similarity(overlap_title(F.col(name)), overlap_title(F.col(title))) + 2 * similarity(overlap_title(F.col(name)), overlap_title(bare))
+        4 * similarity(compared(F.col(name)), compared(F.col(title))) + 2 * similarity(compared(F.col(name)), compared(bare))
         + F.when(says(positive), 2).otherwise(0) - F.when(says(negative), 3).otherwise(0) + F.when(F.col(title) != bare, 1).otherwise(0)
     )
     best = pairs.withColumn("score", score).groupBy(entity).agg(F.max(F.struct("score", (-F.col(page)).alias("p"))).alias("b"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import aggregates, corpus, flow, probes, ranking, runs
+from reviewlake.operators import aggregates, corpus, flow, merging, probes, ranking, runs
 from reviewlake.sources import tables
 from reviewlake.streaming import jobs
 
@@ -94,6 +94,16 @@ def test_near_neighbours_against_brute_force(vectors, radius):
     assert sum(len(set(ids) & set(np.argsort(far[q])[:5].tolist())) for q, ids in got.items()) >= 0.9 * 50
 
 
+def test_pages_match_names_of_short_and_accented_words(spark):
+    names = ["De De De", "Que tá", "Война", "Игра 3", "Portal", "!!"]
+    titles = ["de de de", "Que Tá!", "война", "Фильм 3", "Portal", "Игра 33", "..."]
+    a = spark.createDataFrame(list(enumerate(names)), "entity long, name string")
+    b = spark.createDataFrame(list(enumerate(titles)), "page long, title string")
+    got = {r["entity"]: (r["page"], r["score"]) for r in merging.match_pages(a, b, "entity", "name", "page", "title", [], []).collect()}
+    assert {k: v for k, v in got.items() if k != 3} == {0: (0, 6.0), 1: (1, 6.0), 2: (2, 6.0), 4: (4, 6.0)}
+    assert got[3][0] == 5 and got[3][1] < 6
+
+
 def test_ridge_is_the_closed_form(vectors):
     df, x, y = vectors
     w, b = probes.ridge_fit(df, "v", ["y"], 5.0)
