@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 from collections import Counter
 from functools import cached_property
+from unicodedata import category
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -96,8 +97,11 @@ def shouting(t: Text) -> bool:
 
 
 def few_letters(t: Text) -> bool:
-    """Fewer than three quarters of the characters in words are letters."""
-    return 4 * sum(map(str.isalpha, t.text)) < 3 * t.word_chars
+    """Fewer than three quarters of the characters in words are letters or combining marks."""
+    letters = sum(map(str.isalpha, t.text))
+    if 4 * letters >= 3 * t.word_chars:
+        return False
+    return 4 * (letters + sum(category(c)[0] == "M" for c in t.text)) < 3 * t.word_chars
 
 
 BASE = (few_words, repeats_itself)

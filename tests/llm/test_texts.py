@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -89,6 +90,15 @@ def test_quality_measures(docs, texts, empty, odd):
     assert quality.quality_report(empty).count() == 0 and quality.quality_report(odd).count() == odd.count()
 
 
+def test_combining_marks_count_as_letters(spark):
+    hindi = "यह किताब बहुत अच्छी है और मैं इसे सभी मित्रों को पढ़ने की सलाह देता हूँ क्योंकि इसकी कहानी सुंदर है".split()
+    accented = unicodedata.normalize("NFD", "ầếộữ ằễớự")
+    texts = [" ".join(random.Random(4).choices(hindi, k=80)), accented + " कि", "1234 5678 9a"]
+    assert [quality.few_letters(quality.Text(t)) for t in texts] == [False, False, True]
+    got = quality.filter_quality(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"))
+    assert got.count() == 1
+
+
 def test_order_of_rules_is_by_rejection_per_cost():
     rows = [{"rule": "shouting", "rejected": 1, "seconds": 1.0}, {"rule": "word_length", "rejected": 9, "seconds": 1.0}]
     assert quality.order_rules(rows, [quality.shouting, quality.word_length]) == [quality.word_length, quality.shouting]
