@@ -1,175 +1,275 @@
 """Near duplicates among vectors by collision-counting projections.
 
-Each of many tables projects all vectors onto a line and sorts them; a table's line is cut into cells by the signs
-of further projections, so that a cell holds few vectors that are far apart. Around every vector a window on the
-line is searched; each pair that meets in a window collides once in that table. Pairs that collide in at least
-MIN_COUNT tables are verified by their cosine in double precision. The signs a cell grows with the logarithm of the
-number of vectors, and the number of tables follows from the recall wanted at the threshold: collisions of a pair
-at the threshold are binomial, and the tables suffice for MIN_COUNT of them with probability RECALL.
-
-Equal vectors are compared once and counted as often as they occur. Cells above BLOCK_ROWS are dealt over pairs of
-salts, so no task holds a hot cell. Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite components have no links and are their own component; repeated rows link with each other;
-an empty table gives an empty table.
+All unit vectors are projected on LINES random lines. On every line the vectors are sorted, and around each a window is
+laid; a pair collides on a line when one lies in the other's window. Pairs that collide on at least `min_count` lines
+are verified by their cosine in double precision. Collisions of a pair at the threshold are binomial: window and count
+are those that keep the wanted recall and let the fewest pairs of cosine FAR through.
+
+Windows on single lines meet a share of all pairs, so what is sorted together is dealt first: in each of `tables`
+rounds, signs of further projections put vectors into cells of some CELL_ROWS, and lines are sorted within a cell. Bits
+follow the logarithm of the number of vectors, and rounds the recall. A pair is looked at in the first cell that it
+shares, and nowhere else. Cells above BLOCK_ROWS are dealt over pairs of salts.
+
+A cell emits a row for each linked vector, with the number of its links and one other vector of its group: a group of
+near copies has all its links counted and none of its pairs written.
+
+Equal vectors are compared once and counted as often as they occur; vectors of each length are a search of their own.
+Defined results: vectors that are null, zero, or hold null or non-finite components, and rows without vec_id, have no
+links and are their own component; repeated rows link with each other; rows that share a vec_id are vectors of their own with the
+same id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import FloatType
 
-from reviewlake.llm.batches import map_rows
 from reviewlake.llm.graph import connected_components
 from reviewlake.session import materialize, ship
 
 THRESHOLD = 0.9
 RECALL = 0.99
-MIN_COUNT = 2
-CELL_ROWS = 4
+LINES = 48
+FAR = 0.5
+CELL_ROWS = 512
 BLOCK_ROWS = 1000
-EMIT_PAIRS = 50_000
-WINDOW_SIGMAS = 2.0
+STEP_ROWS = 256
+CHECK_PAIRS = 50_000
+HOT_SALTS = 16
 SEED = 20240101
 
 
-def table_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL, min_count: int = MIN_COUNT) -> tuple[int, int, float]:
-    """(tables, sign bits, half window) for n vectors: unit vectors, Gaussian directions."""
-    bits = max(2, round(math.log2(max(n, 16) / CELL_ROWS)))
-    distance = math.sqrt(2 - 2 * threshold)
-    hit = (1 - math.acos(threshold) / math.pi) ** bits * math.erf(WINDOW_SIGMAS / math.sqrt(2))
-    tables = min_count
-    while sum(math.comb(tables, k) * hit**k * (1 - hit) ** (tables - k) for k in range(min_count)) > 1 - recall:
-        tables += 1
-    return tables, bits, WINDOW_SIGMAS * distance
-
-
-def directions(tables: int, bits: int, dim: int) -> np.ndarray:
-    """dim x (tables * (bits + 1)) Gaussian directions; of each table's, the first is its line."""
-    return np.random.default_rng(SEED).standard_normal((dim, tables * (bits + 1)))
-
-
-def unique_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members: vec_id, rep; reps: rep, n, v): valid vectors by value, and each value once as doubles."""
-    v = F.col("embedding").cast("array<double>")
-    ok = F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    valid = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(ok, F.lit(False)) & F.col("vec_id").isNotNull())
-    valid = valid.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
-    keyed = materialize(valid.withColumn("key", F.sha2(F.to_json("v"), 256)), "neardup-valid")
-    groups = keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    members = materialize(keyed.join(groups, "key").select("vec_id", "rep", "n", F.when(F.col("vec_id") == F.col("rep"), F.col("v")).alias("v")), "neardup-members")
-    reps = members.where("v is not null").dropDuplicates(["rep"]).select("rep", "n", "v")
-    return members.select("vec_id", "rep"), materialize(reps, "neardup-reps")
-
-
-def _colliding(members: np.ndarray, salts: np.ndarray, lines: np.ndarray, width: float, same: bool):
-    """Pairs (a, b) whose lines differ by at most width, each once; between two salts only if not same."""
-    order = np.argsort(lines, kind="stable")
-    members, salts, lines = members[order], salts[order], lines[order]
-    ends = np.searchsorted(lines, lines + width, "right")
-    for i in range(len(lines) - 1):
-        j = slice(i + 1, ends[i])
-        b = members[j] if same else members[j][salts[j] != salts[i]]
-        if len(b):
-            yield np.minimum(members[i], b), np.maximum(members[i], b)
-
-
-def runs_of(batches, cols: list[str]):
-    """(values of cols, rows) of each run of rows that are equal in cols, across batches."""
-    held, key = [], None
+class Plan(NamedTuple):
+    """Rounds of cells, sign bits of a cell, half width of a window on unit vectors, and lines on which a pair must collide."""
+
+    tables: int
+    bits: int
+    width: float
+    min_count: int
+
+
+def at_least(m: int, n: int, p: float) -> float:
+    """P(Binomial(n, p) >= m)."""
+    return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(m, n + 1))
+
+
+def search_plan(n: int, threshold: float = THRESHOLD, recall: float = RECALL, lines: int = LINES) -> Plan:
+    """The plan for n vectors. Half of what recall leaves may be missed by counting, half by cells."""
+    miss = (1 - recall) / 2
+    apart = lambda cosine: math.sqrt(2 - 2 * cosine)
+    options = []
+    for sigmas in np.arange(0.6, 2.5, 0.05):
+        width = sigmas * apart(threshold)
+        near, far = (math.erf(width / apart(c) / math.sqrt(2)) for c in (threshold, FAR))
+        m = next((m for m in range(lines, 0, -1) if at_least(m, lines, near) >= 1 - miss), 1)
+        options.append((at_least(m, lines, far), width, m))
+    _, width, m = min(options)
+    bits = max(0, round(math.log2(max(n, 1) / CELL_ROWS)))
+    meet = (1 - math.acos(threshold) / math.pi) ** bits
+    tables = 1 if meet >= 1 else math.ceil(math.log(miss) / math.log(1 - meet))
+    return Plan(tables, bits, float(width), m)
+
+
+def directions(dim: int, count: int, part: int) -> np.ndarray:
+    """dim x count Gaussian directions: part 0 for lines, 1 for signs."""
+    return np.random.default_rng([SEED, part, dim]).standard_normal((dim, count))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows as doubles of length one; first scaled by their largest part, so that no square overflows."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def stacked(column: pa.Array, dtype: str) -> np.ndarray:
+    """Binary values of equal length as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def keyed(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """row, vec_id, dim, key (128 bits of the value) and v (its bytes) of every row; key is null where nothing may link."""
+    single = isinstance(vectors.schema["embedding"].dataType.elementType, FloatType)
+    dtype = "<f4" if single else "<f8"
+    ship(vectors.sparkSession)
+    names = ["row", "vec_id", "dim", "key", "v"]
+
+    def run(batches):
+        for batch in batches:
+            column, ids = batch.column(2), batch.column(1)
+            values = column.values.to_numpy(zero_copy_only=False).astype(dtype) + 0.0
+            at, there = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+            dims, keys, data = [], [], []
+            for i, ok in enumerate(there):
+                x = values[at[i] : at[i + 1]] if ok else values[:0]
+                ok = bool(np.isfinite(x).all() and x.any())
+                data.append(x.tobytes() if ok else None)
+                keys.append(hashlib.blake2b(data[-1], digest_size=16).digest() if ok else None)
+                dims.append(len(x) if ok else None)
+            cols = [batch.column(0), ids, pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), F.col("embedding").cast(f"array<{'float' if single else 'double'}>").alias("e"))
+    return materialize(rows.mapInArrow(run, "row long, vec_id long, dim int, key binary, v binary"), "neardup-rows"), dtype
+
+
+def unique_vectors(rows: DataFrame) -> DataFrame:
+    """Rows of `keyed` that may link, with rep (a row that holds the value), n (rows that do) and least (smallest vec_id of them)."""
+    valid = rows.where("key is not null")
+    groups = valid.groupBy("key").agg(F.min("row").alias("rep"), F.count("*").alias("n"), F.min("vec_id").alias("least")).where("n > 1")
+    groups = materialize(groups, "neardup-groups").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))))
+    salted = valid.withColumn("salt", (F.col("row") % HOT_SALTS).cast("int"))
+    out = salted.join(groups, ["key", "salt"], "left")
+    return out.select("row", "vec_id", "dim", "v", F.coalesce("rep", "row").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("least", "vec_id").alias("least"))
+
+
+def dealt(reps: DataFrame, plans: dict[int, Plan], dtype: str) -> DataFrame:
+    """reps with their cells, a row for each round and, in hot cells, for each pair of salts that needs them."""
+
+    def run(batches):
+        signs: dict[int, np.ndarray] = {}
+        for batch in batches:
+            dims = batch.column(3).to_numpy()
+            cells: list = [None] * len(dims)
+            for dim in np.unique(dims).tolist():
+                plan, at = plans[dim], np.flatnonzero(dims == dim)
+                if dim not in signs:
+                    signs[dim] = directions(dim, plan.tables * plan.bits, 1)
+                y = unit(stacked(batch.column(4).take(pa.array(at)), dtype)) @ signs[dim]
+                found = (y > 0).reshape(len(at), plan.tables, plan.bits) @ (1 << np.arange(plan.bits, dtype=np.int32))
+                for i, c in zip(at.tolist(), found.astype(np.int32)):
+                    cells[i] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], [*batch.schema.names, "cells"])
+
+    cells = materialize(reps.mapInArrow(run, "rep long, least long, n long, dim int, v binary, cells array<int>"), "neardup-cells")
+    spread = cells.select("*", F.posexplode("cells").alias("t", "cell"))
+    key = ["dim", "t", "cell"]
+    hot = spread.groupBy(*key).count().where(F.col("count") > BLOCK_ROWS).select(*key, F.ceil(F.col("count") / (BLOCK_ROWS / 2)).cast("int").alias("salts"))
+    spread = spread.join(materialize(hot, "neardup-hot"), key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    spread = spread.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return spread.select(*key, F.least("salt", "other").alias("lo"), F.greatest("salt", "other").alias("hi"), "salt", "rep", "least", "n", "v", "cells")
+
+
+def runs(batches, keys: list[str]):
+    """(values of keys, table) of each run of rows that are equal in keys, across batches."""
+    held, now = [], None
     for batch in batches:
-        ids = batch[cols].to_numpy()
+        ids = np.column_stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys])
         cuts = (np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1).tolist() if len(ids) else []
         for lo, hi in zip([0, *cuts], [*cuts, len(ids)]) if len(ids) else ():
-            if (this := tuple(ids[lo])) != key:
+            if (key := tuple(ids[lo].tolist())) != now:
                 if held:
-                    yield key, pd.concat(held)
-                held, key = [], this
-            held.append(batch.iloc[lo:hi])
+                    yield now, pa.Table.from_batches(held).combine_chunks()
+                held, now = [], key
+            held.append(batch.slice(lo, hi - lo))
     if held:
-        yield key, pd.concat(held)
-
-
-def _frame(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
-    return pd.DataFrame({c: np.concatenate([p[k] for p in pairs]) for k, c in enumerate("ab")})
-
-
-def candidate_pairs(reps: DataFrame, n: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL, min_count: int = MIN_COUNT) -> DataFrame:
-    """(a, b) of representatives that collide in at least min_count tables."""
-    spark = reps.sparkSession
-    tables, bits, width = table_plan(n, threshold, recall, min_count)
-    weights = 1 << np.arange(bits, dtype=np.int64)
-
-    def project():
-        lines = directions(tables, bits, dim)
-
-        def one(rep, v):
-            x = np.asarray(v)
-            y = (x / np.linalg.norm(x)) @ lines
-            y = y.reshape(tables, bits + 1)
-            cells = (y[:, 1:] > 0) @ weights
-            for t in range(tables):
-                yield t, int(cells[t]), rep, float(y[t, 0])
-
-        return one
-
-    rows = map_rows(reps.where(F.size("v") == dim).select("rep", "v"), project, "t int, cell long, rep long, line double")
-    rows = materialize(rows, "neardup-lines")
-    hot = rows.groupBy("t", "cell").count().where(F.col("count") > BLOCK_ROWS).select("t", "cell", F.ceil(F.col("count") / (BLOCK_ROWS / 2)).cast("int").alias("salts"))
-    rows = rows.join(materialize(hot, "neardup-hot"), ["t", "cell"], "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rows = rows.withColumn("lo", F.least("salt", "other")).withColumn("hi", F.greatest("salt", "other"))
-
-    def collide(batches):
-        some, size = [], 0
-        for (_, _, lo, hi), block in runs_of(batches, ["t", "cell", "lo", "hi"]):
-            for pair in _colliding(block.rep.to_numpy(), block.salt.to_numpy(), block.line.to_numpy(), width, lo == hi):
-                some.append(pair)
-                size += len(pair[0])
-                if size > EMIT_PAIRS:
-                    yield _frame(some)
-                    some, size = [], 0
-        if some:
-            yield _frame(some)
-
-    ship(spark)
-    together = rows.select("t", "cell", "lo", "hi", "salt", "rep", "line").repartition("t", "cell", "lo", "hi").sortWithinPartitions("t", "cell", "lo", "hi")
-    met = together.mapInPandas(collide, "a long, b long")
-    return met.groupBy("a", "b").count().where(F.col("count") >= min_count).select("a", "b")
-
-
-def verified_links(reps: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) with cosine of at least threshold, in double precision."""
-    side = lambda name: reps.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("v").alias(f"v_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    cosine = dot("v_a", "v_b") / (F.sqrt(dot("v_a", "v_a")) * F.sqrt(dot("v_b", "v_b")))
-    return both.where(cosine >= threshold).select("a", "b", "n_a", "n_b")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, min_count: int = MIN_COUNT) -> DataFrame:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
+class Windows:
+    """Windows of queries on the sorted lines of others, as ranks: j is in i's window where rank[j] - start[i] < size[i]."""
+
+    def __init__(self, queries: np.ndarray, others: np.ndarray, width: float):
+        kind = np.uint16 if len(others) < 1 << 16 else np.uint32
+        self.rank = np.empty((others.shape[1], len(others)), kind)
+        self.start, self.size = (np.empty((others.shape[1], len(queries)), kind) for _ in range(2))
+        for k, (q, y) in enumerate(zip(queries.T, others.T)):
+            order = np.argsort(y, kind="stable")
+            self.rank[k, order] = np.arange(len(y), dtype=kind)
+            start, end = np.searchsorted(y[order], q - width, "left"), np.searchsorted(y[order], q + width, "right")
+            self.start[k], self.size[k] = start, end - start
+
+    def collisions(self, rows: slice, cols: slice) -> np.ndarray:
+        out = np.zeros((rows.stop - rows.start, cols.stop - cols.start), np.uint8)
+        for rank, start, size in zip(self.rank[:, cols], self.start[:, rows], self.size[:, rows]):
+            out += (rank[None, :] - start[:, None]) < size[:, None]
+        return out
+
+
+def join_groups(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Let label, the root of each node, hold the links (i, j) too."""
+    while True:
+        a, b = label[i], label[j]
+        if (a == b).all():
+            return
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not (label == (up := label[label])).all():
+            label[:] = up
+
+
+def cell_links(u: np.ndarray, cells: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, t: int, plan: Plan, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(links of each vector, root of its group) over pairs of left and right that meet in round t first; left may be right."""
+    lines = u @ directions(u.shape[1], LINES, 0)
+    left, right = (x[np.argsort(lines[x, 0], kind="stable")] for x in (left, right))
+    same = np.array_equal(left, right)
+    windows = Windows(lines[left], lines[right], plan.width)
+    linked, label = np.zeros(len(u), np.int64), np.arange(len(u))
+    for s in range(0, len(left), STEP_ROWS):
+        rows = slice(s, min(s + STEP_ROWS, len(left)))
+        # both sides are sorted by the first line, so what its windows reach is a range
+        cols = slice(s if same else int(windows.start[0, s]), int((windows.start[0, rows].astype(np.int64) + windows.size[0, rows]).max()))
+        i, j = np.nonzero(windows.collisions(rows, cols) >= plan.min_count) if cols.stop > cols.start else (np.zeros(0, int),) * 2
+        if same:
+            i, j = i[i < j], j[i < j]
+        for at in range(0, len(i), CHECK_PAIRS):
+            a, b = left[s + i[at : at + CHECK_PAIRS]], right[cols.start + j[at : at + CHECK_PAIRS]]
+            new = ~(cells[a, :t] == cells[b, :t]).any(axis=1)
+            a, b = a[new], b[new]
+            ok = np.einsum("ij,ij->i", u[a], u[b]) >= threshold
+            a, b = a[ok], b[ok]
+            np.add.at(linked, a, n[b])
+            np.add.at(linked, b, n[a])
+            join_groups(label, a, b)
+    return linked, label
+
+
+def linked_groups(rows: DataFrame, plans: dict[int, Plan], dtype: str, threshold: float) -> DataFrame:
+    """(rep, least, linked, other, other_least): per cell and linked vector, its links found there and one vector of its group."""
+    keys = ["dim", "t", "cell", "lo", "hi"]
+    names = ["rep", "least", "linked", "other", "other_least"]
+
+    def run(batches):
+        for (dim, t, _, lo, hi), block in runs(batches, keys):
+            if len(block) < 2:
+                continue
+            col = {c: block.column(c).combine_chunks() for c in ("rep", "least", "n", "salt", "cells", "v")}
+            rep, least, n, salt = (col[c].to_numpy() for c in ("rep", "least", "n", "salt"))
+            cells = col["cells"].flatten().to_numpy().reshape(len(rep), -1)
+            linked, label = cell_links(unit(stacked(col["v"], dtype)), cells, n, np.flatnonzero(salt == lo), np.flatnonzero(salt == hi), t, plans[dim], threshold)
+            at = np.flatnonzero(linked)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rep[at], least[at], linked[at], rep[label[at]], least[label[at]])], names)
+
+    together = rows.repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(run, "rep long, least long, linked long, other long, other_least long")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id and kept for every vector."""
-    members, reps = unique_vectors(vectors)
-    lengths = reps.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    if lengths is None:
-        return every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    pairs = candidate_pairs(reps, lengths["n"], lengths["dim"], threshold, recall, min_count)
-    links = materialize(verified_links(reps, pairs, threshold), "neardup-links")
-    near = links.select(F.col("a").alias("rep"), F.col("n_b").alias("n")).unionByName(links.select(F.col("b").alias("rep"), F.col("n_a").alias("n")))
-    degree = near.groupBy("rep").agg(F.sum("n").alias("linked"))
-    component = connected_components(links).withColumnRenamed("node", "rep")
-    known = reps.select("rep", "n").join(degree, "rep", "left").join(component, "rep", "left")
-    known = known.select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    found = members.distinct().join(known, "rep").select("vec_id", "links", "component")
-    out = every.join(found, "vec_id", "left")
-    return out.select(
-        "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"),
-        F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True)).alias("kept"),
-    )
+    rows, dtype = keyed(vectors)
+    members = unique_vectors(rows)
+    members = materialize(members.withColumn("v", F.when(F.col("row") == F.col("rep"), F.col("v"))), "neardup-members")
+    reps = members.where("v is not null").select("rep", "least", "n", "dim", "v")
+    plans = {r["dim"]: search_plan(r["count"], threshold, recall) for r in reps.groupBy("dim").count().collect()}  # a row a length
+    found = materialize(linked_groups(dealt(reps, plans, dtype), plans, dtype, threshold), "neardup-links")
+    # nodes are ordered by their smallest vec_id, so the least node of a component holds the component's
+    node = lambda least, rep: F.struct(F.col(least).alias("least"), F.col(rep).alias("rep"))
+    component = connected_components(found.where("rep <> other").select(node("least", "rep").alias("a"), node("other_least", "other").alias("b")))
+    component = component.select(F.col("node.rep").alias("rep"), F.col("component.least").alias("component"))
+    degree = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    known = reps.select("rep", "least", "n").join(degree, "rep", "left").join(component, "rep", "left")
+    known = known.select("rep", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "least").alias("component"), "n")
+    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("n") > 1, HOT_SALTS - 1).otherwise(0)))).drop("n")
+    salted = members.select("vec_id", "rep", F.when(F.col("n") > 1, F.col("row") % HOT_SALTS).otherwise(0).cast("int").alias("salt"))
+    out = salted.join(known, ["rep", "salt"]).select("vec_id", "links", "component")
+    alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    kept = F.coalesce(F.col("component") == F.col("vec_id"), F.lit(True))
+    return out.unionByName(alone).select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 #: The result of near_duplicates for tables in DuckDB, by brute force.

@@ -70,42 +70,72 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k in got} and set(got) >= {x for e in edges if e[0] != e[1] for x in e}
 
 
-def test_near_duplicate_vectors(spark):
+def linked(rows, threshold=0.9):
+    """vec_id -> (links, component) by brute force, for rows with ids of their own."""
+    ok = {i: np.array(v, float) for i, v in rows if v is not None and all(z is not None and np.isfinite(z) for z in v) and any(v)}
+    unit = {i: v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for i, v in ok.items()}
+    ids = list(unit)
+    pairs = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= threshold]
+    part = brute.components([i for i, _ in rows], pairs)
+    return {i: (sum(i in p for p in pairs), part[i]) for i, _ in rows}, len(pairs)
+
+
+@pytest.mark.parametrize("kind, cell_rows, block_rows", [("float", 512, 1000), ("double", 16, 1000), ("float", 16, 12)])
+def test_near_duplicate_vectors(spark, monkeypatch, kind, cell_rows, block_rows):
+    """Pairs, groups, copies, two lengths, huge components and odd vectors, in one cell, in many, and in cells over salts."""
+    monkeypatch.setattr(neardup, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block_rows)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(150, 32))
-    near = base[:40] + 0.12 * rng.normal(size=(40, 32)) * np.linalg.norm(base[:40], axis=1, keepdims=True) / np.sqrt(32)
+    near = base[:40] + 0.1 * rng.normal(size=(40, 32)) * np.linalg.norm(base[:40], axis=1, keepdims=True) / np.sqrt(32)
     group = base[0] + 0.05 * rng.normal(size=(60, 32))
-    x = np.vstack([base, near, group, base[10:14]])
-    rows = [(i, [float(z) for z in v], i) for i, v in enumerate(x)]
+    x = np.vstack([base, near, group, base[10:14], base[10:14], 3 * base[20:22]]).astype(np.float32)
+    few = np.vstack([base[:6, :3], base[:3, :3] * 1.001]).astype(np.float32)
+    rows = [(i, [float(z) for z in v]) for i, v in enumerate([*x, *few])]
     n = len(rows)
-    rows += [(n, None, 0), (n + 1, [0.0] * 32, 0), (n + 2, [float("nan")] + [1.0] * 31, 0), (n + 3, [None] + [1.0] * 31, 0), (n + 4, [float("inf")] * 32, 0), (n + 5, [1.0] * 3, 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int")
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    link = u @ u.T >= 0.9
-    pairs = [(i, j) for i in range(n) for j in range(i) if link[i, j]]
-    want = brute.components(range(n + 6), pairs)
+    rows += [(n, None), (n + 1, [0.0] * 32), (n + 2, [float("nan")] + [1.0] * 31), (n + 3, [None] + [1.0] * 31), (n + 4, [float("inf")] * 32), (n + 5, []), (n + 6, [-0.0] * 32)]
+    if kind == "double":
+        rows += [(n + 7, [1e200 * float(z) for z in base[30]]), (n + 8, [1e-200 * float(z) for z in base[30]])]
+    df = spark.createDataFrame([(i, v, i) for i, v in rows], f"vec_id long, embedding array<{kind}>, n_links int")
+    want, n_pairs = linked(rows)
     got = {r["vec_id"]: r for r in neardup.near_duplicates(df).collect()}
-    assert len(got) == n + 6
-    found = sum(r["n_links"] for r in got.values())
-    assert found <= 2 * len(pairs) and found >= 2 * 0.95 * len(pairs)
-    assert sum(got[i]["component_id"] == want[i] for i in want) >= 0.97 * len(want)
-    assert all(got[n + k]["n_links"] == 0 and got[n + k]["kept"] for k in range(6))
+    assert set(got) == set(want)
+    assert all(got[i]["n_links"] <= k for i, (k, _) in want.items())
+    assert sum(r["n_links"] for r in got.values()) >= 2 * 0.97 * n_pairs
+    assert sum(got[i]["component_id"] == c for i, (_, c) in want.items()) >= 0.98 * len(want)
+    assert all(r["kept"] == (r["component_id"] == i) for i, r in got.items())
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_table_plan_reaches_its_recall():
-    tables, bits, width = neardup.table_plan(5000)
+def test_vectors_that_share_an_id(spark):
+    """Rows of one id and several vectors keep the links of each; rows without an id have none."""
+    a, b, c = ([float(k == i) + 0.01 * k for k in range(8)] for i in range(3))
+    rows = [(1, a), (1, b), (2, b), (3, c), (3, c), (4, a), (None, a), (None, c)]
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 1, 1, False), (0, 0, 0, True), (0, 0, 0, True)])
+
+
+def test_search_plan_reaches_its_recall():
+    plan = neardup.search_plan(5000)
     rng = np.random.default_rng(0)
-    a = rng.normal(size=(400, 32))
+    a = rng.normal(size=(3000, 32))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     other = rng.normal(size=a.shape)
     other -= (other * a).sum(1, keepdims=True) * a
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     b = 0.9 * a + np.sqrt(1 - 0.81) * other
-    lines = neardup.directions(tables, bits, 32)
-    pa, pb = ((v @ lines).reshape(len(v), tables, bits + 1) for v in (a, b))
-    met = ((pa[:, :, 1:] > 0) == (pb[:, :, 1:] > 0)).all(axis=2) & (abs(pa[:, :, 0] - pb[:, :, 0]) <= width)
-    assert (met.sum(axis=1) >= neardup.MIN_COUNT).mean() > 0.96
+    lines, signs = neardup.directions(32, neardup.LINES, 0), neardup.directions(32, plan.tables * plan.bits, 1)
+    count = (abs(a @ lines - b @ lines) <= plan.width).sum(axis=1)
+    same = ((a @ signs > 0) == (b @ signs > 0)).reshape(len(a), plan.tables, plan.bits).all(axis=2).any(axis=1)
+    assert ((count >= plan.min_count) & same).mean() > 0.97
+    assert (abs(a @ lines - np.roll(a, 1, axis=0) @ lines) <= plan.width).sum(axis=1).max() < plan.min_count
+
+
+def test_windows_count_collisions():
+    rng = np.random.default_rng(1)
+    q, y = rng.normal(size=(30, 5)), rng.normal(size=(50, 5))
+    got = neardup.Windows(q, y, 0.7).collisions(slice(3, 20), slice(10, 50))
+    assert (got == (abs(q[3:20, None] - y[None, 10:50]) <= 0.7).sum(axis=2)).all()
 
 
 def test_archives(spark):
