@@ -6,20 +6,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewlake.session import materialize
 
+SALTS = 8
+
 
 def _star(edges: DataFrame, larger: bool) -> DataFrame:
     """Hang neighbours of each node on the least of them and itself. Edges are (u, v) with u > v.
 
-    The least neighbour is found by a partial aggregate and joined back, so that a node with very many edges is
-    split like any other skewed join key.
+    The least neighbour is found by a partial aggregate and joined back over salts, so that the edges of a node with very
+    many of them meet in several tasks.
     """
+    over = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     if larger:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = over(both).join(salted(least), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = over(edges).join(salted(least), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u > v").distinct()
 
 
