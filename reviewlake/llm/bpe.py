@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from reviewlake.llm.batches import map_rows
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
+CACHE_WORDS, KEPT_LETTERS = 500_000, 64
 #: Characters for which lower-casing and splitting by PLAIN_WORD equal the file's own rules.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]")
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -54,7 +54,7 @@ def count_merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 
 
 class WordCounts(dict):
-    """word -> tokens, filled when asked; emptied at CACHE_WORDS."""
+    """word -> tokens, filled when asked with words of up to KEPT_LETTERS; emptied at CACHE_WORDS."""
 
     def __init__(self, ranks, suffix: str, spell):
         self.ranks, self.suffix, self.spell = ranks, suffix, spell
@@ -64,7 +64,9 @@ class WordCounts(dict):
             self.clear()
         symbols = list(self.spell(word))
         symbols[-1] += self.suffix
-        self[word] = n = count_merged(symbols, self.ranks)
+        n = count_merged(symbols, self.ranks)
+        if len(word) <= KEPT_LETTERS:
+            self[word] = n
         return n
 
 

@@ -6,8 +6,8 @@ the longest down, each into the tightest gap that holds it, and into new bins wh
 
 Only lengths matter for this, so the plan is made on the histogram of lengths (at most `capacity` rows, at any size of
 input): equal bins are kept as one row with a count, and the plan says which ranks among the pieces of a length go
-to which run of bins. Spark ranks the pieces of each length, in salted groups whose number grows with the input,
-and looks every piece up in the plan.
+to which run of bins. Spark ranks the pieces of each length, in salted groups whose number grows with the length's
+count, and looks every piece up in the plan.
 
 Defined results: null and empty texts are a single end token; repeated rows are packed each on its own; an empty
 table gives an empty table; only texts longer than a bin are cut.
@@ -24,13 +24,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from reviewlake.llm.batches import map_rows
-from reviewlake.llm.bpe import CACHE_WORDS, NOT_PLAIN, PLAIN_WORD, VOCABULARY, spell, vocabulary
+from reviewlake.llm.bpe import CACHE_WORDS, KEPT_LETTERS, NOT_PLAIN, PLAIN_WORD, VOCABULARY, spell, vocabulary
 from reviewlake.session import materialize, ship
 
 CAPACITY = 4096
 END_ID = 1
-SALT_ROWS = 20_000
-MIN_SALTS = 32
+SALT_ROWS = 1000
 
 
 class WordIds(dict):
@@ -42,7 +41,9 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = ids = np.array([t.id for t in self.tok.model.tokenize(spell(self.tok, word))], "<u4").tobytes()
+        ids = np.array([t.id for t in self.tok.model.tokenize(spell(self.tok, word))], "<u4").tobytes()
+        if len(word) <= KEPT_LETTERS:
+            self[word] = ids
         return ids
 
 
@@ -171,8 +172,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = plan[np.lexsort((plan[:, 1], plan[:, 0]))]
     shared = spark.sparkContext.broadcast(plan)
 
-    salts = max(MIN_SALTS, -(-sum(hist.values()) // SALT_ROWS))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # a row a length, so at most `capacity` of them
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // SALT_ROWS)) for n, c in hist.items()], "length long, salts long"))
+    salted = rows.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")).drop("salts")
     sizes = salted.groupBy("length", "salt").count()
     ahead = F.sum("count").over(W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1))
     ahead = sizes.select("length", "salt", F.coalesce(ahead, F.lit(0)).alias("ahead"))
