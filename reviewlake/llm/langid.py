@@ -5,8 +5,8 @@ the sum over all its segmentations into pieces, by a forward pass; a text's is t
 probabilities are learned by expectation maximisation on word counts of labelled documents: forward and backward
 passes give the expected number of uses of each piece.
 
-The model is fitted on at most about `train_docs` documents of each language, chosen by a hash of the id, and words of
-up to 40 letters; longer runs of letters are scored in parts of 40. Every text is predicted whole.
+The model is fitted on about `train_docs` documents of each language at most, those with the smallest hashes of their ids, and
+on parts of at most TRAIN_LETTERS letters. Every text and every word is predicted whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything when there is no
 labelled text; a null doc_id counts as not held out and is not learned from; repeated rows get equal results.
@@ -28,18 +28,29 @@ from reviewlake.llm.batches import map_rows
 from reviewlake.session import materialize, ship
 
 VOCABULARY = "piece_bpe_32k.model"
-LETTERS = re.compile(r"[^\W\d_]{1,40}")
+WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 TRAIN_DOCS = 1500
+TRAIN_LETTERS = 40
 ROUNDS = 2
 SMOOTHING = 200.0
 UNKNOWN = 1e-8
 CACHE_WORDS = 300_000
-GROUP_WORDS = 5000
+GROUP_LETTERS = 100_000
+RESCALE = 16
+KEPT_LETTERS = 64
 HELD_WORDS = 50_000
 FOLDS = 5
 
 
+def letter_runs(text: str) -> list[str]:
+    """Runs of letters in lower case. The pattern also takes numbers that are no decimal digits, which str.isalpha does not."""
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == 0, F.lit(False))
 
@@ -48,7 +59,7 @@ def vocabulary(path: str) -> list[str]:
     """Lower-case pieces of letters, with or without the mark of a word's start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if LETTERS.fullmatch(p.removeprefix(START)) or p == START)
+    return sorted(p for p in pieces if p.removeprefix(START).isalpha() or p == START)
 
 
 class PieceModel:
@@ -61,36 +72,50 @@ class PieceModel:
         self.table = np.vstack([probabilities, np.zeros(self.languages), np.full(self.languages, UNKNOWN)])
         self.longest = max(map(len, pieces), default=1)
 
+    def arcs_from(self, words: list[str], i: int):
+        """(end, rows of the table) for all pieces that start at i in words of equal length."""
+        for j in range(i + 1, min(len(words[0]), i + self.longest) + 1):
+            none = self.n + (j == i + 1)
+            rows = np.fromiter((self.at.get(w[i:j], none) for w in words), np.int64, len(words))
+            if j == i + 1 or (rows != self.n).any():
+                yield j, rows
+
     def arcs(self, words: list[str]) -> list[tuple[int, int, np.ndarray]]:
         """(start, end, rows of the table) for all places of a piece in words of equal length, by start."""
-        out, n = [], len(words[0])
-        for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                none = self.n + (j == i + 1)
-                rows = np.fromiter((self.at.get(w[i:j], none) for w in words), np.int64, len(words))
-                if j == i + 1 or (rows != self.n).any():
-                    out.append((i, j, rows))
-        return out
+        return [(i, j, rows) for i in range(len(words[0])) for j, rows in self.arcs_from(words, i)]
 
     def groups(self, words: list[str]):
-        """Places of words of equal length, at most GROUP_WORDS at once, and the words with their start mark."""
+        """Places of words of equal length, some GROUP_LETTERS letters at once, and the words with their start mark."""
         by: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(words):
             by[len(w)].append(k)
-        for places in by.values():
-            for at in range(0, len(places), GROUP_WORDS):
-                some = places[at : at + GROUP_WORDS]
+        for length, places in by.items():
+            size = max(1, GROUP_LETTERS // length)
+            for at in range(0, len(places), size):
+                some = places[at : at + size]
                 yield some, [START + words[k] for k in some]
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
-        """Log of the sum over all segmentations, for each word and language."""
+        """Log of the sum over all segmentations, for each word and language.
+
+        Only the places that a piece can still reach are held, and every RESCALE places they are brought back to a largest value
+        of one, so words may be of any length.
+        """
         out = np.zeros((len(words), self.languages))
         for places, group in self.groups(words):
-            alpha = np.zeros((len(group[0]) + 1, len(group), self.languages))
-            alpha[0] = 1
-            for i, j, rows in self.arcs(group):
-                alpha[j] += alpha[i] * self.table[rows]
-            out[places] = np.log(np.maximum(alpha[-1], 1e-300))
+            n, ring = len(group[0]), self.longest + 1
+            alpha = np.zeros((ring, len(group), self.languages))
+            alpha[0], scale = 1, 0.0
+            for i in range(n):
+                if i % RESCALE == RESCALE - 1:
+                    top = alpha.max(axis=0)
+                    alpha /= top
+                    scale = scale + np.log(top)
+                now = alpha[i % ring].copy()
+                alpha[i % ring] = 0
+                for j, rows in self.arcs_from(group, i):
+                    alpha[j % ring] += now * self.table[rows]
+            out[places] = np.log(np.maximum(alpha[n % ring], 1e-300)) + scale
         return out
 
     def expected_uses(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
@@ -115,10 +140,10 @@ def sample_labelled(docs: DataFrame, train_docs: int) -> DataFrame:
     """(lang, text) of labelled documents outside the held-out fold, about train_docs of each language by hash of the id."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0))
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row per language
-    share = F.lit(0)
+    upto = F.lit(0).cast("long")
     for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(1e6 * min(1.0, train_docs / n))).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share).select("lang", "text")
+        upto = F.when(F.col("lang") == lang, F.lit((1 << 60) * min(train_docs, n) // n)).otherwise(upto)
+    return labelled.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 4) < upto).select("lang", "text")
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, path: str | None = None) -> tuple[list[str], PieceModel | None]:
@@ -126,8 +151,9 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pat
 
     def count_words():
         def one(lang, text):
-            for word, n in Counter(LETTERS.findall(text.lower())).items():
-                yield lang, word, n
+            for word, n in Counter(letter_runs(text)).items():
+                for at in range(0, len(word), TRAIN_LETTERS):
+                    yield lang, word[at : at + TRAIN_LETTERS], n
 
         return one
 
@@ -182,14 +208,20 @@ class Scorer:
         self.table = np.zeros((0, len(languages)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [LETTERS.findall((t or "").lower()) for t in texts]
+        found = [letter_runs(t or "") for t in texts]
         if len(self.row) > CACHE_WORDS:
             self.row, self.table = {}, self.table[:0]
         new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.row]
+        long = [w for w in new if len(w) > KEPT_LETTERS]
         if new:
+            new = [w for w in new if len(w) <= KEPT_LETTERS] + long
             self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
             self.table = np.concatenate([self.table, self.model.log_probabilities(new)])
-        return [self.best(words) for words in found]
+        out = [self.best(words) for words in found]
+        for w in long:
+            del self.row[w]
+        self.table = self.table[: len(self.row)]
+        return out
 
     def best(self, words: list[str]) -> tuple[str, float]:
         if not words:
