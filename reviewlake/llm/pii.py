@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewlake.llm.spans import SPANS, blanked, count_kind, find, redacted, spelled, with_matches
+from reviewlake.llm.spans import SPANS, blanked, chunks, count_kind, cut, find, named, redacted, spelled, with_matches
 from reviewlake.session import materialize
 
 ALPHA = 0.9
@@ -54,12 +54,12 @@ KINDS = {
 NAMES = [*KINDS, "term"]
 
 
-def _surroundings(text: Column, s: Column) -> Column:
-    """Terms in the REACH characters to each side of a span in its line; words cut off are left out."""
-    left = F.regexp_extract(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, F.least(s["start"], F.lit(REACH))), r"[^\n]*+$", 0)
-    right = F.regexp_extract(F.substring(text, s["end"] + 1, F.lit(REACH)), r"^[^\n]*+", 0)
-    before = F.filter(find(left, TERM), lambda t: (t["start"] > 0) | (F.length(left) < REACH))
-    after = F.filter(find(right, TERM), lambda t: (t["end"] < F.length(right)) | (F.length(right) < REACH))
+def _surroundings(chunked: Column, s: Column, reach: int) -> Column:
+    """Terms in the reach characters to each side of a span in its line; words cut off are left out."""
+    left = F.regexp_extract(cut(chunked, F.greatest(s["start"] - reach, F.lit(0)), F.least(s["start"], F.lit(reach))), r"[^\n]*+$", 0)
+    right = F.regexp_extract(cut(chunked, s["end"], F.lit(reach)), r"^[^\n]*+", 0)
+    before = F.filter(find(left, TERM), lambda t: (t["start"] > 0) | (F.length(left) < reach))
+    after = F.filter(find(right, TERM), lambda t: (t["end"] < F.length(right)) | (F.length(right) < reach))
     return F.struct(
         s["kind"].alias("kind"),
         F.when(s["kind"].isin(2, 3), digits(s["value"])).otherwise(F.lower(s["value"])).alias("entity"),
@@ -68,11 +68,11 @@ def _surroundings(text: Column, s: Column) -> Column:
     )
 
 
-def find_entities(docs: DataFrame) -> DataFrame:
+def find_entities(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """row, doc_id, base spans, the terms around each, and the text with the spans blanked."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     found = with_matches(rows, "text", KINDS, "base")
-    terms = F.when(F.size("base") > 0, F.transform("base", lambda s: _surroundings(F.col("text"), s)))
+    terms = F.when(F.size("base") > 0, named(chunks(F.col("text")), lambda c: F.transform("base", lambda s: _surroundings(c, s, reach))))
     return materialize(found.select("row", "doc_id", "base", terms.alias("mentions"), blanked(F.col("text"), F.col("base")).alias("open")), "pii-found")
 
 
@@ -101,9 +101,9 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, su
     return materialize(scored.where(F.col("disclosure") >= alpha).select(*key, "disclosure"), "pii-disclosing")
 
 
-def find_private(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def find_private(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
     """row, doc_id, base (spans of the patterns) and spans (those and disclosing terms)."""
-    found = find_entities(docs)
+    found = find_entities(docs, reach)
     reveals = disclosing_terms(docs, found, alpha, support).select("term").distinct()
     words = found.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("open", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     present = materialize(words.join(reveals, "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("terms")), "pii-present")
@@ -114,17 +114,20 @@ def find_private(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT)
     return found.select("row", "doc_id", "base").join(extra, "row", "left").select("row", "doc_id", "base", spans.alias("spans"))
 
 
-def private_report(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
+def private_report(docs: DataFrame, **parameters) -> DataFrame:
     """doc_id, counts by kind, digest of the base spans, and all spans."""
-    found = find_private(docs, alpha, support)
+    found = find_private(docs, **parameters)
     return found.select(
         "doc_id", *[count_kind(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(KINDS)],
         F.sha2(spelled(F.col("base"), NAMES), 256).alias("base_sha256"), spelled(F.col("spans"), NAMES).alias("spans"),
     )
 
 
-def sanitised(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT) -> DataFrame:
-    """docs with the spans in text replaced; documents are matched to spans by doc_id, which must be unique here."""
-    spans = find_private(docs, alpha, support).where(F.size("spans") > 0).select("doc_id", "spans")
-    text = redacted(F.col("text"), F.coalesce("spans", F.array().cast(SPANS)), NAMES)
-    return docs.join(spans, "doc_id", "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+def sanitised(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with the spans in text replaced; rows of equal doc_id and text share their spans, null ids included."""
+    key = [F.col("doc_id"), F.sha2("text", 256)]
+    spans = find_private(docs.select(F.struct(*key).alias("doc_id"), "text"), **parameters).where(F.size("spans") > 0)
+    spans = spans.groupBy("doc_id").agg(F.first("spans").alias("_spans")).select(F.col("doc_id.*"), "_spans").toDF("_doc_id", "_sha2", "_spans")
+    text = redacted(docs["text"], F.coalesce("_spans", F.array().cast(SPANS)), NAMES)
+    on = docs["doc_id"].eqNullSafe(spans["_doc_id"]) & (F.sha2(docs["text"], 256) == spans["_sha2"])
+    return docs.join(spans, on, "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
