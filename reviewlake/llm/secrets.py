@@ -1,11 +1,17 @@
 """Secrets by patterns, and by tests of randomness.
 
 Beside keyed values, access keys and long hexadecimal runs, every run of 20 or more characters of an encoding's
-alphabet is a candidate. Its encoding (hex, base32, base64) gives the alphabet; a battery measures chi-squared
-uniformity of the symbols, runs of character classes, and serial correlation of the codes. A candidate must not
-be rejected as random by any of the three, and it must be unlike ordinary words: the same statistics give a
-one-sided p-value under the symbol repetition and class changes of running text. Benjamini-Hochberg control at level
-Q, within each class of lengths, decides; its cut is read from a histogram of p-values (300 buckets a class).
+alphabet outside those, with a letter and a digit, is a candidate. Its inferred encoding (hex, base32, base64) gives the
+alphabet. A battery of three tests measures it: chi-squared uniformity of the symbols, runs of character classes, and serial
+correlation of the codes.
+
+Each test has a null distribution by encoding and length, simulated once on the driver, because no normal approximation
+holds for 20 to 40 characters over 64 symbols. Two nulls are used. Under ordinary names (words of letters as frequent as in
+English and numbers, joined, separated or capitalised) the three scores are added, and the sum's own simulated tail gives the
+p-value of a discovery, the largest of the three styles;
+Benjamini-Hochberg control at level Q within each encoding and class of lengths decides, its cut read from a histogram of
+p-values. Under uniform random symbols, the sum of squared scores must not be rejected at level RANDOM, so that orderly
+strings unlike text, such as counters, are no discoveries.
 
 All of this runs in built-in functions. Defined results: null and empty texts have no spans; repeated rows get equal
 results and count in the control as often as they occur; an empty table gives an empty table.
@@ -13,14 +19,28 @@ results and count in the control as often as they occur; an empty table gives an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import json
+from functools import lru_cache
 
-from reviewlake.llm.spans import SPANS, count_kind, find, overlaps, redacted, spelled, with_matches
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from reviewlake.llm.spans import SPANS, blanked, count_kind, find, named, redacted, spelled, with_matches
 from reviewlake.session import materialize
 
 Q = 0.001
-SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+RANDOM = 1e-3
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ENCODINGS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base64": UPPER + LOWER + DIGITS + "+/"}
+CLASSES = (UPPER, LOWER, DIGITS, "+/")
+#: Letters a to z per thousand of English text.
+FREQUENCY = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+#: Of ordinary names: share of upper-case, lower-case and number words, the words' lengths, and how words are set apart.
+SHARES, LENGTHS, STYLES = (0.2, 0.6, 0.2), (2, 8), ("joined", "separated", "capitals")
+SIZES = sorted({round(20 * 1.15**k) for k in range(19)})
+TRIALS = 2000
+TAIL = (0.5, 0.1, 0.01)
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}+={0,2}+"
 VALUE = r"""[:=]\x20*+["']?+"""
 
 #: kind -> (pattern, test of a match)
@@ -37,83 +57,145 @@ SEARCH = KINDS | {"hex": (r"(?<![0-9a-f])[0-9a-f]{32,}+", None)}
 NAMES = [*KINDS, "random"]
 
 
-def upper_tail(z: Column) -> Column:
-    """P(N(0, 1) > z), by Abramowitz and Stegun 26.2.17."""
-    a = F.abs(z)
-    t = 1 / (1 + 0.2316419 * a)
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-a * a / 2) * 0.3989422804014327 * poly
-    return F.when(z >= 0, tail).otherwise(1 - tail)
+def measures(codes: np.ndarray, classes: np.ndarray, a: int) -> np.ndarray:
+    """trials x 3: repeat rate (chi-squared up to scale), share of class changes, circular serial correlation."""
+    trials, n = codes.shape
+    counts = np.bincount((codes + a * np.arange(trials)[:, None]).ravel(), minlength=a * trials).reshape(trials, a).astype(float)
+    x = codes.astype(float)
+    total = x.sum(axis=1)
+    spread = n * (x * x).sum(axis=1) - total**2
+    around = n * (x * np.roll(x, -1, axis=1)).sum(axis=1) - total**2
+    serial = np.where(spread > 0, around / np.where(spread > 0, spread, 1), 1.0)
+    return np.column_stack([((counts**2).sum(axis=1) - n) / (n * (n - 1)), (classes[:, 1:] != classes[:, :-1]).mean(axis=1), serial])
+
+
+def drawn(rng: np.random.Generator, alphabet: str, n: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """TRIALS strings of n codes and their classes, random or like names of a style."""
+    class_of = np.array([next(k for k, x in enumerate(CLASSES) if c in x) for c in alphabet])
+    if kind == "random":
+        codes = rng.integers(0, len(alphabet), (TRIALS, n))
+        return codes, class_of[codes]
+    share = np.array(SHARES) * np.isin(range(3), class_of)
+    ends = rng.integers(LENGTHS[0], LENGTHS[1] + 1, (TRIALS, n)).cumsum(axis=1)
+    start = np.zeros((TRIALS, n + 1), bool)
+    np.put_along_axis(start, np.minimum(ends, n), True, axis=1)
+    word = start[:, :n].cumsum(axis=1)
+    classes = np.take_along_axis(rng.choice(3, size=(TRIALS, n), p=share / share.sum()), word, axis=1)
+    if 3 in class_of and kind == "separated":
+        classes = np.where(start[:, :n], 3, classes)
+    if {0, 1} <= set(class_of) and kind == "capitals":
+        classes = np.where(start[:, :n] & (classes == 1), 0, classes)
+    codes = np.zeros((TRIALS, n), int)
+    for k in np.unique(class_of):
+        at = np.flatnonzero(class_of == k)
+        often = np.array([FREQUENCY[LOWER.index(alphabet[i].lower())] if alphabet[i].isalpha() else 1 for i in at], float)
+        size = (TRIALS, 1) if k == 3 else (TRIALS, n)  # a name keeps to one separator
+        codes = np.where(classes == k, rng.choice(at, size=size, p=often / often.sum()), codes)
+    return codes, classes
+
+
+@lru_cache(maxsize=1)
+def nulls() -> str:
+    """JSON rows (encoding, size, and for random and each style: means, deviations, and the tail of the combined score)."""
+    rng, rows = np.random.default_rng(7), []
+    for name, alphabet in ENCODINGS.items():
+        for size in SIZES:
+            row = {"encoding": name, "size": size}
+            for kind in ("random", *STYLES):
+                m = measures(*drawn(rng, alphabet, size, kind), len(alphabet))
+                mean, std = m.mean(axis=0), m.std(axis=0) + 1e-9
+                z = (m - mean) / std
+                score = (z * z).sum(axis=1) if kind == "random" else z[:, 1] - z[:, 0] - z[:, 2]
+                row |= {f"{kind}_mean": mean.tolist(), f"{kind}_std": std.tolist(), f"{kind}_tail": np.quantile(score, [1 - p for p in TAIL]).tolist()}
+            rows.append(row)
+    return json.dumps(rows)
+
+
+def null_table(spark: SparkSession) -> DataFrame:
+    """The nulls as a table of one row for each encoding and size, some 60 in all."""
+    kinds = ", ".join(f"{k}_{x}: array<double>" for k in ("random", *STYLES) for x in ("mean", "std", "tail"))
+    rows = F.from_json(F.lit(nulls()), f"array<struct<encoding: string, size: int, {kinds}>>")
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
 
 
 def battery(value: Column) -> Column:
-    """Statistics of a candidate: length, p-value under ordinary text, and whether it passes as random."""
-    n = F.length(value).cast("double")
-    alphabet = F.when(value.rlike("^[0-9a-f]+$|^[0-9A-F]+$"), 16.0).when(value.rlike("^[A-Z2-7]+=*$"), 32.0).otherwise(64.0)
-    squares = F.aggregate(
-        F.array(*map(F.lit, SYMBOLS)), F.lit(0.0),
-        lambda s, c: s + F.pow((F.length(value) - F.length(F.replace(value, c, F.lit("")))).cast("double"), F.lit(2.0)),
-    )
-    changes = (F.regexp_count(value, F.lit("[a-z]++|[A-Z]++|[0-9]++|[^A-Za-z0-9]++")) - 1).cast("double")
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("prev", "x", "xx", "xy", "first")], F.lit(True).alias("new"))
-
-    def step(acc, c):
-        x = F.instr(F.lit(SYMBOLS), c).cast("double")
-        return F.struct(
-            x.alias("prev"), (acc["x"] + x).alias("x"), (acc["xx"] + x * x).alias("xx"),
-            (acc["xy"] + F.when(acc["new"], 0.0).otherwise(acc["prev"] * x)).alias("xy"),
-            F.when(acc["new"], x).otherwise(acc["first"]).alias("first"), F.lit(False).alias("new"),
-        )
-
-    def serial(acc):
-        around = acc["xy"] + acc["prev"] * acc["first"]
-        spread = n * acc["xx"] - acc["x"] * acc["x"]
-        return F.when(spread > 0, (n * around - acc["x"] * acc["x"]) / spread).otherwise(1.0)
-
-    correlation = F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), zero, step, serial)
-    return F.struct(n.alias("n"), alphabet.alias("a"), squares.alias("squares"), changes.alias("changes"), correlation.alias("serial"))
-
-
-def verdict(b: Column) -> tuple[Column, Column]:
-    """(passes as random, p-value under ordinary text) from the statistics.
-
-    Fixed values: symbols of running text repeat with probability 0.066, classes change at one place in ten.
-    """
-    n, a = b["n"], b["a"]
-    chi2 = a * b["squares"] / n - n
-    z_chi2 = (chi2 - (a - 1)) / F.sqrt(2 * (a - 1) * (n - 1) / n)
-    classes = F.when(a == 16, 0.47).when(a == 32, 0.30).otherwise(0.60)
-    z_runs = (b["changes"] - classes * (n - 1)) / F.sqrt(classes * (1 - classes) * (n - 1))
-    z_serial = (b["serial"] + 1 / (n - 1)) * F.sqrt(n)
-    random = (F.abs(z_runs) < 4) & (F.abs(z_serial) < 4) & (z_chi2 < 4)
-    repeats = (b["squares"] - n) / (n * (n - 1))
-    z_text = ((0.066 - repeats) / F.sqrt(2 * 0.066 * 0.934 / (n * (n - 1)))) * F.when(a == 16, 0.0).otherwise(1.0)
-    z_change = (b["changes"] - 0.1 * (n - 1)) / F.sqrt(0.09 * (n - 1))
-    weight = F.when(a == 16, 1.0).otherwise(F.sqrt(F.lit(2.0)))
-    return random, F.greatest(upper_tail((z_text + z_change) / weight), F.lit(1e-30))
+    """Encoding of a candidate, its length without padding, and the three measures, as `measures` has them."""
+    hexadecimal, base32 = value.rlike("^([0-9a-f]+|[0-9A-F]+)$"), value.rlike("^[A-Z2-7]+=*$")
+    encoding = F.when(hexadecimal, "hex").when(base32, "base32").otherwise("base64")
+    alphabet = F.when(hexadecimal, ENCODINGS["hex"]).when(base32, ENCODINGS["base32"]).otherwise(ENCODINGS["base64"])
+    plain = F.when(hexadecimal, F.lower(value)).otherwise(F.translate(F.regexp_replace(value, "=+$", ""), "-_", "+/"))
+
+    def of(x: Column) -> Column:
+        text, letters = x["text"], x["alphabet"]
+        n = F.length(text).cast("double")
+        squares = F.aggregate(F.split(letters, ""), F.lit(0.0), lambda s, c: s + F.pow((F.length(text) - F.length(F.replace(text, c, F.lit("")))).cast("double"), F.lit(2.0)))
+        changes = (F.regexp_count(text, F.lit("[a-z]++|[A-Z]++|[0-9]++|[+/]++")) - 1).cast("double")
+        codes = F.transform(F.split(text, ""), lambda c: (F.instr(letters, c) - 1).cast("double"))
+
+        def serial(v: Column) -> Column:
+            total = lambda w: F.aggregate(w, F.lit(0.0), lambda s, y: s + y)
+            shifted = F.concat(F.slice(v, 2, F.size(v) - 1), F.slice(v, 1, 1))
+            around = n * total(F.zip_with(v, shifted, lambda p, q: p * q)) - F.pow(total(v), F.lit(2.0))
+            spread = n * total(F.transform(v, lambda p: p * p)) - F.pow(total(v), F.lit(2.0))
+            return F.when(spread > 0, around / spread).otherwise(1.0)
+
+        found = F.array((squares - n) / (n * (n - 1)), changes / (n - 1), named(codes, serial))
+        return F.struct(x["encoding"].alias("encoding"), n.cast("int").alias("n"), found.alias("m"))
+
+    return named(F.struct(encoding.alias("encoding"), alphabet.alias("alphabet"), plain.alias("text")), of)
+
+
+def neg_log_p(score: Column, tail: Column) -> Column:
+    """-log10 of the upper tail, linear between the simulated points and beyond them."""
+    points = [-float(np.log10(p)) for p in TAIL]
+    line = lambda i: points[i] + (score - tail[i]) * (points[i + 1] - points[i]) / (tail[i + 1] - tail[i])
+    return F.greatest(F.when(score < tail[1], line(0)).otherwise(line(1)), F.lit(0.0))
+
+
+def verdict(b: Column, null) -> tuple[Column, Column]:
+    """(not rejected as random, -log10 p under the ordinary style that explains it best) from the measures and the nulls' columns."""
+
+    def scores(kind: str) -> list[Column]:
+        return [(b["m"][i] - null[f"{kind}_mean"][i]) / null[f"{kind}_std"][i] for i in range(3)]
+
+    def ordinary(style: str) -> Column:
+        repeats, changes, serial = scores(style)
+        return neg_log_p(changes - repeats - serial, null[f"{style}_tail"])
+
+    odd = neg_log_p(sum(z * z for z in scores("random")), null["random_tail"])
+    return odd <= -float(np.log10(RANDOM)), F.least(*map(ordinary, STYLES))
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, base spans, and the candidates that do not touch one, each with its statistics."""
+    """row, doc_id, base spans, and the candidates outside them."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = with_matches(rows, "text", SEARCH, "base").withColumn("runs", find(F.col("text"), CANDIDATE))
-    free = F.filter("runs", lambda s: ~overlaps(F.col("base"), s["start"], s["end"]) & s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
-    return materialize(found.select("row", "doc_id", "base", free.alias("runs")), "secrets-found")
+    found = with_matches(rows, "text", SEARCH, "base")
+    runs = find(blanked(F.col("text"), F.col("base")), CANDIDATE, lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))
+    return materialize(found.select("row", "doc_id", "base", runs.alias("runs")), "secrets-found")
+
+
+def scored(found: DataFrame) -> DataFrame:
+    """row, start, end, value, encoding, size (class of lengths), random and bucket (of -log10 p, tenths) of all candidates."""
+    runs = found.where(F.size("runs") > 0).select("row", F.explode("runs").alias("r")).withColumn("b", battery(F.col("r.value")))
+    null = null_table(found.sparkSession)
+    at = F.array_max(F.filter(F.array(*map(F.lit, SIZES)), lambda g: g <= F.greatest("b.n", F.lit(SIZES[0]))))
+    both = runs.join(F.broadcast(null), (F.col("b.encoding") == F.col("encoding")) & (at == F.col("size")))
+    random, p = verdict(F.col("b"), null)
+    return both.select(
+        "row", "r.start", "r.end", "r.value", "b.encoding", F.floor(F.log2(F.col("b.n"))).cast("int").alias("size"), random.alias("random"), F.floor(10 * p).cast("int").alias("bucket")
+    )
 
 
 def discoveries(found: DataFrame, q: float = Q) -> DataFrame:
     """(row, extra): spans of the candidates that the tests and the control let through."""
-    runs = found.where(F.size("runs") > 0).select("row", F.explode("runs").alias("r")).withColumn("b", battery(F.col("r.value")))
-    random, p = verdict(F.col("b"))
-    scored = materialize(
-        runs.select("row", "r.start", "r.end", "r.value", random.alias("random"), F.floor(F.log2(F.col("b.n"))).cast("int").alias("size"),
-                    F.floor(-10 * F.log10(p)).cast("int").alias("bucket")), "secrets-scored")
-    counts = scored.groupBy("size", "bucket").count()
-    upto = F.sum("count").over(W.partitionBy("size").orderBy(F.col("bucket").desc()))
+    rows = materialize(scored(found), "secrets-scored")
+    group = ["encoding", "size"]
+    counts = rows.groupBy(*group, "bucket").count()
+    upto = F.sum("count").over(W.partitionBy(*group).orderBy(F.col("bucket").desc()))
     edge = F.pow(F.lit(10.0), -F.col("bucket") / 10.0)
-    cuts = counts.withColumn("upto", upto).withColumn("all", F.sum("count").over(W.partitionBy("size")))
-    cuts = cuts.where(edge <= q * F.col("upto") / F.col("all")).groupBy("size").agg(F.min("bucket").alias("cut"))
-    kept = scored.where("random").join(cuts, "size").where("bucket >= cut")
+    cuts = counts.withColumn("upto", upto).withColumn("all", F.sum("count").over(W.partitionBy(*group)))
+    cuts = cuts.where(edge <= q * F.col("upto") / F.col("all")).groupBy(*group).agg(F.min("bucket").alias("cut"))
+    kept = rows.where("random").join(cuts, group).where("bucket >= cut")
     span = F.struct("start", F.lit(NAMES.index("random")).alias("kind"), "end", "value")
     return kept.groupBy("row").agg(F.collect_list(span).cast(SPANS).alias("extra"))
 
