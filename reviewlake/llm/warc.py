@@ -30,8 +30,9 @@ def base32(sha1) -> str:
     return base64.b32encode(sha1.digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
+def record_id(page_id: int | None, digest: str, row: int) -> str:
+    """By page and payload; by row too where a page has no id. Rows that repeat both page_id and payload are one record twice."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}:{digest}' if page_id is not None else f'{row}:{digest}')}>"
 
 
 def slices(payload: str, chunk_bytes: int):
@@ -81,12 +82,12 @@ def write_records(pages: DataFrame, min_bytes: int = 0, chunk_bytes: int = CHUNK
             first = dict(firsts or ()).get(digest)
             http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + f"Content-Length: {n}\r\n\r\n"
             block = len(http) + (n if first is None else 0)
-            head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+            head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest, row)}", f"WARC-Date: {date}"]
             if url:
                 head.append("WARC-Target-URI: " + " ".join(url.split("\n")).replace("\r", " "))
             head += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {block}"]
             if first is not None:
-                head += [f"WARC-Refers-To: {record_id(first)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+                head += [f"WARC-Refers-To: {record_id(first, digest, row)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
             yield row, page_id, 0, ("\r\n".join(head) + "\r\n\r\n" + http).encode(), None
             k, sha1 = 0, hashlib.sha1()
             if first is None:
