@@ -162,6 +162,16 @@ def test_archives(spark):
     assert big[1] == "response" and big[4] == "revisit"
 
 
+def test_pages_with_further_columns(spark):
+    """Columns named like the operator's own, and pages without id whose payloads are equal."""
+    rows = [(1, "u", "x" * 90, "row", "chunk", 5, "d"), (2, "u", "x" * 90, "row", "chunk", 5, "d"), (None, "u", "x" * 90, "row", "chunk", 5, "d"), (None, "u", "x" * 90, "row", "chunk", 5, "d")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, row string, chunk string, payload_bytes int, payload_digest string")
+    got = warc.archive_report(pages, chunk_bytes=32)
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got.collect()) == [(0, "response", None, 90)] * 2 + [(1, "response", None, 90), (2, "revisit", 1, 90)]
+    heads = [bytes(r["data"]) for r in warc.write_records(pages, chunk_bytes=32).where("chunk = 0").collect()]
+    assert len({h.split(b"WARC-Record-ID: ")[1].split(b"\r")[0] for h in heads}) == 4
+
+
 def test_a_record_is_a_warc_record(spark):
     chunks = warc.write_records(spark.createDataFrame([(1, "http://x/", "b" * 300)], "page_id long, url string, html string"), chunk_bytes=128).orderBy("chunk").collect()
     data = b"".join(bytes(c["data"]) for c in chunks)

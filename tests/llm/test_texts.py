@@ -10,6 +10,7 @@ import brute
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from reviewlake.llm import bpe, langid, mixing, packing, pii, quality, secrets
@@ -216,3 +217,107 @@ def test_forward_sum_is_over_all_segmentations():
     assert abs(np.exp(model.log_probabilities(["abab", "ba"])[0, 0]) - ways("▁abab")) < 1e-15
     uses = model.expected_uses(["abab"], np.array([2.0]), 0)
     assert abs(sum(len(k) * n for k, n in zip(pieces, uses)) - 10) < 1e-9
+
+
+def test_battery_is_the_measures():
+    """Scores of the simulated nulls: text is not discovered, random strings are, whatever the encoding and length."""
+    for name, alphabet in secrets.ENCODINGS.items():
+        rng = np.random.default_rng(3)
+        codes, kinds = secrets.drawn(rng, alphabet, 33, "capitals")
+        x = codes[0]
+        c = Counter(x.tolist())
+        mean = x.mean()
+        want = [
+            sum(v * v - v for v in c.values()) / (33 * 32), sum(a != b for a, b in zip(kinds[0], kinds[0][1:])) / 32,
+            sum((x[i] - mean) * (x[(i + 1) % 33] - mean) for i in range(33)) / sum((x - mean) ** 2),
+        ]
+        assert np.allclose(secrets.measures(codes, kinds, len(alphabet))[0], want)
+
+
+def test_battery_in_spark(spark):
+    rng = random.Random(8)
+    alphabets = secrets.ENCODINGS
+    values = ["".join(rng.choice(a) for _ in range(n)) + pad for a in alphabets.values() for n in (21, 40, 300) for pad in ("", "=")]
+    values += ["AbCd" * 9, "0" * 30, "zz_zz-11" * 4]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", secrets.battery(F.col("v")).alias("b")).collect()
+    for r in rows:
+        v, name = values[r["i"]], r["b"]["encoding"]
+        plain = v.lower() if name == "hex" else v.rstrip("=").replace("-", "+").replace("_", "/")
+        codes = np.array([[alphabets[name].index(c) for c in plain]])
+        kinds = np.array([[next(k for k, x in enumerate(secrets.CLASSES) if c in x) for c in plain]])
+        assert r["b"]["n"] == len(plain) and np.allclose(r["b"]["m"], secrets.measures(codes, kinds, len(alphabets[name]))[0])
+
+
+def test_discoveries_are_controlled(spark):
+    """Ordinary names, counters and dates are left alone beside planted keys of all encodings."""
+    rng = random.Random(9)
+    words = "the quick brown fox jumps over lazy dog and many other words of english prose are here".split()
+    plain = ["_".join(rng.choice(words) for _ in range(6)) + str(rng.randrange(100)) for _ in range(400)] + [f"2024-01-{i:02d}T00-00-00Z-abcdef" for i in range(1, 29)]
+    plain += [f"aaaaaaaaaaaaaaaaaaaaaaaa{i}" for i in range(20)] + ["".join(rng.choice(words).title() for _ in range(7)) + str(i) for i in range(200)]
+    keys = ["".join(rng.choice(a) for _ in range(n)) + "7" for a, n in zip(secrets.ENCODINGS.values(), (28, 36, 44)) for _ in range(40)]
+    df = spark.createDataFrame([(i, f"say {t} now") for i, t in enumerate(plain + keys)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.secrets_report(df).collect() if "random" in r["spans"]}
+    assert len([i for i in found if i < len(plain)]) <= 2
+    assert len([i for i in found if i >= len(plain)]) >= 100
+
+
+def test_many_matches_in_one_text(spark):
+    """Tens of thousands of matches, each at its place."""
+    text = " ".join(f"AKIA{i:016d} é x{i}@y.com" for i in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.secrets_report(df).first()["base_sha256"] == brute.digest(brute.base_spans(text, brute.SECRETS))
+    assert pii.private_report(df).first()["base_sha256"] == brute.digest(brute.base_spans(text, brute.PII))
+    assert secrets.without_secrets(df).first()["text"] == re.sub(r"AKIA[0-9]+", "[access]", text)
+
+
+def test_spans_that_overlap_are_replaced_once(spark):
+    from reviewlake.llm import spans
+
+    text = "0123456789" * 60
+    given = [(3, 0, 9, ""), (5, 1, 7, ""), (8, 1, 300, ""), (301, 0, 302, ""), (302, 1, 303, ""), (599, 0, 600, "")]
+    df = spark.createDataFrame([(text, given), ("none", [])], f"text string, s {spans.SPANS}")
+    got = df.select(spans.blanked(F.col("text"), F.col("s")), spans.redacted(F.col("text"), F.col("s"), ["a", "b"])).collect()
+    blank = "".join(" " if any(a <= i < b for a, _, b, _ in given) else c for i, c in enumerate(text))
+    assert tuple(got[0]) == (blank, text[:3] + "[a]" + text[300:301] + "[a][b]" + text[303:599] + "[a]") and tuple(got[1]) == ("none", "none")
+
+
+def test_sanitised_by_row(spark):
+    """Null and repeated ids: every row loses its own personal data and stays one row."""
+    rows = [(None, "write a@b.co", 1), (None, "call +1 555 010 9999", 1), (5, "write c@d.co", 2), (5, "nothing", 2), (5, "nothing", 2), (6, None, 3)]
+    got = [tuple(r) for r in pii.sanitised(spark.createDataFrame(rows, "doc_id long, text string, spans int")).collect()]
+    want = [(None, "write [email]", 1), (None, "call [phone]", 1), (5, "write [email]", 2), (5, "nothing", 2), (5, "nothing", 2), (6, None, 3)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_numbers_are_no_letters():
+    assert langid.letter_runs("² ½ Ⅷ 12 _") == [] and langid.letter_runs("x²y É") == ["x", "y", "é"]
+
+
+def test_long_words_are_scored_whole():
+    """As far as doubles reach, rescaling changes nothing; beyond, the log goes on in proportion."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba"]
+    model = langid.PieceModel(pieces, np.array([[0.1, 0.3], [0.2, 0.1], [0.15, 0.2], [0.25, 0.1], [0.2, 0.1], [0.1, 0.2]]))
+    alpha = [np.ones(2)] + [np.zeros(2)] * 121
+    word = "▁" + "abba" * 30
+    for j in range(1, 122):
+        alpha[j] = sum((alpha[i] * model.table[model.at[word[i:j]]] for i in range(max(0, j - 2), j) if word[i:j] in model.at), np.zeros(2))
+    got = model.log_probabilities(["abba" * 30, "abba" * 3000, "q" * 5000])
+    assert np.allclose(got[0], np.log(alpha[121])) and np.isfinite(got).all()
+    assert np.allclose(got[1] / 3000, (model.log_probabilities(["abba" * 6000])[0] - got[1]) / 3000, rtol=1e-3)
+
+
+def test_training_rows_of_a_large_language(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("en").alias("lang"))
+    assert 0 < langid.sample_labelled(df, 40).count() < 120
+
+
+def test_words_too_long_to_keep():
+    counts, ids = bpe.WordCounts({}, "", lambda w: w), packing.WordIds(bpe.vocabulary(PATH)[0])
+    assert counts["x" * 1000] == 1000 and len(counts) == 0 and counts["xy"] == 2 and len(counts) == 1
+    assert ids["x" * 1000] and len(ids) == 0
+
+
+def test_rules_are_measured_on_a_sample(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    rows = quality.measure_rules(df, quality.RULES, 500).collect()
+    assert {r["rule"] for r in rows} == {f.__name__ for f in quality.RULES} and all(300 < r["rows"] < 700 for r in rows)
