@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from reviewlake.operators.corpus import with_ordinal
 from reviewlake.session import ship
 
 STATS = ("n", "mean", "median", "min", "max", "stdev")
@@ -128,6 +129,21 @@ def participation_ratio(df: DataFrame, vec: str) -> DataFrame:
     return c.agg((F.pow(F.sum(F.when(F.col("i") == F.col("j"), F.col("c")).otherwise(0.0)), F.lit(2.0)) / F.sum(twice * F.col("c") * F.col("c"))).alias("participation_ratio"))
 
 
+def spectrum(df: DataFrame, vec: str, first: int = 10, zscored: bool = False) -> DataFrame:
+    """(nth, eigenvalue, share) of the covariance's largest eigenvalues, or of the correlation's; the D x D matrix goes to the driver."""
+    cells = covariance(df, vec).collect()  # D (D + 1) / 2 rows
+    d = 1 + max((r["j"] for r in cells), default=-1)
+    c = np.zeros((d, d))
+    for r in cells:
+        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["c"]
+    if zscored:
+        std = np.maximum(np.sqrt(np.diag(c)), 1e-6)
+        c = c / np.outer(std, std)
+    values = np.maximum(np.linalg.eigvalsh(c)[::-1], 0) if d else c[0]
+    rows = [(k + 1, float(v), float(v / values.sum()) if values.sum() else 0.0) for k, v in enumerate(values[:first])]
+    return df.sparkSession.createDataFrame(rows, "nth int, eigenvalue double, share double")
+
+
 def view_consistency(a: DataFrame, b: DataFrame, key: str, vec: str, weights=(25.0, 25.0, 1.0), eps: float = 1e-4) -> DataFrame:
     """One row: invariance, variance and covariance terms between two views of entities, and their weighted sum."""
     pairs = a.select(key, F.col(vec).alias("va")).join(b.select(key, F.col(vec).alias("vb")), key)
@@ -156,11 +172,14 @@ def label_leakage(df: DataFrame, vec: str, label: str, eps: float = 1e-6) -> Dat
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, key: str, by: list[str]) -> DataFrame:
-    """MAE, RMSE, largest error, Pearson, R2 and Spearman (ordinal ranks, ties by key) in each group."""
+    """MAE, RMSE, largest error, Pearson, R2 and Spearman (ordinal ranks, ties by key) in each group.
+
+    Ranks are ordinals over all groups, which differ from those in the group by a constant; a correlation is the same.
+    """
     err = F.col(yhat) - F.col(y)
     ranked = df
     for c, r in ((y, "_ry"), (yhat, "_rp")):
-        ranked = ranked.withColumn(r, F.row_number().over(W.partitionBy(*by).orderBy(c, key)))
+        ranked = with_ordinal(ranked, [*by, c, key], r)
     return ranked.groupBy(*by).agg(
         F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"), F.max(F.abs(err)).alias("max_error"), F.corr(y, yhat).alias("pearson"),
         (1 - F.sum(err * err) / (F.var_pop(y) * F.count("*"))).alias("r2"), F.corr("_ry", "_rp").alias("spearman"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.functions.text import clean_id, clean_text, to_recommend
+from reviewlake.session import materialize
 
 MIN_LENGTH, MIN_COUNT = 300, 500
 
@@ -27,11 +28,15 @@ def filter_count(df: DataFrame, key: str, n: int = MIN_COUNT, strict: bool = Tru
 def prepare_reviews(
     df: DataFrame, entity: str, text: str, label: str | None = None, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT, strict: bool = True
 ) -> DataFrame:
-    """appid, review and recommend of long enough reviews of entities with enough of them; blank ids vanish."""
+    """appid, review and recommend of long enough reviews of entities with enough of them; blank ids vanish.
+
+    Texts are cleaned once: an exploded array of one, which the length filter empties, is worked out in one place, and the
+    rows are written before their entities are counted.
+    """
     label = to_recommend(F.col(label)) if label else F.lit("")
-    rows = df.select(clean_id(F.col(entity)).alias("appid"), clean_text(F.col(text)).alias("review"), label.alias("recommend"))
-    rows = rows.where((F.col("appid") != "") & at_least(F.length("review"), min_length, strict))
-    return filter_count(rows, "appid", min_count, strict)
+    review = F.explode(F.filter(F.array(clean_text(F.col(text))), lambda x: at_least(F.length(x), min_length, strict)))
+    rows = df.select(clean_id(F.col(entity)).alias("appid"), review.alias("review"), label.alias("recommend")).where(F.col("appid") != "")
+    return filter_count(materialize(rows, "prepared"), "appid", min_count, strict)
 
 
 def skip_meta(df: DataFrame, col: str = "review_id", first: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewlake.functions.text import clean_text
-from reviewlake.operators.splitting import sentence_array
+from reviewlake.operators.splitting import sentence_array, sentence_count
 from reviewlake.session import materialize, ship
 
 
@@ -33,6 +33,12 @@ def build_corpus(docs: DataFrame, entity: str, review: str, text: str) -> DataFr
     return rows.withColumn("n_sentences", F.size("sentences")).where("n_sentences > 0")
 
 
+def sentence_counts(docs: DataFrame, entity: str, review: str, text: str) -> DataFrame:
+    """(appid, review_id, n_sentences) of reviews with at least one sentence: one pass over the texts, written as narrow rows."""
+    rows = docs.select(F.col(entity).alias("appid"), F.col(review).alias("review_id"), sentence_count(F.col(text)).alias("n_sentences"))
+    return materialize(rows, "sentence-counts").where("n_sentences > 0")
+
+
 def with_offsets(reviews: DataFrame) -> DataFrame:
     """Add start and end: the range of a review's sentences in the whole corpus by (appid, review_id)."""
     rows = with_ordinal(reviews, ["appid", "review_id"], "start", "n_sentences")
@@ -164,9 +170,10 @@ def balanced_buckets(sizes: DataFrame, key: str, size: str, n: int) -> DataFrame
 
 
 def build_sequences(targets: DataFrame, vectors: DataFrame, key: str, order: str, vec: str) -> DataFrame:
-    """(key, n, vectors): the vectors of each target in order."""
-    rows = vectors.join(targets.select(key), key, "left_semi").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, vec))).alias("x"))
-    return rows.select(key, F.size("x").alias("n"), F.transform("x", lambda s: s[vec]).alias("vectors"))
+    """(key, position, vector): the vectors of each target in order, from position 0. No key's vectors meet in one row or task."""
+    rows = with_ordinal(vectors.join(targets.select(key), key, "left_semi").select(key, order, F.col(vec).alias("vector")), [key, order], "_at")
+    first = rows.groupBy(key).agg(F.min("_at").alias("_first"))
+    return rows.join(first, key).select(key, (F.col("_at") - F.col("_first")).alias("position"), "vector")
 
 
 def sequence_errors(targets: DataFrame, vectors: DataFrame, key: str) -> DataFrame:

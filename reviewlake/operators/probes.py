@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewlake.functions.text import logit, sigmoid
 from reviewlake.functions.vectors import dot, scale
 from reviewlake.operators.aggregates import regression_metrics
-from reviewlake.session import ship
+from reviewlake.session import materialize, ship
 
 
 def literal(values) -> Column:
@@ -105,39 +105,78 @@ def sentiment_r2(df: DataFrame, key: str, x: str, y: str, fold: str, alpha: floa
 
 
 def tag_probe(df: DataFrame, key: str, x: str, tags: list[str], fold: str, folds: int, c: float = 1.0, min_train: int = 2, min_held: int = 1, grid=None, rounds: int = 12) -> DataFrame:
-    """(tag, fold, threshold, tp, fp, fn) of balanced logistic probes, out of fold; a task fits one tag and fold.
+    """(tag, fold, threshold, tp, fp, fn) of balanced logistic probes, out of fold.
 
-    Rows are entities (thousands at most), each with a vector and 0/1 tag columns; vectors are scaled to length one.
+    Rows hold a vector, scaled to length one here, 0/1 tag columns and their own fold. Each Newton step is one pass: tasks add up
+    gradient and Hessian of all tags and folds, and the sums (tags x folds x D x D) go to the driver, whatever the number of
+    rows. Thresholds are chosen from counts on the grid, in one more pass.
     """
-    grid = grid or [0.1 + 0.8 * i / 32 for i in range(33)]
-    ship(df.sparkSession)
-    pairs = F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), F.col(t).cast("int").alias("y")) for t in tags]))
-    rows = df.select(key, F.col(x).alias("x"), F.col(fold).alias("own"), pairs.alias("p")).select(key, "x", "own", "p.*")
-    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        z = np.stack(pdf.x.to_numpy())
-        z = np.column_stack([z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-8), np.ones(len(z))])
-        y, train = pdf.y.to_numpy(), (pdf.own != pdf.fold).to_numpy()
-        if y[train].sum() < min_train or y[~train].sum() < min_held or y[train].all():
-            ints = {k: pd.Series([], dtype="int64") for k in ("fold", "tp", "fp", "fn")}
-            return pd.DataFrame({"tag": pd.Series([], dtype=object), "threshold": pd.Series([], dtype="float64"), **ints})
-        w, t = z[train], y[train]
-        weight = np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (len(t) - t.sum())))
-        penalty = np.append(np.full(z.shape[1] - 1, 1.0 / c), 0.0)
-        beta = np.zeros(z.shape[1])
-        for _ in range(rounds):
-            p = 1 / (1 + np.exp(-np.clip(w @ beta, -50, 50)))
-            h = (w * (weight * p * (1 - p))[:, None]).T @ w + np.diag(penalty + 1e-9)
-            beta -= np.linalg.solve(h, w.T @ (weight * (p - t)) + penalty * beta)
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -50, 50)))
-        f1 = lambda q, v: 2 * (q & (v == 1)).sum() / max(1, 2 * (q & (v == 1)).sum() + (q != (v == 1)).sum())
-        best = max(grid, key=lambda g: (f1(p[train] >= g, t), -g))
-        q, v = p[~train] >= best, y[~train] == 1
-        return pd.DataFrame({"tag": [pdf.tag.iloc[0]], "fold": [pdf.fold.iloc[0]], "threshold": [best], "tp": [(q & v).sum()], "fp": [(q & ~v).sum()], "fn": [(~q & v).sum()]})
-
-    return rows.groupBy("tag", "fold").applyInPandas(fit, "tag string, fold long, threshold double, tp long, fp long, fn long")
+    grid = np.array(grid or [0.1 + 0.8 * i / 32 for i in range(33)])
+    spark = df.sparkSession
+    ship(spark)
+    rows = materialize(df.select(F.col(x).alias("x"), F.col(fold).cast("long").alias("fold"), F.array(*[F.col(t).cast("double") for t in tags]).alias("y")), "probe-rows")
+    models = [(t, k) for t in range(len(tags)) for k in range(folds)]
+
+    def summed(one) -> np.ndarray:
+        """The sum over all rows of one(z, y, fold), an array of fixed shape."""
+
+        def run(batches):
+            total = 0
+            for pdf in batches:
+                if len(pdf):
+                    z = np.stack(pdf.x.to_numpy())
+                    z = np.column_stack([z / (np.linalg.norm(z, axis=1, keepdims=True) + 1e-8), np.ones(len(z))])
+                    total = total + one(z, np.stack(pdf.y.to_numpy()), pdf.fold.to_numpy())
+            if not np.isscalar(total):
+                yield pd.DataFrame({"k": np.arange(len(total)), "data": [m.tobytes() for m in total]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"k": [pdf.k.iloc[0]], "data": [sum(np.frombuffer(d) for d in pdf.data).tobytes()]})
+
+        found = rows.mapInPandas(run, "k long, data binary").groupBy("k").applyInPandas(add, "k long, data binary").collect()
+        return np.stack([np.frombuffer(r["data"]) for r in sorted(found, key=lambda r: r["k"])]) if found else np.zeros((0, 0))
+
+    counts = summed(lambda z, y, own: np.array([[(own != k).sum(), y[own != k, t].sum(), y[own == k, t].sum()] for t, k in models], float))
+    fitted = [m for m, (n, pos, held) in enumerate(counts) if pos >= min_train and held >= min_held and pos < n]
+    if not fitted:
+        return spark.createDataFrame([], "tag string, fold long, threshold double, tp long, fp long, fn long")
+    dim = len(rows.first()["x"]) + 1
+    beta, penalty = np.zeros((len(fitted), dim)), np.append(np.full(dim - 1, 1.0 / c), 0.0)
+
+    def score(z: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z @ b, -50, 50)))
+
+    for _ in range(rounds):
+
+        def step(z, y, own, beta=beta):
+            out = np.zeros((len(fitted), dim * dim + dim))
+            for i, m in enumerate(fitted):
+                (t, k), (n, pos, _) = models[m], counts[m]
+                w, v = z[own != k], y[own != k, t]
+                weight, p = np.where(v == 1, n / (2 * pos), n / (2 * (n - pos))), score(w, beta[i])
+                out[i] = np.concatenate([((w * (weight * p * (1 - p))[:, None]).T @ w).ravel(), w.T @ (weight * (p - v))])
+            return out
+
+        sums = summed(step)
+        beta = np.stack([b - np.linalg.solve(s[: dim * dim].reshape(dim, dim) + np.diag(penalty + 1e-9), s[dim * dim :] + penalty * b) for b, s in zip(beta, sums)])
+
+    def tally(z, y, own):
+        """Per model, threshold and side (train, held out): tp, fp, fn."""
+        out = np.zeros((len(fitted), len(grid), 2, 3))
+        for i, m in enumerate(fitted):
+            t, k = models[m]
+            said, held = score(z, beta[i])[:, None] >= grid, own == k
+            true = (y[:, t] == 1)[:, None]
+            for side, at in enumerate((~held, held)):
+                out[i, :, side] = np.stack([(said & true)[at].sum(0), (said & ~true)[at].sum(0), (~said & true)[at].sum(0)], axis=1)
+        return out.reshape(len(fitted), -1)
+
+    out = []
+    for m, s in zip(fitted, summed(tally).reshape(len(fitted), len(grid), 2, 3)):
+        f1 = 2 * s[:, 0, 0] / np.maximum(1, 2 * s[:, 0, 0] + s[:, 0, 1] + s[:, 0, 2])
+        best = int(np.argmax(f1))
+        out.append((tags[models[m][0]], models[m][1], float(grid[best]), *(int(v) for v in s[best, 1])))
+    return spark.createDataFrame(out, "tag string, fold long, threshold double, tp long, fp long, fn long")
 
 
 def apply_probe(df: DataFrame, x: str, params: dict[str, tuple[list[float], float] | None]) -> DataFrame:
@@ -234,8 +273,9 @@ def binary_by_median(df: DataFrame, dims: list[str]) -> DataFrame:
 def loo_group_f1(df: DataFrame, key: str, x: str, dims: list[str], groups: dict[str, str]) -> DataFrame:
     """(group, f1): leave-one-out logistic probes of scores above the median, micro F1 by group of dimensions."""
     rows = binary_by_median(df, dims)
-    ids = rows.select(key).orderBy(key)
-    n = ids.count()
+    n = rows.count()
+    if n > 1000:
+        raise ValueError("leave-one-out probes are for tables of at most 1000 rows")
     from reviewlake.operators.corpus import with_ordinal
 
     held = with_ordinal(rows, [key], "own")

@@ -5,16 +5,24 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import NumericType
 
 METRICS = ("composite_score", "tag_micro_f1", "sentiment_r2", "recommendation_pearson", "hit_at_5", "pr", "mean_text_cosine")
 
 
-def expand_grid(spark: SparkSession, dims: dict[str, list], exclude: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
-    """Every combination of the listed values with its combo_id; rows of exclude (any of the columns) take theirs out."""
-    grid = spark.range(1).select(*[F.array(*[F.lit(v) for v in vs]).alias(k) for k, vs in dims.items()])
-    grid = reduce(lambda df, k: df.withColumn(k, F.explode(k)), dims, grid)
+def expand_grid(spark: SparkSession, dims: dict[str, list | DataFrame], exclude: DataFrame | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Every combination of the values with its combo_id; rows of exclude (any of the columns) take theirs out.
+
+    Values are a list, or the distinct rows of a frame that has the dimension's column. The grid is what is asked for, so the
+    frames are crossed; all their rows count.
+    """
+    lists = {k: vs for k, vs in dims.items() if not isinstance(vs, DataFrame)}
+    grid = spark.range(1).select(*[F.array(*[F.lit(v) for v in vs]).alias(k) for k, vs in lists.items()])
+    grid = reduce(lambda df, k: df.withColumn(k, F.explode(k)), lists, grid)
+    grid = reduce(lambda df, k: df.crossJoin(dims[k].select(k).distinct()), [k for k in dims if k not in lists], grid).select(*dims)
     if exclude is not None:
-        same = lambda c: F.abs(grid[c].cast("double") - exclude[c].cast("double")) < tolerance if isinstance(dims[c][0], (int, float)) else grid[c] == exclude[c]
+        number = lambda c: isinstance(grid.schema[c].dataType, NumericType)
+        same = lambda c: F.abs(grid[c].cast("double") - exclude[c].cast("double")) < tolerance if number(c) else grid[c] == exclude[c]
         grid = grid.join(exclude, reduce(lambda a, b: a & b, map(same, exclude.columns)), "left_anti")
     return grid.withColumn("combo_id", F.concat_ws("_", *[F.concat(F.lit(k[:1]), F.col(k).cast("string")) for k in dims]))
 

@@ -6,26 +6,32 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewlake.functions.text import clean_text, strip_ws
 
-#: Marks that end a sentence.
+#: Marks that end a sentence, and the words of a sentence of prose.
 ENDS = ".!?" + "".join(map(chr, (0x3002, 0xFF01, 0xFF1F)))
-MODES = {
-    "fallback": rf"(?<=[{ENDS}])\s+",
-    "query": rf"(?:\r?\n)+|(?<=[{ENDS};{chr(0xFF1B)}])\s*",
-    "prose": r"""(?<=[.!?])\s+(?=[A-Z0-9"'])""",
-}
+PROSE_WORDS = (7, 60)
+#: A sentence of cleaned text: up to a mark before a space, or before a space and a start of the next one.
+SENTENCE = f"[^ ].*?(?:[{ENDS}](?= )|$)"
+PROSE = """[^ ].*?(?:[.!?](?= [A-Z0-9"'])|$)"""
+#: A part of query text: up to a mark or the line's end.
+QUERY_PART = rf"[^\r\n{ENDS};{chr(0xFF1B)}]*[{ENDS};{chr(0xFF1B)}]|[^\r\n{ENDS};{chr(0xFF1B)}]+"
+
+
+def sentence_count(c: Column) -> Column:
+    """Length of sentence_array(c), without making it."""
+    return F.regexp_count(clean_text(c), F.lit(SENTENCE))
 
 
 def sentence_array(c: Column, mode: str = "fallback", cap: int | None = None) -> Column:
     """Trimmed non-empty sentences. 'query' keeps newlines as ends and never gives an empty array; 'prose' keeps 7 to 60 words."""
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if mode == "query":
-        text = strip_ws(c)
+        parts = F.filter(F.transform(every(strip_ws(c), QUERY_PART), strip_ws), lambda s: s != "")
+        parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(strip_ws(c)))
+    elif mode == "prose":
+        text = clean_text(F.regexp_replace(c, r"\[[^\]]+\]", ""))
+        parts = F.filter(every(text, PROSE), lambda s: F.size(F.split(s, " ")).between(*PROSE_WORDS))
     else:
-        text = clean_text(F.regexp_replace(c, r"\[[^\]]+\]", "") if mode == "prose" else c)
-    parts = F.filter(F.transform(F.split(text, MODES[mode]), strip_ws), lambda s: s != "")
-    if mode == "prose":
-        parts = F.filter(parts, lambda s: F.size(F.split(s, " ")).between(7, 60))
-    if mode == "query":
-        parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+        parts = every(clean_text(c), SENTENCE)
     return F.slice(parts, 1, cap) if cap else parts
 
 

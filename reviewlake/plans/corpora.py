@@ -14,7 +14,7 @@ RUNNING = 'sum(n_sentences) OVER (ORDER BY appid, review_id)'
 
 
 def reviews(t: Tables):
-    return corpus.build_corpus(t.documents, "source", "doc_id", "text").drop("sentences")
+    return corpus.sentence_counts(t.documents, "source", "doc_id", "text")
 
 
 @query("c6_build_offsets", f'WITH {CORPUS} SELECT appid, review_id, n_sentences, CAST({RUNNING} - n_sentences AS BIGINT) AS start, CAST({RUNNING} AS BIGINT) AS "end" FROM r')
@@ -83,11 +83,11 @@ def c14(t: Tables):
     return corpus.balanced_buckets(t.documents.groupBy("source").agg(F.sum("n_chars").alias("size")), "source", "size", 4)
 
 
-@query("c15_build_sequences", "SELECT label, count(*) AS n, round(sum(v[1]), 6) AS firsts, arg_min(vec_id, vec_id) AS head FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) WHERE label < 6 GROUP BY 1")
+@query("c15_build_sequences", "SELECT label, count(*) AS n, round(sum(v[1]), 6) AS firsts, arg_min(vec_id, vec_id) AS head FROM (SELECT label, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) GROUP BY 1")
 def c15(t: Tables):
-    vectors = t.embeddings.select("label", "vec_id", doubles(F.col("embedding")).alias("v"))
-    rows = corpus.build_sequences(vectors.where("label < 6").select("label").distinct(), vectors.withColumn("v", F.struct("vec_id", "v")), "label", "vec_id", "v")
-    return rows.select("label", F.col("n").cast("long").alias("n"), F.round(F.aggregate("vectors", F.lit(0.0), lambda s, x: s + x["v"][0]), 6).alias("firsts"), F.col("vectors")[0]["vec_id"].alias("head"))
+    vectors = t.embeddings.select("label", "vec_id", F.struct("vec_id", doubles(F.col("embedding")).alias("v")).alias("v"))
+    rows = corpus.build_sequences(vectors.select("label").distinct(), vectors, "label", "vec_id", "v")
+    return rows.groupBy("label").agg((F.max("position") + 1).alias("n"), F.round(F.sum(F.col("vector.v")[0]), 6).alias("firsts"), F.min_by("vector.vec_id", "position").alias("head"))
 
 
 @query("c15_sequence_errors", "SELECT p_partkey, 'no vectors' AS error FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) UNION ALL SELECT DISTINCT l_partkey, 'no target' FROM lineitem WHERE l_quantity > 40 AND l_partkey NOT IN (SELECT p_partkey FROM part)")

@@ -24,8 +24,7 @@ def cells(t: Tables):
 
 @query("x1_grid_expand", "SELECT n_nationkey AS dim, r_regionkey AS views, CASE WHEN arm = 1 THEN 'grl' ELSE 'nogrl' END AS arm, 'd' || n_nationkey || '_v' || r_regionkey || '_a' || CASE WHEN arm = 1 THEN 'grl' ELSE 'nogrl' END AS combo_id FROM nation, region, (SELECT unnest([1, 2]) AS arm) WHERE NOT (n_nationkey = r_regionkey)")
 def x1(t: Tables):
-    dims = [r[0] for r in t.nation.select("n_nationkey").distinct().limit(100).collect()]
-    views = [r[0] for r in t.region.select("r_regionkey").distinct().limit(100).collect()]
+    dims, views = t.nation.select(F.col("n_nationkey").alias("dim")), t.region.select(F.col("r_regionkey").alias("views"))
     exclude = t.region.select(F.col("r_regionkey").alias("dim"), F.col("r_regionkey").alias("views"))
     return X.expand_grid(t.spark, {"dim": dims, "views": views, "arm": ["grl", "nogrl"]}, exclude)
 
@@ -229,9 +228,7 @@ def streamed(t: Tables, name: str):
 
 
 def taken(t: Tables, df):
-    name = f"stream_{uuid.uuid4().hex}"
-    jobs.run_available(df, name, scratch(t, "stream"))
-    return t.spark.table(name)
+    return jobs.run_available(df, scratch(t, "stream"))
 
 
 @query("w1_follow_run_log", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")

@@ -26,9 +26,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, a new local one, as single-machine runs need."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a new local one if all runs on this machine, else an error."""
     where = spark.conf.get(CHECKPOINT, None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT} to a folder that all machines share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-reviewlake-')}"
         spark.conf.set(CHECKPOINT, where)
     return where.rstrip("/")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -35,8 +36,8 @@ def scan_reviews(spark: SparkSession, path: str, fmt: str | None = None, sep: st
 
 
 def infer_columns(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:
-    """Logical to physical column names. An override must exist; appid and review must be found."""
-    norm = lambda c: c.strip().lower()
+    """Logical to physical column names, compared by their letters a-z and digits. An override must exist; appid and review must be found."""
+    norm = lambda c: re.sub("[^a-z0-9]", "", c.lower())
     there = {}
     for c in df.columns:
         there.setdefault(norm(c), c)
@@ -46,7 +47,7 @@ def infer_columns(df: DataFrame, overrides: dict[str, str] | None = None) -> dic
             if norm(o) not in there:
                 raise ValueError(f"no column {o!r} for {logical}")
             found[logical] = there[norm(o)]
-        elif hit := next((there[n] for n in names if n in there), None):
+        elif hit := next((there[n] for n in map(norm, names) if n in there), None):
             found[logical] = hit
     if missing := [c for c in REQUIRED if c not in found]:
         raise ValueError(f"no column for {', '.join(missing)}")
@@ -99,6 +100,13 @@ def scan_treebank(spark: SparkSession, path: str, columns: list[str], sep: str =
     return spark.read.csv(path, sep=sep, quote="", header=header, inferSchema=False).toDF(*columns)
 
 
+def scan_lines(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
+    """(row, columns) of a folder of text files whose lines belong together by number: row counts from 0 within each file."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("row", "line"))
+    parts = F.split("line", re.escape(sep), len(columns))
+    return lines.select("row", *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
+
 def scan_reports(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Nested JSON reports with their file; a report that can't be read has status bad_json."""
     df = spark.read.schema(schema + ", _bad string").option("columnNameOfCorruptRecord", "_bad").option("mode", "PERMISSIVE").option("multiLine", True).json(path)

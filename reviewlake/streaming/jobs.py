@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from reviewlake.operators.cleaning import MIN_LENGTH, at_least
 from reviewlake.functions.text import clean_id, clean_text
@@ -30,8 +29,18 @@ def stream_review_counts(reviews: DataFrame, entity: str, text: str, min_length:
     return rows.where((F.col("appid") != "") & at_least(F.length("review"), min_length, strict)).groupBy("appid").agg(F.count("*").alias("kept"))
 
 
-def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Take all files that are there into a table in memory, with a checkpoint in place of resume files."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(df: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Take all files that are there and give the result, with a checkpoint in place of resume files.
+
+    Each batch writes the whole result as Parquet under the folder, which all machines share; the last one's is read.
+    """
+    last: list[str] = []
+
+    def write(batch: DataFrame, n: int) -> None:
+        last[:] = [f"{folder}/result-{n}"]
+        batch.write.mode("overwrite").parquet(last[0])
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(*last) if last else spark.createDataFrame([], df.schema)

@@ -193,6 +193,6 @@ def test_json_sources(spark, tmp_path):
 def test_stream_is_the_batch(spark, tmp_path):
     (tmp_path / "log").mkdir()
     (tmp_path / "log" / "0.jsonl").write_text('{"combo_id": "a", "status": "running", "ts": "1"}\n{"combo_id": "a", "status": "done", "ts": "2"}\n{"combo_id": "b", "sta')
-    jobs.run_available(jobs.stream_latest(jobs.read_log(spark, str(tmp_path / "log"))), "latest_runs", str(tmp_path / "c"))
+    latest = jobs.run_available(jobs.stream_latest(jobs.read_log(spark, str(tmp_path / "log"))), f"file://{tmp_path}/c")
     batch = runs.latest_state(spark.read.schema(jobs.LOG).json(str(tmp_path / "log")), "combo_id", "ts", ["status"])
-    assert [(r["combo_id"], r["status"]) for r in spark.table("latest_runs").collect()] == [(r["combo_id"], r["status"]) for r in batch.collect()] == [("a", "done")]
+    assert [(r["combo_id"], r["status"]) for r in latest.collect()] == [(r["combo_id"], r["status"]) for r in batch.collect()] == [("a", "done")]
