@@ -426,19 +426,25 @@ def classed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return materialize(info.join(part, "sig", "left").select("doc_id", "text_hash", "n", class_.alias("class")), "jaccard-classes")
 
 
+def by_class(rows: DataFrame, classes: DataFrame, *deal: str) -> DataFrame:
+    """rows left-joined with classes of several rows; a class is dealt over salts by a hash of the columns in deal."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*deal), F.lit(SALTS))).join(classes.withColumn("salt", salts), ["class", "salt"], "left")
+
+
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     rows = classed(docs, percent)
-    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
+    return by_class(rows, least, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of docs of each class, the first by doc_id (nulls last), hash of the text and hash of the row; rows without words all stay."""
     rows = classed(docs, percent).where("class is not null").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("times"))
-    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    rows = rows.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    stays = F.col("first").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    rows = by_class(rows, first, "doc_id", "text_hash").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
     gone = materialize(rows.where("not stays").select("_id", "_hash"), "jaccard-gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     left = docs.join(gone, same, "left_anti")
