@@ -53,10 +53,13 @@ def match_by_tags(scores: DataFrame, weights: DataFrame, k: int, reasons: int =
 def topic_words(docs: DataFrame, topic: str, text: str, n: int = 10, min_df: int = 2, max_df: float = 0.95, pattern: str = r"[a-z]{3,}", stop: list[str] = ()) -> DataFrame:
     """(topic, nth, term, score): class-based tf-idf of one- and two-word terms: tf * ln(1 + A / f)."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0)), lambda w: ~w.isin(list(stop)) if stop else F.lit(True))
-    rows = docs.select(F.monotonically_increasing_id().alias("_d"), F.col(topic).alias("topic"), words.alias("w"))
+    rows = docs.select(F.col(topic).alias("topic"), F.explode(F.array(words)).alias("w"))
     pairs = F.zip_with(F.col("w"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    rows = rows.select("_d", "topic", F.explode(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))).alias("term"))
-    seen = materialize(rows.groupBy("_d", "topic", "term").agg(F.count("*").alias("tf")).groupBy("topic", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")), "topic-terms")
+    # a document's terms in order, so that the first of each is known without a shuffle by document; exploded arrays of one are worked out once
+    rows = rows.select("topic", F.explode(F.array(F.array_sort(F.concat("w", F.filter(pairs, lambda p: p.isNotNull()))))).alias("t"))
+    first = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when(i == 0, 1).otherwise((F.col("t")[i - 1] != x).cast("int")).alias("first")))
+    rows = rows.select("topic", F.explode(first).alias("x")).select("topic", "x.term", "x.first")
+    seen = materialize(rows.groupBy("topic", "term").agg(F.count("*").alias("tf"), F.sum("first").alias("df")), "topic-terms")
     total = docs.count()
     kept = seen.groupBy("term").agg(F.sum("tf").alias("f"), F.sum("df").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * total)).select("term", "f")
     terms = seen.join(kept, "term")

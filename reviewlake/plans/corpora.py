@@ -68,17 +68,37 @@ def c11m(t: Tables):
     return corpus.merge_shards(rows, corpus.plan_shards(t.orders, ["o_orderkey"], 400)).select("o_orderkey", "ordinal")
 
 
-@query("c12_greedy_pack")
+def walked(order: str, first: str, batch: str, state: str) -> str:
+    """SQL that goes through each source's documents in an order, with a state carried from row to row."""
+    return f"""WITH RECURSIVE d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY {order}) AS k FROM documents),
+        w AS (SELECT source, doc_id, n_chars, k, CAST(0 AS BIGINT) AS batch, {first} FROM d WHERE k = 1
+          UNION ALL SELECT d.source, d.doc_id, d.n_chars, d.k, CASE WHEN {batch} THEN w.batch + 1 ELSE w.batch END, {state}
+          FROM w JOIN d ON d.source IS NOT DISTINCT FROM w.source AND d.k = w.k + 1)
+        SELECT source, doc_id, n_chars, batch FROM w"""
+
+
+FULL = "w.used + greatest(1, d.n_chars) > 20000 OR w.n >= 16"
+ROOM = "least(16, greatest(1, 20000 // greatest(1, d.n_chars)))"
+
+
+@query("c12_greedy_pack", walked("doc_id", "greatest(1, n_chars) AS used, 1 AS n", FULL, f"CASE WHEN {FULL} THEN greatest(1, d.n_chars) ELSE w.used + greatest(1, d.n_chars) END, CASE WHEN {FULL} THEN 1 ELSE w.n + 1 END"))
 def c12(t: Tables):
     return corpus.greedy_pack(t.documents, "source", "doc_id", "n_chars", 20_000, 16)
 
 
-@query("c13_token_pack")
+@query("c13_token_pack", walked("n_chars DESC, doc_id", f"{ROOM} - 1 AS room", "w.room = 0", f"CASE WHEN w.room = 0 THEN {ROOM} ELSE w.room END - 1"))
 def c13(t: Tables):
     return corpus.token_pack(t.documents, "source", "doc_id", "n_chars", 20_000, 16)
 
 
-@query("c14_balanced_buckets")
+@query(
+    "c14_balanced_buckets",
+    """WITH RECURSIVE s AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS size FROM documents GROUP BY 1), d AS (SELECT *, row_number() OVER (ORDER BY size DESC, source) AS k FROM s),
+       w AS (SELECT source, size, k, CAST(0 AS INT) AS bucket, [size, 0, 0, 0] AS t FROM d WHERE k = 1
+         UNION ALL SELECT d.source, d.size, d.k, CAST(list_position(w.t, list_min(w.t)) - 1 AS INT),
+           list_transform(range(1, 5), lambda i: w.t[i] + CASE WHEN i = list_position(w.t, list_min(w.t)) THEN d.size ELSE 0 END) FROM w JOIN d ON d.k = w.k + 1)
+       SELECT source, size, bucket FROM w""",
+)
 def c14(t: Tables):
     return corpus.balanced_buckets(t.documents.groupBy("source").agg(F.sum("n_chars").alias("size")), "source", "size", 4)
 

@@ -200,6 +200,50 @@ def a1(t: Tables):
     return S.with_logical_columns(S.scan_reviews(t.spark, path, "csv")).withColumn("review", F.md5("review"))
 
 
+@query("a2_infer_columns", "SELECT CAST(doc_id AS VARCHAR) AS appid, md5(text) AS review, lang AS name, n_chars AS recommend FROM documents")
+def a2(t: Tables):
+    """Columns under names that only their letters and digits give away."""
+    odd = t.documents.select(F.col("doc_id").cast("string").alias(" App-ID"), F.col("text").alias("Review.Text"), F.col("lang").alias("Game  Name"), F.col("n_chars").alias("Voted/Up"))
+    return S.with_logical_columns(odd).withColumn("review", F.md5("review"))
+
+
+def filed(t: Tables, name: str, rows, key: str) -> str:
+    """Write rows (key, value) as text, a file for each key."""
+    path = scratch(t, name)
+    rows.repartition(key).write.partitionBy(key).text(path)
+    return path
+
+
+@query("a3_scan_entities", "SELECT CAST(s_suppkey AS VARCHAR) AS key, s_name AS name, s_acctbal AS balance FROM supplier")
+def a3(t: Tables):
+    entry = F.struct(F.col("s_suppkey").cast("string"), F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")))
+    objects = t.supplier.groupBy("s_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    return S.scan_entities(t.spark, filed(t, "entities", objects, "s_nationkey"), "name string, balance double")
+
+
+@query("a7_scan_treebank", "SELECT p_name AS phrase, CAST(p_partkey AS VARCHAR) AS phrase_id FROM part")
+def a7(t: Tables):
+    path = scratch(t, "treebank")
+    t.part.select(F.concat_ws("|", "p_name", F.col("p_partkey").cast("string"))).write.text(path)
+    return S.scan_treebank(t.spark, path, ["phrase", "phrase_id"])
+
+
+@query("a7_scan_lines", "SELECT CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT) AS row, CAST(c_custkey AS VARCHAR) AS id, c_name AS name FROM customer")
+def a7l(t: Tables):
+    line = F.struct("c_custkey", F.concat_ws("\t", F.col("c_custkey").cast("string"), "c_name").alias("line"))
+    files = t.customer.groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("value"))
+    return S.scan_lines(t.spark, filed(t, "lines", files, "c_nationkey"), ["id", "name"])
+
+
+@query("a8_scan_reports", "SELECT CASE WHEN c_nationkey % 5 <> 0 THEN c_nationkey END AS id, CASE WHEN c_nationkey % 5 <> 0 THEN count(*) END AS customers, CASE WHEN c_nationkey % 5 = 0 THEN 'bad_json' ELSE 'ok' END AS status FROM customer GROUP BY c_nationkey")
+def a8(t: Tables):
+    """A report for each nation; those of every fifth are torn."""
+    reports = t.customer.groupBy("c_nationkey").agg(F.count("*").alias("customers")).withColumn("json", F.to_json(F.struct(F.col("c_nationkey").alias("id"), "customers")))
+    torn = F.when(F.col("c_nationkey") % 5 == 0, F.expr("substring(json, 1, 5)")).otherwise(F.col("json"))
+    path = filed(t, "reports", reports.select("c_nationkey", torn.alias("value")), "c_nationkey")
+    return S.scan_reports(t.spark, path, "id long, customers long").select("id", "customers", "status")
+
+
 @query("a4_write_reviews", "SELECT source AS appid, count(*) AS reviews FROM documents GROUP BY 1")
 def a4(t: Tables):
     path = scratch(t, "reviews")

@@ -97,6 +97,12 @@ def e11(t: Tables):
     return rounded(A.participation_ratio(vectors(t), "v"), "participation_ratio", digits=5)
 
 
+@query("e11_spectrum")
+def e11s(t: Tables):
+    """Largest eigenvalues of the correlations; tests compare them with numpy's."""
+    return rounded(A.spectrum(vectors(t), "v", zscored=True), "eigenvalue", "share")
+
+
 VIEWS = ", ".join(
     f"{n} AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS p, covar_samp(a.x, b.x) AS s FROM {v} a JOIN {v} b USING (label) GROUP BY 1, 2)" for n, v in (("ca", "va"), ("cb", "vb"))
 )

@@ -132,6 +132,33 @@ def test_variance_matches_numpy(vectors):
     assert np.allclose(s["mean"], x.mean(0)) and np.allclose(s["std"], x.std(0))
 
 
+@pytest.mark.parametrize("zscored", [False, True])
+def test_spectrum_matches_numpy(vectors, zscored):
+    df, x, _ = vectors
+    want = np.linalg.eigvalsh(np.corrcoef(x.T) if zscored else np.cov(x.T, bias=True))[::-1]
+    got = aggregates.spectrum(df, "v", 5, zscored).orderBy("nth").collect()
+    assert np.allclose([r["eigenvalue"] for r in got], want[:5]) and np.allclose([r["share"] for r in got], want[:5] / want.sum())
+
+
+def test_probe_is_at_its_optimum(vectors):
+    """Counts of the probes equal those of a plain fit by gradient steps until it stands still."""
+    df, x, _ = vectors
+    rows = ranking.with_fold(df.withColumn("t", (F.col("v")[0] + F.col("v")[1] > 0.3).cast("int")), "id", 3, 1).repartition(3)
+    got = {r["fold"]: (r["tp"], r["fp"], r["fn"]) for r in probes.tag_probe(rows, "id", "v", ["t"], "fold", 3, grid=[0.5]).collect()}
+    data = rows.select("v", "t", "fold").collect()
+    z = np.array([r["v"] for r in data])
+    z = np.column_stack([z / np.linalg.norm(z, axis=1, keepdims=True), np.ones(len(z))])
+    y, fold = np.array([r["t"] for r in data]), np.array([r["fold"] for r in data])
+    for k in range(3):
+        w, t = z[fold != k], y[fold != k]
+        weight = np.where(t == 1, len(t) / (2 * t.sum()), len(t) / (2 * (len(t) - t.sum())))
+        b, keep = np.zeros(z.shape[1]), np.append(np.ones(z.shape[1] - 1), 0)
+        for _ in range(20_000):
+            b -= 0.005 * (w.T @ (weight * (1 / (1 + np.exp(-w @ b)) - t)) + keep * b)
+        said, true = z[fold == k] @ b >= 0, y[fold == k] == 1
+        assert got[k] == ((said & true).sum(), (said & ~true).sum(), (~said & true).sum())
+
+
 def test_topics(vectors):
     df, *_ = vectors
     got = ranking.assign_topics(df, "id", "v", 3, dims=2).groupBy("topic").count().collect()
