@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 CHECKPOINT = "spark.checkpoint.dir"
+FEW_SPLITS = 16
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, or dealt over all cores where its files give only a few splits.
+
+    That happens to small tables, whose rows often lie in one row group: text work on them would be one task. Larger
+    tables are not shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() <= min(cores, FEW_SPLITS) else table
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame as Parquet under the shared folder and read it back.
 
