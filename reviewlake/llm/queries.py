@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlake.llm import bpe, jaccard, langid, mixing, neardup, packing, pii, quality, secrets, warc
+from reviewlake.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
