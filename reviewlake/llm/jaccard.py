@@ -2,13 +2,13 @@
 
 Two sets with Jaccard similarity t or more share an element of their prefixes, the first n - ceil(t n) + 1 elements in
 any common order (Chaudhuri et al., 2006). The order here is rare first: documents with each n-gram are counted in a sketch of
-2**22 to 2**24 slots, by the number of documents, which is broadcast, and n-grams stand by that count and then by hash; an n-gram
-shared by very many documents comes last in all of them and seldom joins. Pairs that meet on a prefix n-gram pass a length and a
+fixed size, which is broadcast, and n-grams stand by that count and then by hash; an n-gram shared by very many
+documents comes last in all of them and seldom joins. Pairs that meet on a prefix n-gram pass a length and a
 positional filter there, and a suffix filter: both sets are cut at the same 256 places of the hash order, and the parts' sizes
-bound what they can share (the partition bound of Xiao et al., 2008, at a depth of eight). Every pair left is verified once on the whole sets.
+bound what they can share (the partition bound of Xiao et al., 2008). Every pair left is verified once on the whole sets.
 
-Texts stay where they are; postings travel packed by hash range. N-grams are compared by 64-bit hashes. Texts with equal sets
-are one node, by 64-bit signature: of a billion different sets, two share one with a probability of 3 %. Up to GROUP documents on an n-gram are paired all. Larger groups are linked along chains first, in several orders,
+Texts stay where they are; postings travel packed by hash range. Texts with equal sets are one node, by 64-bit
+signature; of a billion different sets, two share one with a probability of 3 %. Up to GROUP documents on an n-gram are paired all. Larger groups are linked along chains first, in several orders,
 and at last all their pairs whose members are in different components still are verified, so a large group of near
 copies costs a few passes and no pair of different components is left out. N-grams whose counts
 stand out get their postings dealt over salts.
@@ -35,15 +35,15 @@ PERCENT = 75
 GROUP = 4
 ORDERS = 4
 AHEAD = 4
-CHAIN_ROWS = 500
-SLOT_BITS, MOST_SLOT_BITS = 22, 24
-SALTS = 32
+CHAIN_ROWS = 5000
+SLOT_BITS = 22
 BLOCK_BITS = 16
 BLOOM_BITS = 26
 HOT = 20_000
 BUCKET_ROWS = 400_000
 RANGE_BITS = 8
 CACHE_WORDS, KEPT_BYTES = 200_000, 64
+FEW_ROWS = 1_000_000
 FLUSH_ROWS = 500_000
 POSTING = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
 #: Fixed odd multipliers of the rolling hash.
@@ -150,18 +150,17 @@ def add_up(parts: DataFrame, bits: int) -> np.ndarray:
 def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, n, sig, ranges, text_hash) of every document, and the sketch of n-gram counts, in one pass over the texts."""
     ship(docs.sparkSession)
-    bits = min(MOST_SLOT_BITS, max(SLOT_BITS, docs.count().bit_length() + 2))
     names = ["doc_id", "n", "sig", "ranges", "text_hash", "block", "data"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
     batch_of = lambda *cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     def run(batches):
-        hashes, slots = WordHashes(), SlotCounts(bits)
+        hashes, slots = WordHashes(), SlotCounts(SLOT_BITS)
         for batch in batches:
             n, sig, ranges = [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingle_set(text, hashes)
-                slots.add((grams >> np.uint64(64 - bits)).astype(np.uint32))
+                slots.add((grams >> np.uint64(64 - SLOT_BITS)).astype(np.uint32))
                 n.append(len(grams))
                 sig.append(signature(grams))
                 ranges.append(range_counts(grams))
@@ -172,14 +171,11 @@ def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, sig long, ranges binary, text_hash long, block long, data binary")
     rows = materialize(rows, "jaccard-scan")
-    return rows.where("block is null").select("doc_id", "n", "sig", "ranges", "text_hash"), add_up(rows.where("block is not null").select("block", "data"), bits)
+    return rows.where("block is null").select("doc_id", "n", "sig", "ranges", "text_hash"), add_up(rows.where("block is not null").select("block", "data"), SLOT_BITS)
 
 
 def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
-    """Per slot: a rank that grows with its count above the mean, and the salts of slots whose count stands out from the mean.
-
-    Once the input has filled all slots, the mean is what the rare n-grams of a slot add up to.
-    """
+    """Per slot: a rank that grows with its count above the mean, and the salts of slots whose count stands out from the mean."""
     mean = sketch.mean()
     ranks = np.minimum(255, 8 * np.log2(np.maximum(sketch.astype(np.float64) - mean, 0) + 1)).astype(np.uint8)
     hot = np.flatnonzero(sketch > HOT + mean + 6 * np.sqrt(mean))
@@ -193,13 +189,12 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
     def run(batches):
         hashes, seen, held, size = WordHashes(), set(), [], 0
         ranks, hot = shared.value
-        bits = len(ranks).bit_length() - 1
         hot_slots = np.array(sorted(hot), np.uint64)
         hot_salts = np.array([hot[int(s)] for s in hot_slots], np.int64)
 
         def flush():
             rows = np.concatenate(held)
-            slot = (rows["key"] << np.uint64(8)) >> np.uint64(64 - bits)
+            slot = (rows["key"] << np.uint64(8)) >> np.uint64(64 - SLOT_BITS)
             salt = np.full(len(rows), -1, np.int64)
             if len(hot_slots):
                 at = np.minimum(np.searchsorted(hot_slots, slot), len(hot_slots) - 1)
@@ -221,7 +216,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
                     continue
                 if len(seen) < FLUSH_ROWS:
                     seen.add(sig)
-                key = np.sort((ranks[(grams >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8)))
+                key = np.sort((ranks[(grams >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (grams >> np.uint64(8)))
                 out = np.zeros(n - -(-n * percent // 100) + 1, POSTING)
                 out["key"], out["sig"], out["n"], out["pos"] = key[: len(out)], sig, n, np.arange(len(out))
                 held.append(out)
@@ -385,19 +380,16 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     found = materialize(verify(docs, pairs, info, percent), "jaccard-links")
 
     def labelled() -> DataFrame:
-        """Members of the large groups that hold several components; an n-gram's rows are dealt over salts."""
         rows = large.join(part, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi")
-        split = split.select("key", "members", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-        return materialize(rows.withColumn("salt", F.pmod("sig", F.lit(SALTS))).join(split, ["key", "salt"]).drop("salt"), "jaccard-large")
+        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+        return materialize(rows.join(split, "key", "left_semi"), "jaccard-large")
 
     part = components(found)
     rows = labelled()
     if not rows.isEmpty():
         # once more chains, in more orders and AHEAD members on, where those are in different components
-        # a chain is cut into parts of some CHAIN_ROWS, others for other n-grams, so that parts of one meet in another
-        order = F.pmod("key", F.lit(8 * ORDERS))
-        chain = W.partitionBy("key", F.pmod(F.xxhash64(order, "sig"), F.ceil(F.col("members") / CHAIN_ROWS))).orderBy(F.xxhash64(F.lit(1), order, "sig"))
+        most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
+        chain = W.partitionBy("key", F.pmod(F.xxhash64("sig"), F.lit(-(-most // CHAIN_ROWS)))).orderBy(F.xxhash64(F.lit(1), F.pmod("key", F.lit(8 * ORDERS)), "sig"))
         next_ones = F.array(*[F.struct(F.lead("sig", k).over(chain).alias("y"), F.lead("component", k).over(chain).alias("other")) for k in range(1, AHEAD + 1)])
         near = rows.select(F.col("sig").alias("x"), "component", next_ones.alias("next"))
         near = near.select("x", F.explode(F.filter("next", lambda m: m["other"] != F.col("component"))).alias("m")).select("x", "m.y")
@@ -406,13 +398,11 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         # all pairs of members that are in different components still
         rows = labelled()
     if not rows.isEmpty():
-        parts = F.ceil(F.col("members") / CHAIN_ROWS)
-        dealt = {"a": F.pmod("sig", parts), "b": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))}
-        x, y = (rows.select("key", dealt[s].alias("part"), *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "component")]) for s in "ab")
+        x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("sig", "n", "pos", "component")]) for s in "ab")
         small, big = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
         most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
         need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-        on = (x["key"] == y["key"]) & (x["part"] == y["part"]) & (F.col("sig_a") < F.col("sig_b")) & (F.col("component_a") != F.col("component_b"))
+        on = (x["key"] == y["key"]) & (F.col("sig_a") < F.col("sig_b")) & (F.col("component_a") != F.col("component_b"))
         rest = x.join(y, on & (100 * small >= percent * big) & (most >= need)).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
         rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
         part = components(stars(part).unionByName(verify(docs, rest, info, percent)))
@@ -426,28 +416,23 @@ def classed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return materialize(info.join(part, "sig", "left").select("doc_id", "text_hash", "n", class_.alias("class")), "jaccard-classes")
 
 
-def by_class(rows: DataFrame, classes: DataFrame, *deal: str) -> DataFrame:
-    """rows left-joined with classes of several rows; a class is dealt over salts by a hash of the columns in deal."""
-    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(*deal), F.lit(SALTS))).join(classes.withColumn("salt", salts), ["class", "salt"], "left")
-
-
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     rows = classed(docs, percent)
-    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    return by_class(rows, least, "doc_id").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of docs of each class, the first by doc_id (nulls last), hash of the text and hash of the row; rows without words all stay."""
     rows = classed(docs, percent).where("class is not null").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("times"))
-    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    stays = F.col("first").isNull() | F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    rows = by_class(rows, first, "doc_id", "text_hash").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    rows = rows.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
     gone = materialize(rows.where("not stays").select("_id", "_hash"), "jaccard-gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    left = docs.join(gone, same, "left_anti")
+    # 16 bytes a row: up to FEW_ROWS are broadcast, so the texts stay where they are; more are left to Spark's choice
+    left = docs.join(F.broadcast(gone) if gone.limit(FEW_ROWS + 1).count() <= FEW_ROWS else gone, same, "left_anti")
     # a row that stays and is there more than once
     repeated = materialize(rows.where("stays and times > 1").select("_id", "_hash"), "jaccard-repeated")
     if repeated.isEmpty():
