@@ -35,7 +35,7 @@ PERCENT = 75
 GROUP = 4
 ORDERS = 4
 AHEAD = 4
-CHAIN_ROWS = 5000
+CHAIN_ROWS = 1000
 SLOT_BITS = 22
 BLOCK_BITS = 16
 BLOOM_BITS = 26
@@ -183,7 +183,7 @@ def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """(bucket, salt, data): packed postings of every prefix; a task emits each distinct set once."""
+    """(bucket, salt, salts, data): packed postings of every prefix; a task emits each distinct set once."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks_of(sketch))
 
     def run(batches):
@@ -195,19 +195,19 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
         def flush():
             rows = np.concatenate(held)
             slot = (rows["key"] << np.uint64(8)) >> np.uint64(64 - SLOT_BITS)
-            salt = np.full(len(rows), -1, np.int64)
+            salt, salts = np.full(len(rows), -1, np.int64), np.ones(len(rows), np.int64)
             if len(hot_slots):
                 at = np.minimum(np.searchsorted(hot_slots, slot), len(hot_slots) - 1)
                 is_hot = hot_slots[at] == slot
-                salt[is_hot] = rows["sig"][is_hot] % hot_salts[at[is_hot]]
+                salts[is_hot] = hot_salts[at[is_hot]]
+                salt[is_hot] = rows["sig"][is_hot] % salts[is_hot]
             bucket = (mixed(rows["key"]) % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((salt, bucket))
-            rows, bucket, salt = rows[order], bucket[order], salt[order]
+            rows, bucket, salt, salts = rows[order], bucket[order], salt[order], salts[order]
             cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1), len(rows)]
             first = cuts[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[first]), pa.array(salt[first]), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], ["bucket", "salt", "data"]
-            )
+            data = pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(salt[first]), pa.array(np.maximum.reduceat(salts, first)), data], ["bucket", "salt", "salts", "data"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -227,7 +227,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, "bucket long, salt long, data binary")
+    return docs.select("text").mapInArrow(run, "bucket long, salt long, salts long, data binary")
 
 
 def may_link(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -241,10 +241,10 @@ def may_link(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> np.ndarray
 
 
 def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Postings -> pairs (b not null) and members of large groups (key not null)."""
+    """Postings -> pairs (b not null) and members of large groups (key not null), with the parts of CHAIN_ROWS that the group makes."""
 
     def run(table: pa.Table) -> pa.Table:
-        hot = table.column("salt")[0].as_py() >= 0
+        hot, salts = table.column("salt")[0].as_py() >= 0, max(table.column("salts").to_pylist())
         rows = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for x in table.column("data")])
         rows = rows[np.lexsort((rows["sig"], rows["key"]))]
         same_key = rows["key"][1:] == rows["key"][:-1]
@@ -265,7 +265,8 @@ def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
         left, right = np.concatenate([*left, i[:-1][ends]]), np.concatenate([*right, i[1:][ends]])
         ok = may_link(rows[left], rows[right], percent)
         pairs = np.unique(np.sort(np.stack([rows["sig"][left[ok]], rows["sig"][right[ok]]], axis=1), axis=1), axis=0)
-        big = rows[(size > GROUP) | hot]
+        is_big = (size > GROUP) | hot
+        big, parts = rows[is_big], -(-size[is_big] * salts // CHAIN_ROWS)
         none = lambda n, kind: pa.nulls(n, kind)
         cols = {
             "a": [pa.array(pairs[:, 0]), pa.array(big["sig"])],
@@ -273,10 +274,11 @@ def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
             "key": [none(len(pairs), pa.int64()), pa.array(big["key"].view(np.int64))],
             "n": [none(len(pairs), pa.int64()), pa.array(big["n"].astype(np.int64))],
             "pos": [none(len(pairs), pa.int64()), pa.array(big["pos"].astype(np.int64))],
+            "parts": [none(len(pairs), pa.int64()), pa.array(parts.astype(np.int64))],
         }
         return pa.table({k: pa.concat_arrays(v) for k, v in cols.items()})
 
-    return packed.groupBy("bucket", "salt").applyInArrow(run, "a long, b long, key long, n long, pos long")
+    return packed.groupBy("bucket", "salt").applyInArrow(run, "a long, b long, key long, n long, pos long, parts long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
@@ -376,20 +378,22 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     buckets = max(64, total * (100 - percent) // 100 // BUCKET_ROWS)
     met = materialize(meet(postings(docs, sketch, buckets, percent), percent), "jaccard-met")
     pairs = materialize(met.where("b is not null").select("a", "b").distinct(), "jaccard-pairs")
-    large = met.where("key is not null").select("key", F.col("a").alias("sig"), "n", "pos")
+    # a member's part differs from key to key, so that parts of one group meet in others
+    part_of = F.pmod(F.xxhash64(F.pmod("key", F.lit(8 * ORDERS)), "sig"), F.col("parts"))
+    large = met.where("key is not null").select("key", F.col("a").alias("sig"), "n", "pos", "parts").withColumn("deal", part_of)
     found = materialize(verify(docs, pairs, info, percent), "jaccard-links")
 
     def labelled() -> DataFrame:
         rows = large.join(part, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        return materialize(rows.join(split, "key", "left_semi"), "jaccard-large")
+        split = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("parts").alias("parts")).where("lo < hi")
+        split = split.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("deal"))
+        return materialize(rows.join(split, ["key", "deal"], "left_semi"), "jaccard-large")
 
     part = components(found)
     rows = labelled()
     if not rows.isEmpty():
         # once more chains, in more orders and AHEAD members on, where those are in different components
-        most = rows.groupBy("key").count().agg(F.max("count")).first()[0]
-        chain = W.partitionBy("key", F.pmod(F.xxhash64("sig"), F.lit(-(-most // CHAIN_ROWS)))).orderBy(F.xxhash64(F.lit(1), F.pmod("key", F.lit(8 * ORDERS)), "sig"))
+        chain = W.partitionBy("key", "deal").orderBy(F.xxhash64(F.lit(1), F.pmod("key", F.lit(8 * ORDERS)), "sig"))
         next_ones = F.array(*[F.struct(F.lead("sig", k).over(chain).alias("y"), F.lead("component", k).over(chain).alias("other")) for k in range(1, AHEAD + 1)])
         near = rows.select(F.col("sig").alias("x"), "component", next_ones.alias("next"))
         near = near.select("x", F.explode(F.filter("next", lambda m: m["other"] != F.col("component"))).alias("m")).select("x", "m.y")
