@@ -281,10 +281,10 @@ def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
     return packed.groupBy("bucket", "salt").applyInArrow(run, "a long, b long, key long, n long, pos long, parts long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame:
     """(sig, grams) of the nodes. A Bloom filter of fixed size on doc_id, broadcast, spares the other texts most of the work."""
     spark = docs.sparkSession
-    wanted = materialize(info.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "jaccard-wanted")
+    wanted = materialize(sigs.join(nodes, "sig", "left_semi").select("doc_id").where("doc_id is not null"), "jaccard-wanted")
 
     def mark(batches):
         bits = np.zeros(1 << BLOOM_BITS, bool)
@@ -308,7 +308,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
 
     parts = "block long, data binary"
     bloom = np.zeros((1 << (BLOOM_BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
-    for row in wanted.select("doc_id").mapInArrow(mark, parts).repartition("block").mapInArrow(unite, parts).collect():  # 8 MB in all
+    for row in wanted.mapInArrow(mark, parts).repartition("block").mapInArrow(unite, parts).collect():  # 8 MB in all
         bloom[row["block"]] = np.frombuffer(row["data"], np.uint8)
     shared = spark.sparkContext.broadcast(bloom.reshape(-1))
 
@@ -327,10 +327,10 @@ def sets_of(docs: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
     return materialize(found.join(nodes, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
 
 
-def suffix_filter(pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
+def suffix_filter(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of the pairs whose sizes and range counts allow a link."""
     nodes = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    by_sig = materialize(info.join(nodes, "sig", "left_semi").groupBy("sig").agg(F.first("n").alias("n"), F.first("ranges").alias("ranges")), "jaccard-by-sig")
+    by_sig = materialize(sigs.join(nodes, "sig", "left_semi").select("sig", "n", "ranges"), "jaccard-by-sig")
     side = lambda c: by_sig.select(F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
 
     def make():
@@ -344,11 +344,11 @@ def suffix_filter(pairs: DataFrame, info: DataFrame, percent: int = PERCENT) ->
     return materialize(map_rows(both, make, "a long, b long"), "jaccard-pairs")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, info: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b) of the pairs that link: suffix filter, then the whole sets."""
-    left = suffix_filter(pairs, info, percent)
+    left = suffix_filter(pairs, sigs, percent)
     nodes = materialize(left.select(F.col("a").alias("sig")).union(left.select("b")).distinct(), "jaccard-nodes")
-    sets = sets_of(docs, nodes, info)
+    sets = sets_of(docs, nodes, sigs)
     both = left.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("g_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("g_b")), "b")
 
     def make():
@@ -374,6 +374,9 @@ def stars(part: DataFrame) -> DataFrame:
 def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(info, part): doc_id, n and sig of every document; the component of every signature that has a link."""
     info, sketch = scan(docs)
+    # copies are put together once, before the shuffle, so that no join by signature meets a group of them
+    copies = info.groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("ranges").alias("ranges"))
+    sigs = materialize(copies, "jaccard-signatures")
     total = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(64, total * (100 - percent) // 100 // BUCKET_ROWS)
     met = materialize(meet(postings(docs, sketch, buckets, percent), percent), "jaccard-met")
@@ -381,7 +384,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     # a member's part differs from key to key, so that parts of one group meet in others
     part_of = F.pmod(F.xxhash64(F.pmod("key", F.lit(8 * ORDERS)), "sig"), F.col("parts"))
     large = met.where("key is not null").select("key", F.col("a").alias("sig"), "n", "pos", "parts").withColumn("deal", part_of)
-    found = materialize(verify(docs, pairs, info, percent), "jaccard-links")
+    found = materialize(verify(docs, pairs, sigs, percent), "jaccard-links")
 
     def labelled() -> DataFrame:
         rows = large.join(part, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
@@ -398,7 +401,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         near = rows.select(F.col("sig").alias("x"), "component", next_ones.alias("next"))
         near = near.select("x", F.explode(F.filter("next", lambda m: m["other"] != F.col("component"))).alias("m")).select("x", "m.y")
         near = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        part = components(stars(part).unionByName(verify(docs, near, info, percent)))
+        part = components(stars(part).unionByName(verify(docs, near, sigs, percent)))
         # all pairs of members that are in different components still
         rows = labelled()
     if not rows.isEmpty():
@@ -409,7 +412,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
         on = (x["key"] == y["key"]) & (F.col("sig_a") < F.col("sig_b")) & (F.col("component_a") != F.col("component_b"))
         rest = x.join(y, on & (100 * small >= percent * big) & (most >= need)).select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"))
         rest = rest.distinct().join(pairs, ["a", "b"], "left_anti")
-        part = components(stars(part).unionByName(verify(docs, rest, info, percent)))
+        part = components(stars(part).unionByName(verify(docs, rest, sigs, percent)))
     return info, part
 
 
