@@ -183,7 +183,10 @@ def ranks_of(sketch: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = PERCENT) -> DataFrame:
-    """(bucket, salt, salts, data): packed postings of every prefix; a task emits each distinct set once."""
+    """(bucket, salt, salts, data): packed postings of every prefix; a task emits each distinct set once.
+
+    Within a bucket, whose rows are bounded, 32 bits tell n-grams apart: two that share them are one pair or so more to verify.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(ranks_of(sketch))
 
     def run(batches):
@@ -201,12 +204,14 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
                 is_hot = hot_slots[at] == slot
                 salts[is_hot] = hot_salts[at[is_hot]]
                 salt[is_hot] = rows["sig"][is_hot] % salts[is_hot]
-            bucket = (mixed(rows["key"]) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((salt, bucket))
+            spot = mixed(rows["key"])
+            bucket = (spot % np.uint64(buckets)).astype(np.int64)
+            rows["key"] = spot >> np.uint64(32)
+            order = np.lexsort((rows["key"], salt, bucket))
             rows, bucket, salt, salts = rows[order], bucket[order], salt[order], salts[order]
             cuts = [0, *(np.flatnonzero((np.diff(bucket) != 0) | (np.diff(salt) != 0)) + 1), len(rows)]
             first = cuts[:-1]
-            data = pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+            data = pa.array([pack(rows[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(salt[first]), pa.array(np.maximum.reduceat(salts, first)), data], ["bucket", "salt", "salts", "data"])
 
         for batch in batches:
@@ -230,6 +235,24 @@ def postings(docs: DataFrame, sketch: np.ndarray, buckets: int, percent: int = P
     return docs.select("text").mapInArrow(run, "bucket long, salt long, salts long, data binary")
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """Postings of one bucket, sorted by key: signatures as they are, all else as compressed bytes, with differences of keys."""
+    columns = np.stack([np.diff(rows["key"].astype(np.int64), prepend=0), rows["n"], rows["pos"]]).astype("<u4")
+    planes = columns.view(np.uint8).reshape(3, len(rows), 4).transpose(0, 2, 1)
+    return len(rows).to_bytes(4, "little") + rows["sig"].tobytes() + zlib.compress(planes.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    """The postings of pack()."""
+    n = int.from_bytes(data[:4], "little")
+    planes = np.frombuffer(zlib.decompress(data[4 + 8 * n :]), np.uint8).reshape(3, 4, n)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(3, n)
+    rows = np.zeros(n, POSTING)
+    rows["key"], rows["n"], rows["pos"] = np.cumsum(columns[0], dtype=np.uint64), columns[1], columns[2]
+    rows["sig"] = np.frombuffer(data, "<i8", n, 4)
+    return rows
+
+
 def may_link(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Length and positional filters for pairs of postings of one n-gram.
 
@@ -245,7 +268,8 @@ def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         hot, salts = table.column("salt")[0].as_py() >= 0, max(table.column("salts").to_pylist())
-        rows = np.concatenate([np.frombuffer(x.as_buffer(), POSTING) for x in table.column("data")])
+        rows = np.concatenate([unpack(x.as_py()) for x in table.column("data")])
+        rows["key"] |= np.uint64(table.column("bucket")[0].as_py() << 32)
         rows = rows[np.lexsort((rows["sig"], rows["key"]))]
         same_key = rows["key"][1:] == rows["key"][:-1]
         rows = rows[np.concatenate([[True], ~(same_key & (rows["sig"][1:] == rows["sig"][:-1]))])]
