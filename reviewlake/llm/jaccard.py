@@ -346,9 +346,9 @@ def sets_of(docs: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame:
                 if len(grams := shingle_set(text, hashes)):
                     yield pa.RecordBatch.from_arrays([pa.array([signature(grams)]), pa.array([grams.astype("<u8").tobytes()], pa.binary())], ["sig", "grams"])
 
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "sig long, grams binary")
-    # of a set that several documents have, the sets meet one by one; nodes are distinct
-    return materialize(found.join(nodes, "sig", "left_semi").dropDuplicates(["sig"]), "jaccard-sets")
+    found = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "sig long, grams binary"), "jaccard-sets")
+    # written before the shuffle, so that both sides of a join read one exchange; a set that several documents have is put together first
+    return found.join(nodes, "sig", "left_semi").dropDuplicates(["sig"])
 
 
 def suffix_filter(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
