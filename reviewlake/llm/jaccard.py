@@ -46,6 +46,7 @@ CACHE_WORDS, KEPT_BYTES = 200_000, 64
 FEW_ROWS = 1_000_000
 FLUSH_ROWS = 500_000
 POSTING = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
+SHARE = 1000
 #: Fixed odd multipliers of the rolling hash.
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -440,26 +441,44 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     return info, part
 
 
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with table, which has one row a key.
+
+    Keys of more than a part in SHARE of the rows, SHARE at most, are broadcast, so that no task of the shuffled join gets a large
+    group; rows without a key join nothing and stay where they are.
+    """
+    n = rows.count()
+    common = materialize(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * SHARE > n).select(key), "jaccard-common")
+    table = materialize(table, "jaccard-table")
+    hot = F.broadcast(table.join(F.broadcast(common), key, "left_semi"))
+    there = rows.where(F.col(key).isNotNull())
+    near = there.join(F.broadcast(common), key, "left_semi").join(hot, key, "left")
+    far = there.join(F.broadcast(common), key, "left_anti").join(table, key, "left")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name != key]
+    return near.unionByName(far).unionByName(rows.where(F.col(key).isNull()).select("*", *none))
+
+
 def classed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_hash, n and class of every row; rows without words have no class."""
     info, part = joined(docs, percent)
     class_ = F.when(F.col("n") > 0, F.coalesce("component", "sig"))
-    return materialize(info.join(part, "sig", "left").select("doc_id", "text_hash", "n", class_.alias("class")), "jaccard-classes")
+    return materialize(look_up(info.select("doc_id", "n", "sig", "text_hash"), part, "sig").select("doc_id", "text_hash", "n", class_.alias("class")), "jaccard-classes")
 
 
 def jaccard_classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     rows = classed(docs, percent)
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return look_up(rows, least, "class").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of docs of each class, the first by doc_id (nulls last), hash of the text and hash of the row; rows without words all stay."""
     rows = classed(docs, percent).where("class is not null").groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    rows = materialize(rows, "jaccard-times")
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    rows = rows.join(first, "class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
+    rows = look_up(rows, first, "class").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), stays.alias("stays"), "times")
     gone = materialize(rows.where("not stays").select("_id", "_hash"), "jaccard-gone")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     # 16 bytes a row: up to FEW_ROWS are broadcast, so the texts stay where they are; more are left to Spark's choice
