@@ -19,23 +19,26 @@ BATCH_BYTES = 4 << 20
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]], schema: str | StructType) -> DataFrame:
     """Flat-map each row of df. make() runs once a task and returns row -> iterable of output tuples.
 
-    Output goes out in batches of bounded bytes, so that a row that yields much data never piles up with others.
+    Where that function has an attribute `end`, its rows follow the last row of the task: for walks along sorted rows. Output goes out in batches of bounded bytes, so that a row that yields much data never piles up with others.
     """
     ship(df.sparkSession)
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
-    def run(batches):
-        one = make()
-        rows, held = [], 0
+    def found(one, batches):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                for out in one(*row):
-                    rows.append(out)
-                    held += 64 + sum(len(x) for x in out if isinstance(x, (bytes, str)))
-                    if held > BATCH_BYTES:
-                        yield _batch(rows, arrow)
-                        rows, held = [], 0
+                yield from one(*row)
+        yield from getattr(one, "end", tuple)()
+
+    def run(batches):
+        rows, held = [], 0
+        for out in found(make(), batches):
+            rows.append(out)
+            held += 64 + sum(len(x) for x in out if isinstance(x, (bytes, str)))
+            if held > BATCH_BYTES:
+                yield _batch(rows, arrow)
+                rows, held = [], 0
         if rows:
             yield _batch(rows, arrow)
 
