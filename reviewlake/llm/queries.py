@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, dialogues, jaccard, langid, mixing, neardup, packing, pii, quality, secrets, warc
+from reviewlake.llm import bpe, dialogues, idfiles, jaccard, langid, mixing, neardup, packing, pii, quality, secrets, warc
 from reviewlake.session import spread
 
 
@@ -52,10 +52,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.token_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.repair_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op8_jaccard_join, op9_secret_scan, op10_best_fit_packing, op12_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op8_jaccard_join, op9_secret_scan, op10_best_fit_packing, op11_token_id_files, op12_conversation_repair)}
 
 ORACLE = {"op1_mix_sources": mixing.SQL, "op2_embedding_near_dup": neardup.SQL, "op3_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op12_conversation_repair": dialogues.SQL}
