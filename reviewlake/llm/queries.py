@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import bpe, dialogues, idfiles, jaccard, langid, mixing, neardup, packing, pii, quality, secrets, warc
+from reviewlake.llm import bpe, dialogues, idfiles, jaccard, langid, mixing, neardup, packing, phrases, pii, quality, secrets, warc
 from reviewlake.session import spread
 
 
@@ -60,6 +60,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.repair_report(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op8_jaccard_join, op9_secret_scan, op10_best_fit_packing, op11_token_id_files, op12_conversation_repair)}
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
 
-ORACLE = {"op1_mix_sources": mixing.SQL, "op2_embedding_near_dup": neardup.SQL, "op3_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op12_conversation_repair": dialogues.SQL}
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_quality_rules, op4_token_counts, op5_language_id, op6_private_data, op7_warc_records, op8_jaccard_join, op9_secret_scan, op10_best_fit_packing, op11_token_id_files, op12_conversation_repair, op13_phrase_collocations)}
+
+ORACLE = {"op1_mix_sources": mixing.SQL, "op2_embedding_near_dup": neardup.SQL, "op3_quality_rules": quality.SQL, "op8_jaccard_join": jaccard.SQL, "op12_conversation_repair": dialogues.SQL, "op13_phrase_collocations": phrases.SQL}
