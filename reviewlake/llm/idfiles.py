@@ -4,7 +4,8 @@ A block is 128 ids less their minimum, packed at a width under which a chosen pe
 exceptions, whose places and whole values stand in lists. The percentile is that of PERCENTILES which makes the block
 smallest. A chunk is a run of blocks with an index of where each block's words and exceptions begin, so that a few
 ids are read without unpacking the rest, and a table of the documents in it. A file is the chunks of one range of
-document ids; a folder holds its files as a Parquet table (file, chunk, first, n, data), which any store can hold.
+document ids; a folder holds its files as a Parquet table (file, chunk, first, n, cut, data), which any store can hold. A chunk ends
+where the next document would not fit; a document longer than a chunk goes over several, which `cut` marks.
 
 Documents are dealt by ranges of doc_id, encoded, packed and written in one task per range, a chunk at a time, and
 read back chunk by chunk without a shuffle: a document that goes over chunks is pieced together by its place, its
@@ -20,7 +21,9 @@ from __future__ import annotations
 import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,14 +32,16 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tokenizers import Tokenizer
 
 from reviewlake.llm.batches import map_rows
-from reviewlake.llm.bpe import CACHE_WORDS, KEPT_LETTERS, NOT_PLAIN
+from reviewlake.llm.bpe import KEPT_LETTERS, NOT_PLAIN
 from reviewlake.session import shared_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
-BLOCK, CHUNK_IDS = 128, 1 << 18
-#: Candidates for the share of a block's ids that fit its width, as places in the sorted bit lengths.
+BLOCK, CHUNK_IDS, KEPT_PARTS = 128, 1 << 18, 400_000
+LITTLE = sys.byteorder == "little"
+#: Candidates for the share of a block's ids that fit its width.
 PERCENTILES = np.array([100, 98, 95, 90, 80])
+BIT_LENGTH = np.array([n.bit_length() for n in range(1 << 16)], np.uint8)
 EXCEPTION_BYTES = 5
 HEAD = struct.Struct("<4sIIIII")
 MAGIC = b"PFR1"
@@ -49,17 +54,26 @@ PLAIN_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\
 
 
 class PartIds(dict):
-    """part of a text -> its ids as little-endian unsigned 32-bit numbers; emptied at CACHE_WORDS."""
+    """part of a text -> its ids as little-endian unsigned 32-bit numbers.
+
+    At KEPT_PARTS the parts become the older generation, from which those still in use come back, and an older one goes.
+    """
 
     def __init__(self, tok: Tokenizer):
-        self.tok = tok
+        self.tok, self.older = tok, {}
+        chars = "".join(map(chr, [*range(128), *range(0xC0, 0x100)]))
+        spelled = {c: "".join(x for x, _ in tok.pre_tokenizer.pre_tokenize_str(c)) for c in chars}
+        self.spelling = str.maketrans(spelled)
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        spelled = "".join(x for x, _ in self.tok.pre_tokenizer.pre_tokenize_str(part))
-        ids = np.array([t.id for t in self.tok.model.tokenize(spelled)], "<u4").tobytes()
+        ids = self.older.get(part)
+        if ids is None:
+            ids = array("I", [t.id for t in self.tok.model.tokenize(part.translate(self.spelling))])
+            ids = (ids if LITTLE else ids.byteswap() or ids).tobytes()
         if len(part) <= KEPT_LETTERS:
+            if len(self) >= KEPT_PARTS:
+                self.older = dict(self)
+                self.clear()
             self[part] = ids
         return ids
 
@@ -97,17 +111,18 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, ...]:
     whole[: len(ids)], whole[len(ids) :] = ids, ids[-1:].sum()
     whole = whole.reshape(n_blocks, BLOCK)
     lowest = whole.min(1) if n_blocks else np.zeros(0, "<u4")
-    rest = (whole - lowest[:, None]).astype(np.uint64)
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.int64)
-    at = np.maximum(PERCENTILES * BLOCK // 100 - 1, 0)
-    tried = np.sort(bits, axis=1)[:, at]
-    size = np.stack([tried[:, k] * (BLOCK // 8) + EXCEPTION_BYTES * (bits > tried[:, k : k + 1]).sum(1) for k in range(len(at))], 1)
-    width = tried[np.arange(n_blocks), size.argmin(1)] if n_blocks else np.zeros(0, np.int64)
+    rest = whole - lowest[:, None]
+    upper = rest >> np.uint32(16)
+    bits = np.where(upper > 0, 16 + BIT_LENGTH[upper], BIT_LENGTH[rest & np.uint32(0xFFFF)]).astype(np.int64)
+    fit = np.bincount((bits + 33 * np.arange(n_blocks)[:, None]).ravel(), minlength=33 * n_blocks).reshape(n_blocks, 33).cumsum(1)
+    tried = np.stack([(fit >= -(-p * BLOCK // 100)).argmax(1) for p in PERCENTILES], 1)
+    size = tried * (BLOCK // 8) + EXCEPTION_BYTES * (BLOCK - np.take_along_axis(fit, tried, 1))
+    width = np.take_along_axis(tried, size.argmin(1)[:, None], 1)[:, 0] if n_blocks else np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum(width * (BLOCK // 64))])
     words = np.zeros(starts[-1], "<u8")
     for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        low = np.ascontiguousarray((rest[rows] & np.uint64((1 << int(w)) - 1)).T)
+        low = np.ascontiguousarray((rest[rows] & np.uint32((1 << int(w)) - 1)).T).astype(np.uint64)
         out = np.zeros((int(w) * BLOCK // 64, len(rows)), np.uint64)
         for i, word, shift in _places(int(w)):
             out[word] |= low[i] << np.uint64(shift)
@@ -192,7 +207,7 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | No
 
         def flush():
             ids = np.frombuffer(bytes(held), "<u4")
-            row = at["file"], at["chunk"], at["first"], len(ids), write_chunk(ids, docs)
+            row = at["file"], at["chunk"], at["first"], len(ids), not (docs[0][1] == 0 and docs[-1][3]), write_chunk(ids, docs)
             at["chunk"] += 1
             at["first"] += len(ids)
             held.clear()
@@ -201,21 +216,20 @@ def write_ids(docs: DataFrame, folder: str, end_id: int = END_ID, path: str | No
 
         def one(file, doc_id, text):
             at["file"] = file
-            data, done = memoryview(ids_of(text) + end), 0
-            while done < len(data):
-                if len(held) >= 4 * chunk_ids:
+            data = memoryview(ids_of(text) + end)
+            for done in range(0, len(data), 4 * chunk_ids):
+                part = data[done : done + 4 * chunk_ids]
+                if docs and len(held) + len(part) > 4 * chunk_ids:
                     yield flush()
-                part = data[done : done + 4 * chunk_ids - len(held)]
                 held.extend(part)
                 docs.append((doc_id, done // 4, len(part) // 4, done + len(part) == len(data)))
-                done += len(part)
 
         one.end = lambda: [flush()] if docs else []
         return one
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    files = map_rows(rows.select(F.spark_partition_id().alias("file"), "doc_id", "text"), make, "file int, chunk long, first long, n long, data binary")
+    files = map_rows(rows.select(F.spark_partition_id().alias("file"), "doc_id", "text"), make, "file int, chunk long, first long, n long, cut boolean, data binary")
     files.write.option("compression", "none").parquet(folder)
 
 
@@ -259,11 +273,10 @@ def read_report(spark: SparkSession, folder: str) -> DataFrame:
 
         return one
 
-    parts = map_rows(_chunks(spark, folder), make, "doc_id long, start long, before long, n long, crc long, last boolean")
-    whole = (F.col("before") == 0) & F.col("last")
-    cut = parts.where(~whole).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("before", "n", "crc"))).alias("pieces"))
-    report = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return parts.where(whole).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32")).unionByName(map_rows(cut, piece, report))
+    part = "doc_id long, start long, before long, n long, crc long, last boolean"
+    parts = map_rows(_chunks(spark, folder, "not cut"), make, part).select("doc_id", "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    cut = map_rows(_chunks(spark, folder, "cut"), make, part).groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("before", "n", "crc"))).alias("pieces"))
+    return parts.unionByName(map_rows(cut, piece, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def joined_crc(a: int, b: int, n: int) -> int:
@@ -272,13 +285,13 @@ def joined_crc(a: int, b: int, n: int) -> int:
     return zlib.crc32(zeros, a) ^ zlib.crc32(zeros) ^ b
 
 
-def _chunks(spark: SparkSession, folder: str) -> DataFrame:
+def _chunks(spark: SparkSession, folder: str, which: str = "true") -> DataFrame:
     """(ids before the chunk among all files, data)."""
     rows = spark.read.parquet(folder)
     sizes = rows.groupBy("file").agg(F.sum("n").alias("n"))
     ahead = F.coalesce(F.sum("n").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ahead = sizes.select("file", ahead.alias("ahead"))  # a row a file
-    return rows.join(F.broadcast(ahead), "file").select((F.col("ahead") + F.col("first")).alias("ahead"), "data")
+    return rows.where(which).join(F.broadcast(ahead), "file").select((F.col("ahead") + F.col("first")).alias("ahead"), "data")
 
 
 def token_report(docs: DataFrame, end_id: int = END_ID, path: str | None = None, chunk_ids: int = CHUNK_IDS) -> DataFrame:
