@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewlake.functions.vectors import cosine, norm
 from reviewlake.operators.corpus import with_ordinal
+from reviewlake.operators.density import density_clusters
 from reviewlake.session import materialize
 
 MAX_QUERIES = 10_000
@@ -102,6 +103,35 @@ def assign_subtopics(df: DataFrame, topics: DataFrame, key: str, vec: str, paren
     return assign_topics(df.join(topics.where(F.col("topic") == parent).select(key), key, "left_semi"), key, vec, k, **options)
 
 
+def principal(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
+    """(key, z): the first dims principal components; null where a vector is null, not finite, or of another length than most."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    sound = F.forall(F.col(vec), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sizes = df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if not sizes or sizes["n"] < 1:
+        return df.select(key, F.lit(None).cast("array<double>").alias("z"))
+    rows = df.withColumn("_ok", F.coalesce(sound & (F.size(vec) == sizes["n"]), F.lit(False)))
+    good = rows.where("_ok").select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
+    small = PCA(k=min(dims, sizes["n"]), inputCol="_v", outputCol="_z").fit(good).transform(good).select(key, vector_to_array("_z").alias("z"))
+    return small.unionByName(rows.where("not _ok").select(key, F.lit(None).cast("array<double>").alias("z")))
+
+
+def density_topics(df: DataFrame, key: str, vec: str, eps: float, min_points: int, dims: int = 5, min_size: int = 1) -> DataFrame:
+    """(key, topic): density clusters of the first principal components, numbered from 0 by size; -1 outliers and clusters below min_size."""
+    z = materialize(principal(df, key, vec, dims), "topic-components")
+    found = materialize(density_clusters(z, key, "z", dims, eps, min_points), "topic-clusters")
+    sizes = found.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_size)
+    topics = with_ordinal(sizes.withColumn("_o", -F.col("n")), ["_o", "cluster"], "topic").select("cluster", "topic")
+    return found.join(topics, "cluster", "left").select(key, F.coalesce(F.col("topic").cast("int"), F.lit(-1)).alias("topic"))
+
+
+def density_subtopics(df: DataFrame, topics: DataFrame, key: str, vec: str, parent: int, **options) -> DataFrame:
+    """Density topics within one parent topic, from components of its own vectors."""
+    return density_topics(df.join(topics.where(F.col("topic") == parent).select(key), key, "left_semi"), key, vec, **options)
+
+
 def balanced_prefix(df: DataFrame, entity: str, order: list[str], length: str, max_docs: int, min_chars: int) -> DataFrame:
     """The first ceil(max_docs / entities) documents of each entity that are long enough, max_docs in all, in corpus order."""
     rows = df.where(F.col(length) >= min_chars)

@@ -86,6 +86,20 @@ def e23(t: Tables):
     return rounded(R.topic_report(t.documents, "lang", "doc_id").withColumn("outliers", F.coalesce("outliers", F.lit(False))), "share")
 
 
+def density_topics(t: Tables):
+    return R.density_topics(vectors(t), "vec_id", "v", eps=0.15, min_points=8, min_size=20)
+
+
+@query("f6_density_topics")
+def f6d(t: Tables):
+    return density_topics(t)
+
+
+@query("f7_density_subtopics")
+def f7d(t: Tables):
+    return R.density_subtopics(vectors(t), density_topics(t), "vec_id", "v", 0, eps=0.14, min_points=8, min_size=10)
+
+
 @query(
     "f8_balanced_prefix",
     """WITH q AS (SELECT source, doc_id FROM documents WHERE n_chars >= 400), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM q)
