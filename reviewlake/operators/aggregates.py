@@ -88,9 +88,9 @@ def sampled(df: DataFrame, key: str, item: str, n: int, seed: int) -> DataFrame:
 
 def fit_scaler(df: DataFrame, vec: str, floor: float = 1e-6) -> DataFrame:
     """One row: mean and population deviation of every dimension, the latter at least floor."""
-    parts = by_dimension(df, [], vec).groupBy("dim").agg(F.avg("x").alias("m"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("s"))
-    o = parts.agg(F.array_sort(F.collect_list(F.struct("dim", "m", "s"))).alias("o"))
-    return o.select(_pick("o", "m").alias("mean"), _pick("o", "s").alias("std"))
+    both = summarize_vectors(df.select(F.lit(0).alias("_all"), vec), "_all", vec)
+    half = F.floor(F.size("summary") / 2).cast("int")
+    return both.select(F.slice("summary", F.lit(1), half).alias("mean"), F.transform(F.slice("summary", half + 1, half), lambda x: F.greatest(x, F.lit(floor))).alias("std"))
 
 
 def apply_scaler(df: DataFrame, scaler: DataFrame, vec: str) -> DataFrame:

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from reviewlake.functions.vectors import cosine, norm
+from reviewlake.functions.vectors import norm
 from reviewlake.operators.corpus import with_ordinal
 from reviewlake.operators.density import density_clusters
+from reviewlake.operators.neighbours import nearest, retrieve  # noqa: F401 - part of this module's interface
 from reviewlake.session import materialize
 
 MAX_QUERIES = 10_000
@@ -18,27 +19,6 @@ def md5_order(seed: int, *cols: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
 
 
-def checked_broadcast(df: DataFrame, limit: int = MAX_QUERIES) -> DataFrame:
-    """A broadcast of a frame that has at most limit rows; a larger one is left to Spark's own choice of join."""
-    df = materialize(df, "queries")
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def retrieve(catalog: DataFrame, queries: DataFrame, key: str, vec: str, k: int) -> tuple[DataFrame, DataFrame]:
-    """(ranks, top): per query the rank and similarity of its target, and its k nearest.
-
-    queries has query, target and vec. A stated query set against all rows: each query meets the catalogue once, and
-    only sums and k rows a query and task leave the tasks.
-    """
-    q = checked_broadcast(queries.select("query", "target", F.col(vec).alias("_q")))
-    sims = catalog.select(F.col(key).alias("_id"), F.col(vec).alias("_v")).crossJoin(q).select("query", "target", "_id", cosine(F.col("_q"), F.col("_v")).alias("sim"))
-    aim = sims.where(F.col("_id") == F.col("target")).select("query", F.col("sim").alias("_aim"))
-    ahead = sims.join(aim, "query").groupBy("query").agg(F.max("_aim").alias("similarity"), (1 + F.count_if((F.col("sim") > F.col("_aim")) & (F.col("_id") != F.col("target")))).alias("rank"))
-    nth = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "_id"))
-    top = sims.withColumn("nth", nth).where(F.col("nth") <= k).select("query", "nth", F.col("_id").alias(key), "sim")
-    return ahead, top
-
-
 def match_by_tags(scores: DataFrame, weights: DataFrame, k: int, reasons: int = 5) -> DataFrame:
     """(query, nth, appid, score, why): tag scores times tag weights over the norms; both tables are sparse, by tag."""
     total = lambda df, key, col, name: df.groupBy(key).agg((F.sqrt(F.sum(F.col(col) * F.col(col))) + 1e-8).alias(name))
@@ -236,26 +216,10 @@ def separated_top(df: DataFrame, key: str, x: str, y: str, weight: str, distance
     return df.sparkSession.createDataFrame(kept, f"{key} long, {x} double, {y} double, {weight} double")
 
 
-def near_neighbours(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, radius: float, seed: int = 1) -> DataFrame:
-    """(query, nth, key, distance) by locality-sensitive hashing of unit vectors and an exact second ranking.
+def near_neighbours(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, radius: float | None = None, seed: int = 1) -> DataFrame:
+    """(query, nth, key, distance): the k nearest other rows of unit length, exactly, by an index that bounds what is looked at.
 
-    Hashing finds neighbours within radius; queries with fewer than k of them meet all rows, and so have k rows where there are.
+    radius is not needed for that and without effect.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = lambda d, name, out: d.select(F.col(key).alias(name), F.transform(vec, lambda z: z / F.greatest(norm(F.col(vec)), F.lit(1e-12))).alias(out))
-    lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=2.0 * radius, numHashTables=8, seed=seed)
-    a, b = unit(queries, "query", "_q"), unit(df, key, "_v")
-    wanted, rows = a.select("query", array_to_vector("_q").alias("u")), b.select(key, array_to_vector("_v").alias("u"))
-    hits = lsh.fit(rows).approxSimilarityJoin(wanted, rows, radius, "distance")
-    nth = F.row_number().over(W.partitionBy("query").orderBy("distance", key))
-    first = lambda found: found.where(F.col("query") != F.col(key)).withColumn("nth", nth).where(F.col("nth") <= k)
-    near = materialize(first(hits.select(F.col("datasetA.query").alias("query"), F.col(f"datasetB.{key}").alias(key), "distance")), "near-neighbours")
-    full = near.where(F.col("nth") == k).select("query")
-    few = materialize(a.join(full, "query", "left_anti"), "few-neighbours")
-    if few.isEmpty():
-        return near
-    gap = F.aggregate(F.zip_with("_q", "_v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    far = b.crossJoin(checked_broadcast(few)).select("query", key, F.sqrt(gap).alias("distance"))
-    return near.join(full, "query", "left_semi").unionByName(first(far))
+    unit = lambda d: d.select(key, F.transform(vec, lambda z: z / F.greatest(norm(F.col(vec)), F.lit(1e-12))).alias(vec))
+    return nearest(unit(df), unit(queries), key, vec, k, seed)

@@ -26,24 +26,41 @@ def f2(t: Tables):
     return vectors(t).join(centres, "label").select("vec_id", F.round(V.cosine(F.col("v"), F.col("summary")), 6).alias("cosine"))
 
 
-SIMS = f"WITH {VEC}, q AS (SELECT vec_id AS query, v AS q FROM v WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id, round(list_dot_product(v, q) / ((sqrt(list_dot_product(v, v)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)), 9) AS sim FROM v, q)"
+PAIRED = "q AS (SELECT vec_id AS query, v AS q FROM v WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id, round(list_dot_product(v, q) / ((sqrt(list_dot_product(v, v)) + 1e-8) * (sqrt(list_dot_product(q, q)) + 1e-8)), 9) AS sim FROM v, q)"
+SIMS = f"WITH {VEC}, {PAIRED}"
+SCALED = f"WITH {LONG}, d AS (SELECT dim, avg(x) AS m, greatest(stddev_pop(x), 1e-6) AS s FROM x GROUP BY 1), v AS (SELECT vec_id, list((x - m) / s ORDER BY dim) AS v FROM x JOIN d USING (dim) GROUP BY 1), {PAIRED}"
+RANKS = "a AS (SELECT query, sim AS aim FROM s WHERE vec_id = query + 1) SELECT query, round(max(aim), 6) AS similarity, 1 + count(*) FILTER (sim > aim AND vec_id <> query + 1) AS rank FROM s JOIN a USING (query) GROUP BY 1"
+BEST = "SELECT query, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS nth, vec_id, round(sim, 6) AS sim FROM s QUALIFY nth <= 5"
 
 
-def retrieved(t: Tables):
-    queries = vectors(t).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("target"), "v")
-    return R.retrieve(vectors(t).withColumn("v", F.col("v")), queries, "vec_id", "v", 5)
+def retrieved(t: Tables, scaled: bool = False):
+    rows = vectors(t)
+    if scaled:
+        rows = A.apply_scaler(rows, A.fit_scaler(rows, "v"), "v")
+    queries = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("target"), "v")
+    return R.retrieve(rows, queries, "vec_id", "v", 5)
 
 
-@query("f3_retrieval_rank", f"{SIMS}, a AS (SELECT query, sim AS aim FROM s WHERE vec_id = query + 1) SELECT query, round(max(aim), 6) AS similarity, 1 + count(*) FILTER (sim > aim AND vec_id <> query + 1) AS rank FROM s JOIN a USING (query) GROUP BY 1")
+@query("f3_retrieval_rank", f"{SIMS}, {RANKS}")
 def f3(t: Tables):
     return rounded(retrieved(t)[0], "similarity")
 
 
-@query("f3_retrieval_top", f"{SIMS} SELECT query, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS nth, vec_id, round(sim, 6) AS sim FROM s QUALIFY nth <= 5")
+@query("f3_retrieval_top", f"{SIMS} {BEST}")
 def f3t(t: Tables):
     return rounded(retrieved(t)[1], "sim")
 
 
+@query("f3_scaled_rank", f"{SCALED}, {RANKS}")
+def f3s(t: Tables):
+    return rounded(retrieved(t, True)[0], "similarity")
+
+
+@query("f3_scaled_top", f"{SCALED} {BEST}")
+def f3st(t: Tables):
+    return rounded(retrieved(t, True)[1], "sim")
+
+
 @query(
     "f4_match_by_tags",
     """WITH s AS (SELECT c_nationkey AS query, c_mktsegment AS tag, avg(c_acctbal) AS score FROM customer GROUP BY 1, 2), w AS (SELECT o_orderpriority || '' AS appid, c_mktsegment AS tag, sum(o_totalprice) AS weight FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2),
@@ -195,9 +212,14 @@ def f19(t: Tables):
     return R.separated_top(rows, "p_partkey", "x", "y", "w", 2.5, 8)
 
 
-@query("f20_near_neighbours")
+@query(
+    "f20_near_neighbours",
+    f"""WITH {VEC}, u AS (SELECT vec_id, list_transform(v, lambda z: z / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u FROM v),
+       d AS (SELECT a.vec_id AS query, b.vec_id, round(list_distance(a.u, b.u), 9) AS distance FROM u a, u b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id)
+       SELECT query, row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) AS nth, vec_id, round(distance, 6) AS distance FROM d QUALIFY nth <= 5""",
+)
 def f20(t: Tables):
-    return R.near_neighbours(vectors(t), vectors(t).where("vec_id % 20 = 0"), "vec_id", "v", 5, 1.2)
+    return rounded(R.near_neighbours(vectors(t), vectors(t).where("vec_id % 20 = 0"), "vec_id", "v", 5), "distance")
 
 
 TAGS = "SELECT l_suppkey, l_returnflag || l_linestatus AS tag, max(l_quantity) AS weight FROM lineitem GROUP BY 1, 2"
