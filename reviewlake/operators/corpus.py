@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from reviewlake.functions.text import clean_text
+from reviewlake.operators.chains import visited
 from reviewlake.operators.splitting import sentence_array, sentence_count
 from reviewlake.session import materialize, ship
 
@@ -18,13 +18,20 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "ordinal", weight:
     Rows are dealt by range, each range is summed, and the sums of the ranges before (a row a partition) are added to
     a running sum inside each range: no task sees more than a range.
     """
+    return with_running(df, order, {name: weight})
+
+
+def with_running(df: DataFrame, order: list, sums: dict[str, str | None]) -> DataFrame:
+    """Several such numbers at once: name -> column to add up, or None to count rows. order may hold expressions."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = materialize(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordinal")
-    one = F.coalesce(F.col(weight), F.lit(0)).cast("long") if weight else F.lit(1).cast("long")
-    sums = parts.groupBy("_part").agg(F.sum(one).alias("_sum"))
-    ahead = F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    local = F.coalesce(F.sum(one).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return parts.join(sums.select("_part", ahead.alias("_ahead")), "_part").select(*df.columns, (F.col("_ahead") + local).alias(name))
+    one = {k: F.coalesce(F.col(w), F.lit(0)).cast("long") if w else F.lit(1).cast("long") for k, w in sums.items()}
+    total = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_sum_{k}") for k, c in one.items()])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = total.select("_part", *[F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)).alias(f"_ahead_{k}") for k in one])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    local = {k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in one.items()}
+    return parts.join(ahead, "_part").select(*df.columns, *[(F.col(f"_ahead_{k}") + c).alias(k) for k, c in local.items()])
 
 
 def build_corpus(docs: DataFrame, entity: str, review: str, text: str) -> DataFrame:
@@ -103,51 +110,45 @@ def merge_shards(rows: DataFrame, shards: DataFrame) -> DataFrame:
     return rows.join(shards.select("shard", "start"), "shard").withColumn("ordinal", F.col("start") + F.col("local")).drop("start")
 
 
-def _stream_groups(df: DataFrame, key: str, order: list[Column], step, schema: str) -> DataFrame:
-    """Rows of a key in order through step(state, row) -> (state, value), a batch at a time, with the state carried on."""
-    ship(df.sparkSession)
-
-    def run(batches):
-        now, state = object(), None
-        for pdf in batches:
-            values = []
-            for row in pdf.itertuples(index=False):
-                if row[0] != now:
-                    now, state = row[0], None
-                state, value = step(state, row)
-                values.append(value)
-            yield pdf.assign(batch=values)
+def _batched(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """columns and batch, from rows with `place` (their number over all keys) and `next` (the place where the next batch would begin).
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    A batch ends with its key at the latest, so one walk over all keys visits the first row of each.
+    """
+    ends = rows.groupBy(key).agg((F.max("place") + 1).alias("_end"), F.min("place").alias("_first"))
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    rows = rows.join(ends.select(F.col(key).alias("_key"), "_end", "_first"), same)
+    found = visited(rows.select(*columns, "place", "_first", F.least("next", "_end").alias("next")))
+    # batches begun before a row, over all keys; less those before its key's first row
+    counted = materialize(with_running(found.withColumn("_start", F.col("start").cast("long")), ["place"], {"_begun": "_start"}), "batches")
+    base = counted.where(F.col("place") == F.col("_first")).select("_first", F.col("_begun").alias("_base"))
+    return counted.join(base, "_first").select(*columns, (F.col("_begun") + F.col("_start") - F.col("_base") - 1).alias("batch"))
 
 
 def greedy_pack(df: DataFrame, key: str, item: str, cost: str, budget: int, max_items: int = 2**31) -> DataFrame:
-    """(key, item, cost, batch): in order of item, a new batch when the budget or max_items would be passed."""
-
-    def step(state, row):
-        batch, used, n = state or (0, 0, 0)
-        c = max(1, int(row[2]))
-        if n and (used + c > budget or n >= max_items):
-            batch, used, n = batch + 1, 0, 0
-        return (batch, used + c, n + 1), batch
+    """(key, item, cost, batch): in order of item, a new batch when the budget or max_items would be passed.
 
-    rows = df.select(F.col(key), F.col(item), F.col(cost).cast("long").alias(cost))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
-    return _stream_groups(rows, key, [F.col(item)], step, schema)
+    A row costs 1 at least; one above the budget is a batch of its own. With running sums over all rows, the place
+    where the batch after one begun at a row begins is the number of rows whose sums stay within that row's and the
+    budget. Which rows do begin a batch is found by doubling (`chains`), so no task sees a whole key.
+    """
+    rows = df.select(key, item, F.col(cost).cast("long").alias(cost)).withColumn("_c", F.greatest(F.lit(1).cast("long"), F.coalesce(F.col(cost), F.lit(1))))
+    rows = materialize(with_running(rows, [key, item, cost], {"place": None, "_before": "_c"}), "pack-rows")
+    ends = rows.select((F.col("_before") + F.col("_c")).alias("sum"), F.lit(0).alias("asks"), F.lit(None).cast("long").alias("place"))
+    asks = rows.select((F.col("_before") + budget).alias("sum"), F.lit(1).alias("asks"), "place")
+    merged = with_running(ends.unionByName(asks).withColumn("_is_end", 1 - F.col("asks")), ["sum", "asks", "place"], {"_ended": "_is_end"})
+    after = merged.where("asks = 1").select("place", "_ended")
+    nxt = F.least(F.greatest(F.col("_ended"), F.col("place") + 1), F.col("place") + max_items)
+    return _batched(rows.join(after, "place").withColumn("next", nxt), key, [key, item, cost])
 
 
 def token_pack(df: DataFrame, key: str, item: str, length: str, budget: int, max_batch: int) -> DataFrame:
-    """(key, item, length, batch): longest first, batches of min(max_batch, budget // longest) items."""
-
-    def step(state, row):
-        batch, room = state or (-1, 0)
-        if room == 0:
-            batch, room = batch + 1, max(1, min(max_batch, budget // max(1, int(row[2]))))
-        return (batch, room - 1), batch
-
-    rows = df.select(F.col(key), F.col(item), F.col(length).cast("long").alias(length))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", batch long"
-    return _stream_groups(rows, key, [F.desc(length), F.col(item)], step, schema)
+    """(key, item, length, batch): longest first, batches of min(max_batch, budget // longest) items, found like those of greedy_pack."""
+    rows = df.select(key, item, F.col(length).cast("long").alias(length))
+    rows = materialize(with_running(rows, [F.col(key), F.desc(length), F.col(item)], {"place": None}), "pack-rows")
+    longest = F.greatest(F.lit(1).cast("long"), F.coalesce(F.col(length), F.lit(1)))
+    room = F.greatest(F.lit(1).cast("long"), F.least(F.lit(max_batch).cast("long"), F.floor(F.lit(budget).cast("long") / longest)))
+    return _batched(rows.withColumn("next", F.col("place") + room), key, [key, item, length])
 
 
 def balanced_buckets(sizes: DataFrame, key: str, size: str, n: int) -> DataFrame:
