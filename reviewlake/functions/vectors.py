@@ -29,3 +29,12 @@ def scale(a: Column, mean: Column, std: Column) -> Column:
 
 def cosine(a: Column, b: Column, eps: float = 1e-8) -> Column:
     return dot(a, b) / ((norm(a) + eps) * (norm(b) + eps))
+
+
+def is_finite(a: Column) -> Column:
+    """Whether a vector is there, not empty, and holds neither nulls nor NaN nor infinities; never null.
+
+    A search for a value in an array with a null gives null where it does not find it.
+    """
+    odd = [F.array_contains(a, F.lit(x).cast("double")) for x in (float("nan"), float("inf"), float("-inf"))]
+    return F.coalesce(a.isNotNull() & (F.size(a) > 0) & ~odd[0] & ~odd[1] & ~odd[2], F.lit(False))

@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reviewlake.functions.vectors import doubles, is_finite
 from reviewlake.operators.components import connected_components
 from reviewlake.operators.corpus import with_ordinal
 from reviewlake.session import materialize
@@ -122,7 +123,7 @@ def density_clusters(df: DataFrame, key: str, vec: str, dims: int, eps: float, m
         raise ValueError(f"1 to {MAX_DIMS} dimensions")
     eps2, side = eps * eps, eps / math.sqrt(dims) * (1 - SLACK)
     x = F.array(*[F.get(F.col(vec), F.lit(i)).cast("double") + F.lit(0.0) for i in range(dims)])
-    fits = F.col(vec).isNotNull() & (F.size(vec) == dims) & F.forall(F.col(vec), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    fits = is_finite(doubles(F.col(vec))) & (F.size(vec) == dims)
     rows = df.select(F.col(key), F.when(fits, x).alias("x"))
     numbered = with_ordinal(rows.where(F.col("x").isNotNull()).groupBy("x").agg(F.count("*").alias("w")), ["x"], "id")
     places = numbered.select("id", "w", "x", F.transform("x", lambda v: F.floor(v / side)).alias("cell"))

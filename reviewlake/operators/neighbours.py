@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from reviewlake.functions.vectors import dot
+from reviewlake.functions.vectors import dot, doubles, is_finite
 from reviewlake.session import materialize, ship
 
 TILE_ROWS, QUERY_ROWS = 16_384, 128
@@ -29,16 +29,24 @@ ROOM = 1e-9
 ANSWER = "query long, id long, value double, ahead long"
 
 
-def sound(vec: str) -> Column:
-    """Whether a vector is there and all its elements are finite."""
-    return F.coalesce(F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(F.col(vec), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
 
+def _units(rows: DataFrame, schema: str, eps: float = 0.0, least: float = 0.0) -> DataFrame:
+    """Rows whose last column v is divided by the larger of its norm plus eps and least."""
+
+    def run(batches):
+        for batch in filter(len, batches):
+            x = _matrix(batch.columns[-1])
+            x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)) + eps, least)
+            v = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], v], batch.schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def _best(value: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k least values, ties by id."""
     if len(value) > 4 * k:
@@ -128,10 +136,12 @@ def retrieve(catalog: DataFrame, queries: DataFrame, key: str, vec: str, k: int)
     DIGITS decimals, ties go to the smaller key. Rows without a key or a sound vector are left out, and so is the rank
     of a target that is not in the catalogue.
     """
-    unit = lambda c: F.transform(c, lambda z: z / (F.sqrt(dot(F.col(c), F.col(c))) + 1e-8))
-    rows = catalog.where(sound(vec) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    rows = materialize(rows.select("id", unit("v").alias("v")), "retrieve-rows")
-    asked = queries.where(sound(vec) & F.col("query").isNotNull()).select("query", "target", F.col(vec).cast("array<double>").alias("v")).select("query", "target", unit("v").alias("v"))
+    ship(catalog.sparkSession)
+    v = lambda d: d.where(is_finite(doubles(F.col(vec)))).withColumn("v", doubles(F.col(vec)))
+    rows = v(catalog).where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "v")
+    rows = materialize(_units(rows, "id long, v array<double>", eps=1e-8), "retrieve-rows")
+    asked = v(queries).where(F.col("query").isNotNull()).select(F.col("query").cast("long"), F.col("target").cast("long"), "v")
+    asked = materialize(_units(asked, "query long, target long, v array<double>", eps=1e-8), "retrieve-asked")
     aims = asked.join(rows.select(F.col("id").alias("target"), F.col("v").alias("w")), "target").groupBy("query").agg(F.max(F.round(dot(F.col("v"), F.col("w")), DIGITS)).alias("aim"))
     asked = materialize(asked.join(aims, "query", "left"), "retrieve-queries")
     tiles = max(1, math.ceil(rows.count() / TILE_ROWS))
@@ -161,10 +171,10 @@ def _in_lists(rows: DataFrame, centres, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def nearest(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, seed: int = 1) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, seed: int = 1, unit: bool = False) -> DataFrame:
     """(query, nth, key, distance): the k nearest other rows of each query in euclidean distance, all of them, fewer only where the table has fewer.
 
-    Keys are longs; a row is other if its key is. Distances are compared at DIGITS decimals, ties go to the smaller key.
+    With unit, vectors are divided by their norm (1e-12 at least) first. Keys are longs; a row is other if its key is. Distances are compared at DIGITS decimals, ties go to the smaller key.
     Rows without a key or a sound vector of the table's usual length are left out.
     """
     from pyspark.ml.clustering import KMeans
@@ -172,10 +182,15 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, seed:
 
     spark = df.sparkSession
     ship(spark)
-    usual = df.where(sound(vec)).groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), "n").first()
+    v = lambda d: d.withColumn("v", doubles(F.col(vec))).where(is_finite(F.col("v")))
+    usual = v(df).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     length = usual["n"] if usual else 0
-    fits = lambda d, c: d.where(sound(vec) & (F.size(vec) == length) & F.col(c).isNotNull()).select(F.col(c).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    rows = materialize(fits(df, key), "nearest-rows")
+
+    def fits(d: DataFrame) -> DataFrame:
+        rows = v(d).where((F.size("v") == length) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "v")
+        return _units(rows, "id long, v array<double>", least=1e-12) if unit else rows
+
+    rows = materialize(fits(df), "nearest-rows")
     n = rows.count()
     if not n:
         return queries.select(F.col(key).cast("long").alias("query"), F.lit(0).alias("nth"), F.col(key).cast("long").alias(key), F.lit(0.0).alias("distance")).limit(0)
@@ -190,7 +205,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str, vec: str, k: int, seed:
     catalog = lists.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).join(tiles, "list").select((place + F.pmod("row", F.col("tiles"))).alias("tile"), "id", "v")
     sent = lambda q: q.join(tiles, "list").withColumn("nth_tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select((place + F.col("nth_tile")).alias("tile"), "query", "v", "aim", F.lit(0).cast("long").alias("target"))
 
-    asked = materialize(_in_lists(fits(queries, key).dropDuplicates(["id", "v"]), centres, "id long, v array<double>, list long, r double").withColumnRenamed("id", "query"), "nearest-queries")
+    asked = materialize(_in_lists(fits(queries).dropDuplicates(["id", "v"]), centres, "id long, v array<double>, list long, r double").withColumnRenamed("id", "query"), "nearest-queries")
     known = {r["list"]: (r["least"], r["most"]) for r in sizes}
     home = materialize(_meet(catalog, sent(asked.withColumn("aim", F.lit(float("inf")))), k, _close), "nearest-home")
     nth = F.row_number().over(W.partitionBy("query").orderBy("value", "id"))

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from reviewlake.functions.vectors import norm
+from reviewlake.functions.vectors import doubles, is_finite
 from reviewlake.operators.corpus import with_ordinal
 from reviewlake.operators.density import density_clusters
 from reviewlake.operators.neighbours import nearest, retrieve  # noqa: F401 - part of this module's interface
@@ -88,11 +88,11 @@ def principal(df: DataFrame, key: str, vec: str, dims: int) -> DataFrame:
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    sound = F.forall(F.col(vec), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    sound = is_finite(doubles(F.col(vec)))
     sizes = df.where(F.col(vec).isNotNull()).groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), "n").first()
     if not sizes or sizes["n"] < 1:
         return df.select(key, F.lit(None).cast("array<double>").alias("z"))
-    rows = df.withColumn("_ok", F.coalesce(sound & (F.size(vec) == sizes["n"]), F.lit(False)))
+    rows = df.withColumn("_ok", sound & (F.size(vec) == sizes["n"]))
     good = rows.where("_ok").select(key, array_to_vector(F.col(vec).cast("array<double>")).alias("_v"))
     small = PCA(k=min(dims, sizes["n"]), inputCol="_v", outputCol="_z").fit(good).transform(good).select(key, vector_to_array("_z").alias("z"))
     return small.unionByName(rows.where("not _ok").select(key, F.lit(None).cast("array<double>").alias("z")))
@@ -221,5 +221,4 @@ def near_neighbours(df: DataFrame, queries: DataFrame, key: str, vec: str, k: in
 
     radius is not needed for that and without effect.
     """
-    unit = lambda d: d.select(key, F.transform(vec, lambda z: z / F.greatest(norm(F.col(vec)), F.lit(1e-12))).alias(vec))
-    return nearest(unit(df), unit(queries), key, vec, k, seed)
+    return nearest(df, queries, key, vec, k, seed, unit=True)
