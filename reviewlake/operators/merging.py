@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewlake.functions.text import overlap_title, wide_title
 from reviewlake.operators.cleaning import blank
+from reviewlake.session import materialize
 
 
 def stacked(sources: list[DataFrame]) -> DataFrame:
@@ -135,6 +137,94 @@ def match_pages(entities: DataFrame, pages: DataFrame, entity: str, name: str, p
     return best.where(F.col("b.score") >= floor).select(entity, (-F.col("b.p")).alias(page), "b.score")
 
 
+def _pruned_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """The ratio where it can reach `least`, else 0: lengths and then counts of letters bound it from above."""
+
+    def ratio(x: str, y: str, t: float) -> float:
+        m = difflib.SequenceMatcher(None, x or "", y or "")
+        return m.ratio() if m.real_quick_ratio() >= t and m.quick_ratio() >= t else 0.0
+
+    return pd.Series([ratio(*row) for row in zip(a, b, least)], dtype="float64")
+
+
+@dataclass(frozen=True)
+class PageTerms:
+    """Words that tell the wanted pages: in their text, against them in the title, for them in the title, and what titles may add to a name."""
+
+    positive: tuple[str, ...]
+    negative: tuple[str, ...] = ()
+    kinds: tuple[str, ...] = ()
+    suffixes: tuple[str, ...] = ()
+
+    @staticmethod
+    def has(text: Column, terms: tuple[str, ...]) -> Column:
+        return reduce(lambda c, t: c | F.contains(text, F.lit(t)), terms, F.lit(False))
+
+
+def title_key(title: Column) -> Column:
+    """Lower case, underscores as spaces, runs of white space as one."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(title, "_", " ")), r"\s+", " "))
+
+
+def find_pages(entities: DataFrame, pages: DataFrame, entity: str, name: str, page: str, title: str, extract: str, terms: PageTerms, alias: str | None = None, floor: float = 2.2, search_floor: float = 6.0) -> DataFrame:
+    """(entity, page, score, how): each entity's best page among the likely ones.
+
+    A page is likely when its title has no negative term and names a kind, or its first 1800 characters have a positive
+    term. `direct` pages have the name, or the alias, or one of these and a suffix in brackets, as their title. Entities without one
+    are looked for by `search`: among likely pages that share the name's or the alias's word on the fewest titles (of four letters
+    and more, where there are such), with search_floor at least. score = 4 x similarity of title and alias (the name where there is none) + 2 x
+    similarity of title and name + 2 for a positive term in title and first 1600 characters + 1 for a suffix in brackets; the smaller page settles ties. A best page below floor without a positive term in its first 1400
+    characters is none. Null or blank names, titles and extracts match nothing.
+
+    Equal titles are one row with their best page, equal names one row, so neither copies of pages nor of names multiply.
+    """
+    low = F.lower(F.trim(F.coalesce(extract, F.lit(""))))
+    raw = F.lower(F.concat(F.col(title), F.lit("\n"), F.substring(F.coalesce(extract, F.lit("")), 1, 1600)))
+    lower = F.lower(F.col(title))
+    likely = PageTerms.has(lower, terms.kinds) | PageTerms.has(F.substring(low, 1, 1800), terms.positive)
+    brackets = tuple(f"({s})" for s in terms.suffixes)
+    rows = pages.where((F.trim(F.coalesce(title, F.lit(""))) != "") & (low != "") & ~PageTerms.has(lower, terms.negative) & likely)
+    rows = rows.select(F.col(page).alias("page"), F.col(title).alias("title"), PageTerms.has(raw, terms.positive).alias("says"), PageTerms.has(F.substring(low, 1, 1400), terms.positive).alias("early"))
+    best = rows.groupBy("title").agg(F.max(F.struct("says", (-F.col("page")).alias("p"), "early")).alias("b"))
+    bonus = F.when(F.col("b.says"), 2).otherwise(0) + F.when(PageTerms.has(F.lower("title"), brackets), 1).otherwise(0)
+    best = materialize(best.select("title", title_key(F.col("title")).alias("key"), (-F.col("b.p")).alias("page"), F.col("b.early").alias("early"), bonus.alias("bonus")), "pages-likely")
+
+    known_as = F.coalesce(F.col(alias), F.col(name)) if alias else F.col(name)
+    named = entities.select(F.col(entity), F.col(name).alias("name"), known_as.alias("alias")).where(F.trim("name") != "")
+    names = materialize(named.select("name", "alias").distinct(), "pages-names")
+    forms = F.array_distinct(F.flatten(F.transform(F.array("alias", "name"), lambda n: F.concat(F.array(n), *[F.array(F.concat(n, F.lit(f" {b}"))) for b in brackets]))))
+    keys = names.select("name", "alias", F.explode(F.array_distinct(F.transform(forms, title_key))).alias("key"))
+    direct = _best_page(keys.join(best, "key"), None, floor).withColumn("how", F.lit("direct"))
+    direct = materialize(direct, "pages-direct")
+
+    rest = names.join(direct.select("name", "alias"), ["name", "alias"], "left_anti")
+    words = lambda c: F.filter(F.array_distinct(F.split(wide_title(c), " ")), lambda w: w != "")
+    longer = lambda c: F.when(F.exists(words(c), lambda w: F.length(w) >= 4), F.filter(words(c), lambda w: F.length(w) >= 4)).otherwise(words(c))
+    posted = best.select("title", F.explode(words(F.col("title"))).alias("word"))
+    often = posted.groupBy("word").agg(F.count("*").alias("n"))
+    asked = rest.select("name", "alias", F.explode(F.array_distinct(F.array("name", "alias"))).alias("form")).select("name", "alias", "form", F.explode(longer(F.col("form"))).alias("word"))
+    rarest = asked.join(often, "word").groupBy("name", "alias", "form").agg(F.min(F.struct("n", "word")).alias("w")).select("name", "alias", F.col("w.word").alias("word")).distinct()
+    met = rarest.join(posted, "word").select("name", "alias", "title").distinct().join(best, "title")
+    found = direct.unionByName(_best_page(met, search_floor, max(floor, search_floor)).withColumn("how", F.lit("search")))
+    return named.join(found, ["name", "alias"]).select(entity, F.col("page").alias(page), "score", "how")
+
+
+def _best_page(pairs: DataFrame, need: float | None, floor: float) -> DataFrame:
+    """The best page of each (name, alias). With need, pairs whose score can't reach it are not compared."""
+    from pyspark.sql.types import DoubleType
+
+    ratio = F.pandas_udf(_pruned_ratio, DoubleType())
+    with_ascii = lambda c: F.exists(F.split(overlap_title(F.col(c)), " "), lambda w: F.length(w) >= 4)
+    both = {c: with_ascii(c) & with_ascii("title") for c in ("name", "alias")}
+    # 4 x one + 2 x other + bonus >= need, with ratios of 1 at most
+    least = {"alias": (F.lit(need) - 2 - F.col("bonus")) / 4, "name": (F.lit(need) - 4 - F.col("bonus")) / 2} if need is not None else dict.fromkeys(both, F.lit(0.0))
+    sim = lambda c: ratio(*[F.when(both[c], overlap_title(F.col(x))).otherwise(wide_title(F.col(x))) for x in (c, "title")], least[c].cast("double") - 1e-9)
+    scored = pairs.withColumn("score", 4 * sim("alias") + 2 * sim("name") + F.col("bonus"))
+    top = scored.groupBy("name", "alias").agg(F.max(F.struct("score", (-F.col("page")).alias("p"), "early")).alias("b"))
+    good = (F.col("b.score") >= floor) | (F.col("b.early") & F.lit(need is None))
+    return top.where(good).select("name", "alias", (-F.col("b.p")).alias("page"), F.col("b.score").alias("score"))
+
+
 def genre_catalog(games: DataFrame, bridge: DataFrame, game: str, genre: str) -> DataFrame:
     """Each game with its genres joined by |, in order; blank where it has none."""
     names = bridge.groupBy(game).agg(F.array_join(F.array_sort(F.collect_set(F.col(genre).cast("string"))), "|").alias("genres"))

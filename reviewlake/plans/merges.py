@@ -106,6 +106,16 @@ def d9(t: Tables):
     return M.match_pages(names, titles, "entity", "name", "page_id", "title", [r"\(video game\)"], ["soundtrack", "film"])
 
 
+@query("d9_find_pages")
+def d9f(t: Tables):
+    part = lambda pattern: F.regexp_extract("html", pattern, 1)
+    body = F.regexp_replace(F.regexp_replace(F.regexp_extract("html", "(?s)<article>(.*)", 1), "<[^>]*>", " "), r"\s+", " ")
+    pages = t.pages.select("page_id", part("<title>([^<]*)</title>").alias("title"), body.alias("extract"))
+    names = t.pages.select(F.col("page_id").alias("entity"), F.substring_index(part("<h1>([^<]*)</h1>"), ".", 1).alias("name"), part("<h1>([^<]*)</h1>").alias("alias"))
+    terms = M.PageTerms(positive=("the", "und", "que", "les"), negative=("%%%", "***"), kinds=("on",), suffixes=("video game", "series"))
+    return M.find_pages(names, pages, "entity", "name", "page_id", "title", "extract", terms, "alias", search_floor=4.0)
+
+
 @query("d10_genre_catalog", "SELECT s_suppkey, s_name, coalesce((SELECT string_agg(g, '|' ORDER BY g) FROM (SELECT DISTINCT l_suppkey, l_returnflag AS g FROM lineitem WHERE l_quantity > 49) x WHERE x.l_suppkey = s_suppkey), '') AS genres FROM supplier")
 def d10(t: Tables):
     bridge = t.lineitem.where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"), "l_returnflag")
