@@ -5,7 +5,7 @@ other are in one cluster; another point within eps of a core point belongs to th
 outliers. Points of a cell are within eps of each other, because the cell's diagonal is eps. So all points of a cell
 with min_points points are core and need no comparison, and all core points of a cell are in one cluster: only points
 of thin cells, fewer than min_points a cell, meet the points of neighbouring cells, one by one. That is linear in a
-crowded cell. Whether two crowded cells touch follows from their points' bounding boxes, where these are near or far
+crowded cell. Whether two cells' core points touch follows from one point of each or their bounding boxes, where these are near or far
 enough; the few pairs that are neither and not connected by other cells are split into smaller boxes until they are.
 
 Equal points are one position with a weight, so a group of copies costs one.
@@ -142,11 +142,11 @@ def density_clusters(df: DataFrame, key: str, vec: str, dims: int, eps: float, m
     points = materialize(points.join(enough, "id", "left").select("id", "x", "cid", "n", ((F.col("n") >= min_points) | F.coalesce("enough", F.lit(False))).alias("core")), "density-core")
 
     core = points.where("core").select("id", "x", "cid")
-    halls = materialize(_boxes(core, ["cid"], dims).withColumn("n", F.col("m")), "density-halls")
-    of = lambda c, s: halls.select(F.col("cid").alias(c), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
+    halls = materialize(_boxes(core, ["cid"], dims, F.min_by("x", "id").alias("one")).withColumn("n", F.col("m")), "density-halls")
+    of = lambda c, s: halls.select(F.col("cid").alias(c), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.col("one").alias(f"one_{s}"))
     linked = pairs.join(of("a", "a"), "a").join(of("b", "b"), "b")
     near, far = (_box_gap("lo_a", "hi_a", "lo_b", "hi_b", dims, f) for f in (False, True))
-    linked = materialize(linked.where(near <= eps2 * (1 + SLACK)).select("a", "b", (far <= eps2 * (1 - SLACK)).alias("sure")), "density-links")
+    linked = materialize(linked.where(near <= eps2 * (1 + SLACK)).select("a", "b", ((far <= eps2 * (1 - SLACK)) | (_apart("one_a", "one_b", dims) <= eps2)).alias("sure")), "density-links")
     label = _labels(halls, linked.where("sure"))
     named = lambda c: label.select(F.col("cid").alias(c), F.col("label").alias(f"label_{c}"))
     unsure = linked.where(~F.col("sure")).join(named("a"), "a").join(named("b"), "b").where("label_a <> label_b").select("a", "b")
