@@ -321,3 +321,55 @@ def test_rules_are_measured_on_a_sample(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
     rows = quality.measure_rules(df, quality.RULES, 500).collect()
     assert {r["rule"] for r in rows} == {f.__name__ for f in quality.RULES} and all(300 < r["rows"] < 700 for r in rows)
+
+
+def ordinary_names(rng, n):
+    """Identifiers of the kind programs have, from other words and by other means than the module's own nulls."""
+    words = "get set user account name list index value cache table query row column file path image render button click event server client request response token count total first last date time zone order item price group member session handler factory manager service builder parser writer reader".split()
+    out = []
+    while len(out) < n:
+        w, kind = [rng.choice(words) for _ in range(rng.randint(3, 7))], rng.randrange(4)
+        w.insert(rng.randint(1, len(w)), str(rng.randrange(10 ** rng.randint(1, 3))))
+        name = [w[0] + "".join(x.title() for x in w[1:]), "_".join(w), "-".join(w), "".join(w)][kind]
+        if rng.random() < 0.05:
+            name = name.upper()
+        if 20 <= len(name) <= 60:
+            out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("length, least", [(32, 20), (40, 28)])
+def test_secrets_are_found_in_a_mixture(spark, length, least):
+    """One random string in a hundred names."""
+    rng = random.Random(length)
+    names = ordinary_names(rng, 4000)
+    keys = []
+    while len(keys) < 40:
+        k = "".join(rng.choice(secrets.ENCODINGS["base64"]) for _ in range(length))
+        if re.search("[0-9]", k) and re.search("[A-Za-z]", k):
+            keys.append(k)
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(names + keys)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.secrets_report(df).collect() if "random" in r["spans"]}
+    assert len([i for i in found if i >= 4000]) >= least and len([i for i in found if i < 4000]) <= 4
+
+
+def test_tails_hold_far_out(monkeypatch):
+    """The lines against many more draws than they were read from, also at lengths beyond the simulated ones."""
+    from statistics import NormalDist
+
+    import json
+
+    rows = {(r["encoding"], r["size"]): r for r in json.loads(secrets.nulls())}
+    monkeypatch.setattr(secrets, "TRIALS", 100_000)
+    for size, at in ((31, 31), (40, 40), (400, 247)):
+        monkeypatch.setattr(secrets, "TRIALS", 100_000 if size < 100 else 10_000)
+        for style in secrets.STYLES:
+            row = rows["base64", max(s for s in secrets.SIZES if s <= at)]
+            m = secrets.measures(*secrets.drawn(np.random.default_rng(11), secrets.ENCODINGS["base64"], size, style), 64)
+            z = (m - row[f"{style}_mean"]) / (np.array(row[f"{style}_std"]) * (row["size"] / size) ** 0.5)
+            start, slope = row[f"{style}_line"]
+            score = (z @ np.array(row[f"{style}_weights"]) - start) / slope
+            for p in (1e-2, 1e-3, 1e-4):
+                if p * len(score) >= 10:
+                    share = (score > NormalDist().inv_cdf(1 - p)).mean()
+                    assert share <= 3 * p, (size, style, p, share)
