@@ -5,8 +5,8 @@ the sum over all its segmentations into pieces, by a forward pass; a text's is t
 probabilities are learned by expectation maximisation on word counts of labelled documents: forward and backward
 passes give the expected number of uses of each piece.
 
-The model is fitted on about `train_docs` documents of each language at most, those with the smallest hashes of their ids, and
-on parts of at most TRAIN_LETTERS letters. Every text and every word is predicted whole.
+The model is fitted on about `train_docs` documents of each language at most, those with the smallest hashes of their ids.
+Every word is learned whole, and every text and word predicted whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0, as is everything when there is no
 labelled text; a null doc_id counts as not held out and is not learned from; repeated rows get equal results.
@@ -31,7 +31,6 @@ VOCABULARY = "piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 TRAIN_DOCS = 1500
-TRAIN_LETTERS = 40
 ROUNDS = 2
 SMOOTHING = 200.0
 UNKNOWN = 1e-8
@@ -119,22 +118,47 @@ class PieceModel:
         return out
 
     def expected_uses(self, words: list[str], counts: np.ndarray, language: int) -> np.ndarray:
-        """Expected uses of each piece in words of a language, each as often as it counts."""
+        """Expected uses of each piece in words of any length of a language, each as often as it counts.
+
+        Forward and backward sums are held against factors `c`, by which the forward ones are divided every RESCALE places.
+        """
         out = np.zeros(self.n + 2)
         p = self.table[:, language]
         for places, group in self.groups(words):
-            arcs, n = self.arcs(group), len(group[0])
-            alpha, beta = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group)))
+            n = len(group[0])
+            kept = self.arcs(group) if n <= KEPT_LETTERS else None  # of longer words, arcs are found twice and not held
+            alpha, beta, c = np.zeros((n + 1, len(group))), np.zeros((n + 1, len(group))), {}
             alpha[0], beta[n] = 1, 1
-            for i, j, rows in arcs:
-                alpha[j] += alpha[i] * p[rows]
-            for i, j, rows in reversed(arcs):
-                beta[i] += beta[j] * p[rows]
+            for i, arcs in self._by_start(group, kept, range(n)):
+                if i % RESCALE == RESCALE - 1:
+                    c[i] = alpha[i : i + self.longest + 1].max(axis=0)
+                    alpha[i : i + self.longest + 1] /= c[i]
+                for j, rows in arcs:
+                    alpha[j] += alpha[i] * p[rows]
             share = counts[places] / np.maximum(alpha[n], 1e-300)
-            uses = [alpha[i] * p[rows] * beta[j] * share for i, j, rows in arcs]
-            out += np.bincount(np.concatenate([rows for _, _, rows in arcs]), np.concatenate(uses), self.n + 2)
+            used: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, arcs in self._by_start(group, kept, range(n - 1, -1, -1)):
+                for j, rows in arcs:
+                    later = p[rows] * beta[j]
+                    for t in range(i + RESCALE - i % RESCALE - 1 if i % RESCALE < RESCALE - 1 else i + RESCALE, j + 1, RESCALE):
+                        if t in c:
+                            later = later / c[t]
+                    beta[i] += later
+                    used.append((rows, alpha[i] * later * share))
+                if used and (not i or len(used) * len(group) > GROUP_LETTERS):
+                    out += np.bincount(*map(np.concatenate, zip(*used)), self.n + 2)
+                    used.clear()
         return out[: self.n]
 
+    def _by_start(self, group: list[str], kept, order):
+        if kept is None:
+            yield from ((i, list(self.arcs_from(group, i))) for i in order)
+            return
+        by = [[] for _ in group[0]]
+        for i, j, rows in kept:
+            by[i].append((j, rows))
+        yield from ((i, by[i]) for i in order)
+
 
 def sample_labelled(docs: DataFrame, train_docs: int) -> DataFrame:
     """(lang, text) of labelled documents outside the held-out fold, about train_docs of each language by hash of the id."""
@@ -152,8 +176,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS, pat
     def count_words():
         def one(lang, text):
             for word, n in Counter(letter_runs(text)).items():
-                for at in range(0, len(word), TRAIN_LETTERS):
-                    yield lang, word[at : at + TRAIN_LETTERS], n
+                yield lang, word, n
 
         return one
 

@@ -178,7 +178,7 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 m AS (SELECT doc_id, t, ws, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
-        length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_alpha FROM w),
+        length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_alpha, length(regexp_replace(t, '[^\p{M}]', '', 'g')) AS n_marks FROM w),
 p AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(3) AS x(k) GROUP BY 1),
@@ -187,6 +187,6 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
   NOT base_failed AND NOT (100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 60 * len(ls) OR NOT (word_chars BETWEEN 2 * n_words AND 15 * n_words)
-    OR (n_upper > 40 AND 2 * n_upper > n_alpha) OR 4 * n_alpha < 3 * word_chars) AS kept
+    OR (n_upper > 40 AND 2 * n_upper > n_alpha) OR 4 * (n_alpha + n_marks) < 3 * word_chars) AS kept
 FROM f
 """

@@ -373,3 +373,36 @@ def test_tails_hold_far_out(monkeypatch):
                 if p * len(score) >= 10:
                     share = (score > NormalDist().inv_cdf(1 - p)).mean()
                     assert share <= 3 * p, (size, style, p, share)
+
+
+def test_long_words_are_learned_whole():
+    """Uses of a word by scaled sums are those of plain sums, and stay finite and complete at any length."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "abba"]
+    model = langid.PieceModel(pieces, np.array([[0.1], [0.2], [0.15], [0.25], [0.2], [0.1], [0.05]]))
+
+    def plain(word):
+        w, n = "▁" + word, len(word) + 1
+        arcs = [(i, j, model.at[w[i:j]]) for i in range(n) for j in range(i + 1, min(n, i + 4) + 1) if w[i:j] in model.at]
+        alpha, beta, out = np.zeros(n + 1), np.zeros(n + 1), np.zeros(len(pieces))
+        alpha[0] = beta[n] = 1
+        for i, j, r in arcs:
+            alpha[j] += alpha[i] * model.table[r, 0]
+        for i, j, r in sorted(arcs, reverse=True):
+            beta[i] += beta[j] * model.table[r, 0]
+        for i, j, r in arcs:
+            out[r] += alpha[i] * model.table[r, 0] * beta[j] / alpha[n]
+        return out
+
+    for n in (1, 3, 4, 5, 9, 20, 60):
+        word = ("abba" * n)[: 4 * n - n % 3]
+        assert np.allclose(model.expected_uses([word], np.array([1.0]), 0), plain(word)), n
+    long = model.expected_uses(["abba" * 3000, "ab"], np.array([2.0, 1.0]), 0)
+    assert abs(sum(len(k) * x for k, x in zip(pieces, long)) - (2 * 12001 + 3)) < 1e-4
+
+
+def test_languages_of_held_out_documents(spark):
+    """Nearly all documents of the fold that nothing is learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify_languages(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
+    said = [r["lang"] == r["lang_pred"] for r in rows if r["text"] and any(map(str.isalpha, r["text"]))]
+    assert len(said) > 100 and sum(said) >= 0.99 * len(said)
