@@ -141,3 +141,106 @@ def river(plan: DataFrame, axis: tuple[float, float], bins: int, lo: float, hi:
     rows = rows.groupBy("step", "part", binned(z, lo, hi, bins).alias("bin")).agg(F.sum("mass").alias("density"))
     rows = blurred(rows, ["step", "part", "bin"], "bin", "density", bins, sigma)
     return rows.withColumn("density", F.col("density") / F.sum("density").over(W.partitionBy("step", "part")))
+
+
+def lane_names(points: DataFrame, cohort: str, name: str | None = None) -> DataFrame:
+    """(lane, name): the cohort (or its name) whose centre of mass is nearest to the lane's; the smaller cohort settles ties.
+
+    Lanes and cohorts are few, so each lane's row meets a row a cohort.
+    """
+    w = F.sum("w")
+    lanes = points.groupBy("lane").agg((F.sum(F.col("w") * F.col("x")) / w).alias("lx"), (F.sum(F.col("w") * F.col("y")) / w).alias("ly"))
+    label = F.min(name or cohort).alias("name")
+    centres = points.groupBy(F.col(cohort).alias("_c")).agg((F.sum(F.col("w") * F.col("x")) / w).alias("cx"), (F.sum(F.col("w") * F.col("y")) / w).alias("cy"), label)
+    gap = F.pow(F.col("lx") - F.col("cx"), F.lit(2.0)) + F.pow(F.col("ly") - F.col("cy"), F.lit(2.0))
+    near = F.min(F.struct(F.round(gap, 9).alias("gap"), "_c", "name"))
+    return lanes.join(centres, F.lit(True)).groupBy("lane").agg(near.alias("n")).select("lane", "n.name")
+
+
+class GridPlan:
+    """Entropic transport between two masses on one grid, by Sinkhorn's rounds in logarithms.
+
+    Squared distance between cell centres is a sum over x and y, so the kernel is a product of one over x and one over
+    y: a round costs two sums over g x g x g numbers, not one over (g x g) x (g x g).
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray, eps: float, close: float = 1e-10, rounds: int = 20_000):
+        self.a, self.b = a / a.sum(), b / b.sum()
+        self.eps = max(eps * self._median(a > 0, b > 0, xs, ys), 1e-12)
+        self.kx, self.ky = (-((v[:, None] - v[None, :]) ** 2) / self.eps for v in (xs, ys))
+        with np.errstate(divide="ignore"):
+            la, lb = np.log(self.a), np.log(self.b)
+        f, g = np.zeros_like(self.a), np.zeros_like(self.b)
+        for _ in range(rounds):
+            f = np.where(self.a > 0, la - self.through(g + np.where(self.b > 0, 0, -np.inf)), -np.inf)
+            g = np.where(self.b > 0, lb - self.through(f), -np.inf)
+            if np.abs(np.exp(f + self.through(g)) - self.a).sum() <= close:
+                break
+        self.f, self.g = f, g
+
+    @staticmethod
+    def _median(a: np.ndarray, b: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> float:
+        """Median squared distance of an occupied cell of a and one of b, from how many pairs lie at each offset."""
+        shape = [2 * n for n in a.shape]
+        pairs = np.rint(np.fft.irfft2(np.fft.rfft2(a, shape) * np.conj(np.fft.rfft2(b, shape)), shape)).astype(np.int64)
+        dx, dy = (np.minimum(np.arange(2 * len(v)), 2 * len(v) - np.arange(2 * len(v))) * (v[1] - v[0] if len(v) > 1 else 0.0) for v in (xs, ys))
+        cost = (dx[:, None] ** 2 + dy[None, :] ** 2).ravel()
+        order = np.argsort(cost, kind="stable")
+        upto = np.cumsum(pairs.ravel()[order])
+        n = int(upto[-1])
+        at = lambda k: cost[order][np.searchsorted(upto, k, "right")]
+        return float((at((n - 1) // 2) + at(n // 2)) / 2)
+
+    def through(self, v: np.ndarray) -> np.ndarray:
+        """log of the kernel times exp(v)."""
+        return _log_sum(self.kx, _log_sum(self.ky, v.T).T)
+
+    def between(self, left: np.ndarray, right: np.ndarray) -> float:
+        """Mass from the cells' shares `left` to the cells' shares `right`."""
+        with np.errstate(divide="ignore"):
+            return float((left * np.exp(self.f + self.through(self.g + np.log(right)))).sum())
+
+
+def _log_sum(k: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """log of exp(k) @ exp(v)."""
+    top = v.max(axis=0)
+    top = np.where(np.isfinite(top), top, 0.0)
+    rows = k[:, :, None] + (v - top)[None]
+    high = rows.max(axis=1)
+    safe = np.where(np.isfinite(high), high, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(rows - safe[:, None, :]).sum(axis=1)) + safe + top
+
+
+def lane_flow(points: DataFrame, cohort: str, g: int, box: tuple, eps: float = 0.3) -> DataFrame:
+    """(step, source, target, mass, share): what each lane of a cohort sends to each lane of the next one, a task a transition.
+
+    Points are binned to centres of g x g cells; a cell's mass leaves and arrives by its lanes' weights. Masses sum to
+    1 in a transition, shares to 1 in a source lane. eps is a share of the median squared distance.
+    """
+    ship(points.sparkSession)
+    x0, x1, y0, y1 = box
+    cells = points.groupBy(F.col(cohort).cast("long").alias("c"), binned(F.col("x"), x0, x1, g).alias("ix"), binned(F.col("y"), y0, y1, g).alias("iy"), F.col("lane").cast("long").alias("lane")).agg(F.sum("w").alias("w"))
+    side = lambda k: cells.select((F.col("c") - k).alias("step"), F.lit(k).alias("side"), "ix", "iy", "lane", "w")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        sides = [pdf[pdf.side == k] for k in (0, 1)]
+        if all(s.w.sum() > 0 for s in sides):
+            shares = []
+            for s in sides:
+                cube = {lane: np.zeros((g, g)) for lane in sorted(s.lane.unique())}
+                for lane, own in s.groupby("lane"):
+                    np.add.at(cube[lane], (own.ix.to_numpy(), own.iy.to_numpy()), own.w.to_numpy())
+                shares.append(cube)
+            totals = [sum(cube.values()) for cube in shares]
+            xs, ys = np.linspace(x0, x1, g), np.linspace(y0, y1, g)
+            plan = GridPlan(*totals, xs, ys, eps)
+            of = lambda cube, total, lane: np.divide(cube[lane], total, out=np.zeros_like(total), where=total > 0)
+            for a in shares[0]:
+                row = [(b, plan.between(of(shares[0], totals[0], a), of(shares[1], totals[1], b))) for b in shares[1]]
+                whole = sum(m for _, m in row)
+                out += [(int(pdf.step.iloc[0]), a, b, m, m / whole if whole else 0.0) for b, m in row]
+        return pd.DataFrame(out, columns=["step", "source", "target", "mass", "share"])
+
+    return side(0).unionByName(side(1)).groupBy("step").applyInPandas(solve, "step long, source long, target long, mass double, share double")

@@ -358,6 +358,20 @@ def h4(t: Tables):
     return rounded(flow.lane_heat(points(t).withColumn("lane", F.col("id") % 3), "cohort"), "heat", digits=9)
 
 
+@query(
+    "h3_lane_names",
+    f"""WITH {LANES}, m AS (SELECT lane, sum(w * x) / sum(w) AS lx, sum(w * y) / sum(w) AS ly FROM l GROUP BY 1), c AS (SELECT cohort, sum(w * x) / sum(w) AS cx, sum(w * y) / sum(w) AS cy FROM l GROUP BY 1)
+       SELECT lane, cohort AS name FROM m, c QUALIFY row_number() OVER (PARTITION BY lane ORDER BY round(pow(lx - cx, 2) + pow(ly - cy, 2), 9), cohort) = 1""",
+)
+def h3n(t: Tables):
+    return flow.lane_names(points(t).withColumn("lane", F.col("id") % 3), "cohort")
+
+
+@query("h5_lane_flow")
+def h5l(t: Tables):
+    return flow.lane_flow(flow.assign_lanes(points(t), 4), "cohort", 24, BOX)
+
+
 @query("h5_transport")
 def h5(t: Tables):
     return flow.transport(flow.cells_of(points(t), "cohort", 12, BOX), "cohort")
