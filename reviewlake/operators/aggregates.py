@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from reviewlake.operators.corpus import with_ordinal
+from reviewlake.operators.quantiles import join_groups, medians
 from reviewlake.session import ship
 
 STATS = ("n", "mean", "median", "min", "max", "stdev")
@@ -34,7 +35,8 @@ def stats_of(c: Column) -> dict[str, Column]:
 
 def metric_stats(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, mean, median, min, max and sample deviation (0 for one value)."""
-    return values.groupBy(*keys).agg(*[c.alias(n) for n, c in stats_of(F.col(value)).items()])
+    rest = values.groupBy(*keys).agg(*[c.alias(n) for n, c in stats_of(F.col(value)).items() if n != "median"])
+    return join_groups(rest, medians(values, keys, value), keys, "left").select(*keys, *STATS)
 
 
 def pivot_samples(values: DataFrame, keys: list[str], metric: str, value: str, metrics: list) -> DataFrame:
@@ -212,7 +214,9 @@ def score_metrics(df: DataFrame, dim: str, probs: str, target: str) -> DataFrame
 def rank_metrics(ranks: DataFrame, rank: str, ks: list[int], by: list[str]) -> DataFrame:
     """Mean and median rank, share of ranks up to each k, and queries with a rank."""
     hits = [F.avg((F.col(rank) <= k).cast("double")).alias(f"hit_at_{k}") for k in ks]
-    return ranks.groupBy(*by).agg(F.avg(rank).alias("mean_rank"), F.median(rank).alias("median_rank"), *hits, F.count(rank).alias("covered"))
+    rest = ranks.groupBy(*by).agg(F.avg(rank).alias("mean_rank"), *hits, F.count(rank).alias("covered"))
+    middle = medians(ranks, by, rank).withColumnRenamed("median", "median_rank")
+    return join_groups(rest, middle, by, "left").select(*by, "mean_rank", "median_rank", *[f"hit_at_{k}" for k in ks], "covered")
 
 
 def group_report(metrics: DataFrame, groups: DataFrame, dim: str, group: str, value: str, base: str) -> DataFrame:
