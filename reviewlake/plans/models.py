@@ -280,6 +280,12 @@ def w1(t: Tables):
     return taken(t, jobs.stream_latest(streamed(t, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")).select("user_id", "event_type", "value")
 
 
+@query("w1_follow_recent_runs", "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def w1r(t: Tables):
+    changes = jobs.follow_runs(streamed(t, "events").select("user_id", "event_id", "ts", "event_type", "value"), "user_id", "event_id", "ts", "40 days")
+    return jobs.merge_available(changes, scratch(t, "stream"), "user_id", "event_id").select("user_id", "event_type", "value")
+
+
 @query("w2_incremental_prep", "SELECT source AS appid, count(*) AS kept FROM documents WHERE length(trim(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g'))) > 300 GROUP BY 1")
 def w2(t: Tables):
     return taken(t, jobs.stream_review_counts(streamed(t, "documents"), "source", "text"))
