@@ -94,6 +94,57 @@ def ridge_cv(df: DataFrame, key: str, x: str, y: str, fold: str, alphas: list[fl
     return rows.drop("_t").withColumn("prediction", p), chosen
 
 
+def nested_ridge(df: DataFrame, key: str, x: str, y: str, fold: str, alphas: list[float], inner: int = 3, link: str = "none", seed: int = 0) -> tuple[DataFrame, dict]:
+    """(out-of-fold predictions, alpha by fold): each fold's alpha has the least mean absolute error over inner folds of the other rows.
+
+    Sums by (fold, inner fold) give all models at once: a fold less, an inner fold less. Absolute errors can't be had from
+    sums, so one more pass multiplies each batch by all models and adds up the errors of the rows that each left out.
+    Errors count after the link; the mean of the inner folds' means decides, ties go to the earlier alpha.
+    """
+    from reviewlake.operators.ranking import with_fold
+
+    ship(df.sparkSession)
+    target = logit(F.col(y)) if link == "sigmoid" else F.col(y).cast("double")
+    rows = materialize(with_fold(df, key, inner, seed + 123, name="_inner").withColumn("_t", target), "nested-rows")
+    g = gram(rows.withColumn("_cell", F.col(fold).cast("long") * inner + F.col("_inner")), x, ["_t"], "_cell")
+    folds = sorted({c // inner for c in g})
+    models = [(k, i, a) for k in folds for i in range(inner) for a in range(len(alphas))]
+    zero = np.zeros_like(next(iter(g.values()))) if g else None
+    base = {k: sum((m for c, m in g.items() if c // inner != k), zero) for k in folds}
+    less = lambda k, i: sum((m for c, m in g.items() if c // inner != k and c % inner != i), zero)
+    sums = {(k, i): less(k, i) for k in folds for i in range(inner)}
+    usable = [m for m in models if sums[m[:2]][0, 0] > 0]
+    fitted = [_flat(solve_ridge(sums[k, i], alphas[a])) for k, i, a in usable]
+    weights = np.stack([np.append(w, b) for w, b in fitted], axis=1) if fitted else np.zeros((1, 0))
+    of_fold, of_inner = (np.array([m[j] for m in usable]) for j in (0, 1))
+    shared = df.sparkSession.sparkContext.broadcast((weights, of_fold, of_inner))
+
+    def errors(batches):
+        w, k, i = shared.value
+        total, n = np.zeros(len(k)), np.zeros(len(k), np.int64)
+        for pdf in batches:
+            if len(pdf) and len(k):
+                p = np.column_stack([np.stack(pdf["_x"].to_numpy()), np.ones(len(pdf))]) @ w
+                p = 1 / (1 + np.exp(-np.clip(p, -50, 50))) if link == "sigmoid" else np.clip(p, 0, 1) if link == "clip" else p
+                own = (pdf["_f"].to_numpy()[:, None] != k) & (pdf["_i"].to_numpy()[:, None] == i)
+                total += np.where(own, np.abs(p - pdf["_y"].to_numpy()[:, None]), 0).sum(axis=0)
+                n += own.sum(axis=0)
+        yield pd.DataFrame({"m": np.arange(len(k)), "e": total, "n": n})
+
+    narrow = rows.select(F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"), F.col(fold).cast("long").alias("_f"), F.col("_inner").cast("long").alias("_i"))
+    found = narrow.mapInPandas(errors, "m long, e double, n long").groupBy("m").agg((F.sum("e") / F.sum("n")).alias("mae")).collect()  # a row a model
+    mae = {usable[r["m"]]: r["mae"] for r in found if r["mae"] is not None}
+    p, chosen = F.lit(None).cast("double"), {}
+    for k in folds:
+        loss = [np.mean([mae[k, i, a] for i in range(inner) if (k, i, a) in mae] or [math.inf]) for a in range(len(alphas))]
+        chosen[k] = alphas[int(np.argmin(np.round(loss, 12)))]
+        if base[k][0, 0] > 0:
+            w, b = _flat(solve_ridge(base[k], chosen[k]))
+            p = F.when(F.col(fold) == k, dot(F.col(x), literal(w)) + float(b)).otherwise(p)
+    p = sigmoid(p) if link == "sigmoid" else F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)) if link == "clip" else p
+    return rows.drop("_t", "_inner").withColumn("prediction", p), chosen
+
+
 def _flat(wb):
     return wb[0][:, 0], float(wb[1][0])
 
@@ -285,6 +336,120 @@ def loo_group_f1(df: DataFrame, key: str, x: str, dims: list[str], groups: dict[
     return g.select("group", (2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1))).alias("f1"))
 
 
+def loo_pca_predictions(df: DataFrame, key: str, x: str, dims: list[str], pca: int = 8, c: float = 1.0, rounds: int = 12) -> DataFrame:
+    """(key, dim, truth, said): leave-one-out balanced logistic probes of scores above the median, each on scaled principal components of the other rows.
+
+    Nothing is fitted from the rows themselves a second time: one pass has the sums and products of all rows, and each row takes
+    itself off these for its own scaling and components, in its task. Newton's steps for all rows and dimensions are
+    sums over the rows, a pass a step. For benchmark tables of at most 1000 rows, whose components are shared with all tasks.
+    Where the other rows are of one class, that class is said.
+    """
+    from reviewlake.operators.corpus import with_ordinal
+
+    spark = df.sparkSession
+    ship(spark)
+    held = materialize(with_ordinal(binary_by_median(df, dims), [key], "own").select(key, "own", F.col(x).cast("array<double>").alias("_x"), *dims), "loo-rows")
+    n = held.count()
+    if n > 1000:
+        raise ValueError("leave-one-out probes are for tables of at most 1000 rows")
+    none = f"{held.schema[key].name} {held.schema[key].dataType.simpleString()}, dim string, truth boolean, said boolean"
+    if n < 2:
+        return spark.createDataFrame([], none)
+    m = sum(gram(held.withColumn("_one", F.lit(0)), "_x", dims, "_one").values())
+    d = len(m) - 1 - len(dims)
+    parts = d if pca >= d or not pca else min(pca, n - 2) or 1
+    total = spark.sparkContext.broadcast(m)
+
+    def basis(batches):
+        t, d = total.value, len(total.value) - 1 - len(dims)
+        for pdf in batches:
+            out = []
+            for x in pdf["_x"]:
+                row = np.concatenate([[1.0], x])
+                less = t[: d + 1, : d + 1] - np.outer(row, row)
+                mean = less[0, 1:] / less[0, 0]
+                cov = less[1:, 1:] / less[0, 0] - np.outer(mean, mean)
+                std = np.sqrt(np.maximum(np.diag(cov), 0))
+                std = np.where(std < 1e-9, 1.0, std)
+                turn = np.eye(d) if parts == d else np.linalg.eigh(cov / np.outer(std, std))[1][:, ::-1][:, :parts]
+                turn = turn / std[:, None]
+                out.append(np.vstack([turn, -mean @ turn]).tobytes())
+            yield pd.DataFrame({"own": pdf["own"], "data": out})
+
+    found = {r["own"]: np.frombuffer(r["data"]).reshape(d + 1, parts) for r in held.select("own", "_x").mapInPandas(basis, "own long, data binary").collect()}  # at most 1000 rows
+    turns = spark.sparkContext.broadcast(np.stack([found[i] for i in range(n)]))  # row, D + 1, parts
+    y_all = np.zeros((n, len(dims)))
+    for r in held.select("own", *dims).collect():  # labels of at most 1000 rows
+        y_all[r["own"]] = [float(r[k]) for k in dims]
+    pos = y_all.sum(axis=0) - y_all  # of the other rows, by held-out row and dimension
+    mixed = (pos > 0) & (pos < n - 1)
+    with np.errstate(divide="ignore"):
+        balance = np.where(mixed, (n - 1) / (2 * pos), 0.0), np.where(mixed, (n - 1) / (2 * (n - 1 - pos)), 0.0)
+    shared = spark.sparkContext.broadcast((y_all, *balance))
+    size = parts + 1
+    beta, penalty = np.zeros((n, len(dims), size)), np.append(np.full(parts, 1.0 / c), 0.0)
+
+    def components(pdf: pd.DataFrame) -> np.ndarray:
+        """held-out row x row x component: a batch's rows under every basis, and a constant."""
+        v = np.column_stack([np.stack(pdf["_x"].to_numpy()), np.ones(len(pdf))])
+        z = np.einsum("bd,hdp->hbp", v, turns.value)
+        return np.concatenate([z, np.ones((*z.shape[:2], 1))], axis=2)
+
+    def chance(z: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.einsum("hbs,hs->hb", z, b), -50, 50)))
+
+    rows = held.select(key, "own", "_x")
+    for _ in range(rounds):
+
+        def step(batches, beta=beta):
+            y, up, down = shared.value
+            sums = np.zeros((n, len(dims), size * size + size))
+            for pdf in batches:
+                for at in range(0, len(pdf), 32):
+                    some = pdf.iloc[at : at + 32]
+                    z, own = components(some), some["own"].to_numpy()
+                    other = own[None, :] != np.arange(n)[:, None]
+                    for k in range(len(dims)):
+                        w = other * np.where(y[own, k] == 1, up[:, k, None], down[:, k, None])
+                        p = chance(z, beta[:, k])
+                        sums[:, k, : size * size] += np.einsum("hbs,hb,hbt->hst", z, w * p * (1 - p), z).reshape(n, -1)
+                        sums[:, k, size * size :] += np.einsum("hbs,hb->hs", z, w * (p - y[own, k]))
+            yield pd.DataFrame({"h": np.arange(n), "data": [x.tobytes() for x in sums]})
+
+        def add(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"h": [pdf.h.iloc[0]], "data": [sum(np.frombuffer(x) for x in pdf.data).tobytes()]})
+
+        got = rows.mapInPandas(step, "h long, data binary").groupBy("h").applyInPandas(add, "h long, data binary").collect()  # a row a held-out row
+        for r in got:
+            for k, x in enumerate(np.frombuffer(r["data"]).reshape(len(dims), -1)):
+                b = beta[r["h"], k]
+                b = b - np.linalg.solve(x[: size * size].reshape(size, size) + np.diag(penalty + 1e-9), x[size * size :] + penalty * b)
+                beta[r["h"], k] = b
+
+    def say(batches):
+        y = shared.value[0]
+        for pdf in batches:
+            for at in range(0, len(pdf), 32):
+                some = pdf.iloc[at : at + 32]
+                own = some["own"].to_numpy()
+                z = components(some)[own, np.arange(len(some))][None]
+                for k, name in enumerate(dims):
+                    likely = np.einsum("hbs,bs->hb", z, beta[own, k])[0] >= 0
+                    said = np.where(mixed[own, k], likely, np.rint(pos[own, k] / (n - 1)) > 0)
+                    yield pd.DataFrame({key: some[key], "dim": name, "truth": y[own, k] == 1, "said": said})
+
+    return rows.mapInPandas(say, none)
+
+
+def loo_pca_f1(df: DataFrame, key: str, x: str, dims: list[str], groups: dict[str, str], pca: int = 8, c: float = 1.0) -> DataFrame:
+    """(group, f1): micro F1 of loo_pca_predictions by group of dimensions."""
+    names = F.create_map(*[F.lit(v) for pair in groups.items() for v in pair])
+    tally = lambda e, name: F.count_if(e).alias(name)
+    t, s = F.col("truth"), F.col("said")
+    g = loo_pca_predictions(df, key, x, dims, pca, c).groupBy(names[F.col("dim")].alias("group")).agg(tally(t & s, "tp"), tally(~t & s, "fp"), tally(t & ~s, "fn"))
+    return g.select("group", (2 * F.col("tp") / F.greatest(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(1))).alias("f1"))
+
+
 def apply_mlp(df: DataFrame, x: str, layers: list[tuple[np.ndarray, np.ndarray]], out: str = "score") -> DataFrame:
     """Sigmoid output of a small network with GELU between layers; weights are given and broadcast."""
     spark = df.sparkSession

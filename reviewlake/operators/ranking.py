@@ -150,14 +150,14 @@ def epoch_batches(entities: DataFrame, key: str, size_col: str, order: str, batc
     return rows.select(step.cast("long").alias("step"), key).where(F.col("step") < steps)
 
 
-def with_fold(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
+def with_fold(df: DataFrame, key: str, k: int, seed: int, name: str = "fold") -> DataFrame:
     """Folds 0..k-1 whose sizes differ by one at most, over a seeded order."""
     n = df.count()
     at = with_ordinal(df.withColumn("_h", md5_order(seed, key)), ["_h", key], "_at")
     big, small = n % k, n // k
     cut = big * (small + 1)
     fold = F.when(F.col("_at") < cut, F.floor(F.col("_at") / (small + 1))).otherwise(big + F.floor((F.col("_at") - cut) / max(1, small)))
-    return at.withColumn("fold", fold.cast("int")).drop("_h", "_at")
+    return at.withColumn(name, fold.cast("int")).drop("_h", "_at")
 
 
 def split3(df: DataFrame, key: str, fractions=(0.7, 0.15), seed: int = 0) -> DataFrame:

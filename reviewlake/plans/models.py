@@ -107,6 +107,12 @@ def m2(t: Tables):
     return A.regression_metrics(out, "y", "prediction", "vec_id", ["fold"])
 
 
+@query("m2_nested_ridge")
+def m2n(t: Tables):
+    out, _ = P.nested_ridge(R.with_fold(rated(t), "vec_id", 5, 3), "vec_id", "v", "y", "fold", [1.0, 10.0, 100.0], 3, "sigmoid", 3)
+    return A.regression_metrics(out, "y", "prediction", "vec_id", ["fold"])
+
+
 @query("m3_tag_probe")
 def m3(t: Tables):
     rows = R.with_fold(vectors(t), "vec_id", 3, 1).select("vec_id", "v", "fold", *[(F.col("label") == i).cast("int").alias(f"tag{i}") for i in range(4)])
@@ -176,6 +182,12 @@ def m11(t: Tables):
     return P.loo_group_f1(means, "label", "summary", ["d1", "d2"], {"d1": "functional", "d2": "psychological"})
 
 
+@query("m11_binary_loo_pca")
+def m11p(t: Tables):
+    means = A.summarize_vectors(vectors(t), "label", "v", "mean").withColumn("d1", F.col("summary")[0]).withColumn("d2", F.col("summary")[1])
+    return P.loo_pca_f1(means, "label", "summary", ["d1", "d2"], {"d1": "functional", "d2": "psychological"})
+
+
 @query("m12_mlp_apply")
 def m12(t: Tables):
     rng = np.random.default_rng(5)
