@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlake.functions.text import logit, sigmoid
-from reviewlake.functions.vectors import dot, scale
+from reviewlake.functions.vectors import cosine, dot, scale
 from reviewlake.operators.aggregates import regression_metrics
+from reviewlake.operators.quantiles import medians
 from reviewlake.session import materialize, ship
 
 
@@ -315,6 +316,90 @@ def variant_report(scores: DataFrame, key: str = "appid", variant: str = "varian
     return scores.where(F.col(variant) != anchor).join(base, [key, "tag"]).groupBy(variant).agg(F.avg(d).alias("mean_delta"), F.avg(F.abs(d)).alias("mean_abs_delta"), F.count("*").alias("n"))
 
 
+def _with_one(pdf: pd.DataFrame) -> np.ndarray:
+    return np.column_stack([np.stack(pdf["_x"].to_numpy()), np.ones(len(pdf))])
+
+
+def _tag_rows(df: DataFrame, x: str, tags: list[str], by: str | None) -> DataFrame:
+    return df.select(F.col(by).cast("string").alias("_by") if by else F.lit("").alias("_by"), F.col(x).cast("array<double>").alias("_x"), *[F.col(t).cast("int").alias(f"_y{i}") for i, t in enumerate(tags)])
+
+
+def tag_counts(df: DataFrame, x: str, tags: list[str], by: str | None, models: list[tuple[np.ndarray, list[float]]]) -> DataFrame:
+    """(part, model, nth, n, tp, fp, fn) by value of `by`: linear tag scores (D + 1 x tags) against thresholds, added up over rows and tags."""
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for part, some in pdf.groupby("_by", dropna=False):
+                true = some[[f"_y{i}" for i in range(len(tags))]].to_numpy() > 0
+                for m, (w, grid) in enumerate(shared.value):
+                    s = _with_one(some) @ w
+                    for k, t in enumerate(grid):
+                        said = s >= t
+                        sums[part, m, k] = sums.get((part, m, k), 0) + np.array([len(some), (said & true).sum(), (said & ~true).sum(), (~said & true).sum()])
+        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["part", "model", "nth", "n", "tp", "fp", "fn"])
+
+    rows = _tag_rows(df, x, tags, by).mapInPandas(run, "part string, model int, nth int, n long, tp long, fp long, fn long")
+    return rows.groupBy("part", "model", "nth").agg(*[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn")])
+
+
+def micro(counts: DataFrame) -> DataFrame:
+    """counts with precision, recall and micro_f1; 0 where nothing is said, true, or both."""
+    share = lambda a, b: F.when(a + b > 0, a / (a + b)).otherwise(0.0)
+    rows = counts.withColumn("precision", share(F.col("tp"), F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("fn")))
+    both = F.col("precision") + F.col("recall")
+    return rows.withColumn("micro_f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0))
+
+
+def anchor_probe(anchors: DataFrame, x: str, tags: list[str], split: str, alphas: list[float], steps: int = 33) -> dict:
+    """Ridge of all tags on the scaled training anchors: alpha, threshold, weights (D + 1 x tags) and validation counts.
+
+    For each alpha, thresholds go in equal steps from the least to the largest validation score; the best micro F1 decides, then
+    recall, then the smaller alpha, then the smaller threshold.
+    """
+    m = sum(gram(anchors.where(F.col(split) == "train").withColumn("_one", F.lit(0)), x, tags, "_one").values())
+    if np.isscalar(m) or m[0, 0] < 2:
+        raise ValueError("too few training anchors")
+    fitted = [np.vstack(solve_ridge(m, a, len(tags))) for a in alphas]
+    val = anchors.where(F.col(split) == "val")
+    shared = anchors.sparkSession.sparkContext.broadcast(fitted)
+
+    def ends(batches):
+        for pdf in batches:
+            if len(pdf):
+                scores = [_with_one(pdf) @ w for w in shared.value]
+                yield pd.DataFrame({"m": np.arange(len(scores)), "lo": [s.min() for s in scores], "hi": [s.max() for s in scores]})
+
+    found = _tag_rows(val, x, tags, None).mapInPandas(ends, "m int, lo double, hi double").groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # a row an alpha
+    if not found:
+        raise ValueError("no validation anchors")
+    grids = {r["m"]: np.linspace(r["lo"], r["hi"], max(2, steps)).tolist() if r["lo"] < r["hi"] else [0.5] for r in found}
+    counts = micro(tag_counts(val, x, tags, None, [(w, grids[i]) for i, w in enumerate(fitted)])).collect()  # alphas x steps rows
+    best = max(counts, key=lambda r: (r["micro_f1"], r["recall"], -alphas[r["model"]], -r["nth"]))
+    return {"alpha": alphas[best["model"]], "threshold": grids[best["model"]][best["nth"]], "weights": fitted[best["model"]], "micro_f1": best["micro_f1"]}
+
+
+def variant_robustness(anchors: DataFrame, variants: DataFrame, key: str, variant: str, x: str, tags: list[str], split: str, alphas: list[float], steps: int = 33) -> DataFrame:
+    """(part, n, micro_f1, precision, recall, anchor_f1, anchor_recall, drop_f1, drop_recall, cosine_mean, cosine_median).
+
+    Tags are learned from anchors only. A part is a split of the anchors (`anchor_train` ...) or a variant; a variant is
+    held against the anchors of the same entities, and its vectors against theirs. Variants of unknown entities are left out.
+    """
+    model = anchor_probe(anchors, x, tags, split, alphas, steps)
+    one = [(model["weights"], [model["threshold"]])]
+    own = micro(tag_counts(anchors, x, tags, split, one)).select(F.concat(F.lit("anchor_"), "part").alias("part"), "n", "micro_f1", "precision", "recall")
+    pairs = materialize(variants.select(key, F.col(variant).alias("_v"), F.col(x).alias("_vx")).join(anchors.select(key, F.col(x).alias("_ax"), *tags), key), "variant-pairs")
+    theirs, base = (micro(tag_counts(pairs, c, tags, "_v", one)) for c in ("_vx", "_ax"))
+    base = base.select("part", F.col("micro_f1").alias("anchor_f1"), F.col("recall").alias("anchor_recall"))
+    near = pairs.select(F.col("_v").cast("string").alias("part"), cosine(F.col("_ax").cast("array<double>"), F.col("_vx").cast("array<double>")).alias("c"))
+    middle = medians(near, ["part"], "c").withColumnRenamed("median", "cosine_median")
+    rows = theirs.select("part", "n", "micro_f1", "precision", "recall").join(base, "part").join(near.groupBy("part").agg(F.avg("c").alias("cosine_mean")), "part").join(middle, "part")
+    rows = rows.withColumn("drop_f1", F.col("anchor_f1") - F.col("micro_f1")).withColumn("drop_recall", F.col("anchor_recall") - F.col("recall"))
+    return own.unionByName(rows, allowMissingColumns=True)
+
+
 def binary_by_median(df: DataFrame, dims: list[str]) -> DataFrame:
     """Scores as 0/1 by the median of each dimension."""
     medians = df.agg(*[F.median(d).alias(f"_m_{d}") for d in dims])

@@ -176,6 +176,17 @@ def m10(t: Tables):
     return rounded(P.variant_report(scores), "mean_delta", "mean_abs_delta", digits=8)
 
 
+@query("m10_variant_robustness")
+def m10r(t: Tables):
+    tags = [f"tag{i}" for i in range(4)]
+    rows = R.split3(vectors(t), "vec_id", seed=2).select("vec_id", "v", "split", *[(F.col("label") % 4 == i).cast("int").alias(k) for i, k in enumerate(tags)])
+    less = lambda n: F.transform("v", lambda z, i: F.when(i < n, z).otherwise(z / 2))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), less(n).alias("v")) for k, n in (("neutral", 64), ("positive", 40), ("negative", 24), ("noname", 8))]))
+    variants = rows.where("vec_id % 3 <> 0").select("vec_id", kinds.alias("x")).select("vec_id", "x.variant", "x.v")
+    out = P.variant_robustness(rows, variants, "vec_id", "variant", "v", tags, "split", [1.0, 10.0, 100.0])
+    return rounded(out, *[c for c in out.columns if c not in ("part", "n")])
+
+
 @query("m11_binary_loo")
 def m11(t: Tables):
     means = A.summarize_vectors(vectors(t), "label", "v", "mean").withColumn("d1", F.col("summary")[0]).withColumn("d2", F.col("summary")[1])

@@ -83,3 +83,45 @@ def test_leave_one_out_with_components_of_the_other_rows(spark):
         some = [v for (i, k), v in got.items() if ("a" if k < "s5" else "b") == group]
         tp, wrong = sum(t and s for t, s in some), sum(t != s for t, s in some)
         assert abs(f1[group] - 2 * tp / (2 * tp + wrong)) < 1e-12
+
+
+def test_variants_against_their_anchors(spark):
+    rng = np.random.default_rng(6)
+    n, d, tags, alphas = 120, 10, ["t0", "t1", "t2"], [1.0, 10.0, 1000.0]
+    x = rng.normal(size=(n, d)) * rng.uniform(0.5, 3, d)
+    y = (x[:, :3] + rng.normal(size=(n, 3)) > 0.4).astype(int)
+    split = np.array(["train", "val", "test"])[rng.choice(3, n, p=[0.6, 0.2, 0.2])]
+    anchors = spark.createDataFrame([(i, v.tolist(), str(s), *map(int, t)) for i, (v, s, t) in enumerate(zip(x, split, y))], "id long, v array<double>, split string, t0 int, t1 int, t2 int").repartition(4)
+    shifted = {"positive": x + 0.3, "noname": x * np.where(np.arange(d) < 5, 1, 0.1)}
+    some = {k: [i for i in range(n) if (i + len(k)) % 3] for k in shifted}
+    variants = spark.createDataFrame([(i, k, v[i].tolist()) for k, v in shifted.items() for i in some[k]] + [(999, "positive", x[0].tolist())], "id long, variant string, v array<double>")
+
+    def prf(truth, said):
+        tp, fp, fn = (truth & said).sum(), (~truth & said).sum(), (truth & ~said).sum()
+        p, r = tp / max(1, tp + fp), tp / max(1, tp + fn)
+        return (2 * p * r / (p + r) if p + r else 0.0), p, r
+
+    a, b = x[split == "train"], x[split == "val"]
+    mean, std = a.mean(0), a.std(0)
+    best = None
+    for alpha in alphas:
+        z, t = (a - mean) / std, y[split == "train"]
+        w = np.linalg.solve(z.T @ z + alpha * np.eye(d), z.T @ (t - t.mean(0)))
+        score = lambda q, w=w, t=t: (q - mean) / std @ w + t.mean(0)
+        for th in np.linspace(score(b).min(), score(b).max(), 33):
+            f1, _, r = prf(y[split == "val"] > 0, score(b) >= th)
+            if best is None or (round(f1, 12), round(r, 12), -alpha) > best[0]:
+                best = (round(f1, 12), round(r, 12), -alpha), th, score
+    _, th, score = best
+    got = {r["part"]: r for r in probes.variant_robustness(anchors, variants, "id", "variant", "v", tags, "split", alphas).collect()}
+    assert set(got) == {"anchor_train", "anchor_val", "anchor_test", "positive", "noname"}
+    for s in ("train", "val", "test"):
+        r = got[f"anchor_{s}"]
+        assert np.allclose((r["micro_f1"], r["precision"], r["recall"]), prf(y[split == s] > 0, score(x[split == s]) >= th)) and r["n"] == (split == s).sum() and r["drop_f1"] is None
+    for k, v in shifted.items():
+        own, base = (prf(y[some[k]] > 0, score(m[some[k]]) >= th) for m in (v, x))
+        cos = [(v[i] @ x[i]) / np.linalg.norm(v[i]) / np.linalg.norm(x[i]) for i in some[k]]
+        r = got[k]
+        want = (*own, base[0], base[2], base[0] - own[0], base[2] - own[2], np.mean(cos), np.median(cos))
+        assert np.allclose([r[c] for c in ("micro_f1", "precision", "recall", "anchor_f1", "anchor_recall", "drop_f1", "drop_recall", "cosine_mean", "cosine_median")], want, atol=1e-7)
+        assert r["n"] == len(some[k])
