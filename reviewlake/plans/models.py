@@ -11,7 +11,7 @@ from reviewlake.operators import aggregates as A, probes as P, ranking as R, run
 from reviewlake.plans.registry import Tables, query
 from reviewlake.plans.statistics import rounded, vectors
 from reviewlake.session import shared_dir
-from reviewlake.sources import tables as S
+from reviewlake.sources import objects as O, tables as S
 from reviewlake.streaming import jobs
 
 RUNS_SQL = "r AS (SELECT o_custkey % 40 AS cell, CASE WHEN o_orderkey % 2 = 0 THEN 'grl' ELSE 'nogrl' END AS arm, max(o_totalprice) / 1000 AS score, min(o_totalprice) / 1000 AS reco FROM orders GROUP BY 1, 2)"
@@ -244,6 +244,13 @@ def a3(t: Tables):
     return S.scan_entities(t.spark, filed(t, "entities", objects, "s_nationkey"), "name string, balance double")
 
 
+@query("a3_scan_large_entities", "SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS name, c_acctbal AS balance FROM customer")
+def a3l(t: Tables):
+    entry = F.struct(F.col("c_custkey").cast("string"), F.struct(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.array(F.struct(F.lit("a } in a string").alias("note"))).alias("more")))
+    files = t.customer.groupBy("c_nationkey").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value"))
+    return O.scan_large_entities(t.spark, filed(t, "large-entities", files, "c_nationkey"), "name string, balance double")
+
+
 @query("a7_scan_treebank", "SELECT p_name AS phrase, CAST(p_partkey AS VARCHAR) AS phrase_id FROM part")
 def a7(t: Tables):
     path = scratch(t, "treebank")
