@@ -32,6 +32,20 @@ def c7(t: Tables):
     return corpus.validate_offsets(corpus.with_offsets(reviews(t)))
 
 
+@query(
+    "c7_validate_damaged",
+    f"""WITH {CORPUS}, o AS (SELECT *, CAST({RUNNING} - n_sentences AS BIGINT) AS s, CAST({RUNNING} AS BIGINT) AS e FROM r),
+       d AS (SELECT CASE WHEN review_id % 11 = 5 THEN -s WHEN review_id % 13 = 7 THEN 0 ELSE s + 1 END AS s, CASE WHEN review_id % 7 = 3 THEN e - 1 ELSE e + 1 END AS e, CASE WHEN review_id % 17 = 2 THEN 0 ELSE n_sentences END AS n FROM o)
+       SELECT unnest(['length', 'negative', 'order', 'overlap', 'start', 'total']) AS "check", CAST(unnest([count(*) FILTER (e - s <> n), count(*) FILTER (s < 0 OR n < 1), count(*) FILTER (e < s), count(*) - count(DISTINCT s), CASE WHEN min(s) <> 0 THEN 1 ELSE 0 END, CASE WHEN max(e) <> sum(n) THEN 1 ELSE 0 END]) AS BIGINT) AS violations FROM d""",
+)
+def c7d(t: Tables):
+    """Starts turned negative or to 0, ends short by one, and empty reviews, by review number."""
+    start = F.expr("CASE WHEN review_id % 11 = 5 THEN -start WHEN review_id % 13 = 7 THEN 0 ELSE start + 1 END")
+    end = F.expr("CASE WHEN review_id % 7 = 3 THEN end - 1 ELSE end + 1 END")
+    n = F.expr("CASE WHEN review_id % 17 = 2 THEN 0 ELSE n_sentences END")
+    return corpus.validate_offsets(corpus.with_offsets(reviews(t)).select("appid", "review_id", start.alias("start"), end.alias("end"), n.alias("n_sentences")))
+
+
 @query("c8_corpus_counts", f"WITH {CORPUS} SELECT appid, count(*) AS reviews, CAST(sum(n_sentences) AS BIGINT) AS sentences FROM r GROUP BY 1")
 def c8(t: Tables):
     return corpus.corpus_counts(reviews(t))

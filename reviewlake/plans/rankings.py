@@ -212,6 +212,19 @@ def f19(t: Tables):
     return R.separated_top(rows, "p_partkey", "x", "y", "w", 2.5, 8)
 
 
+@query(
+    "f19_separated_points",
+    """WITH RECURSIVE p AS (SELECT p_partkey AS k, p_size / 5 AS x, (p_partkey % 97) / 10 AS y, p_retailprice AS w FROM part),
+       g AS (SELECT 0 AS n, CAST([] AS STRUCT(k BIGINT, x DOUBLE, y DOUBLE, w DOUBLE)[]) AS kept
+         UNION ALL SELECT n + 1, list_append(kept, (SELECT {'k': k, 'x': x, 'y': y, 'w': w} FROM p WHERE len(list_filter(g.kept, lambda q: sqrt((q.x - x) * (q.x - x) + (q.y - y) * (q.y - y)) < 2.45)) = 0 ORDER BY w DESC, k LIMIT 1)) FROM g WHERE n < 8)
+       SELECT q.k AS p_partkey, q.x AS x, q.y AS y, q.w AS w FROM (SELECT unnest(kept) AS q FROM g WHERE n = 8) WHERE q.k IS NOT NULL""",
+)
+def f19s(t: Tables):
+    """As f19, at a distance that no two points have exactly."""
+    rows = t.part.select("p_partkey", (F.col("p_size") / 5).alias("x"), (F.col("p_partkey") % 97 / 10).alias("y"), F.col("p_retailprice").alias("w"))
+    return R.separated_top(rows, "p_partkey", "x", "y", "w", 2.45, 8)
+
+
 @query(
     "f20_near_neighbours",
     f"""WITH {VEC}, u AS (SELECT vec_id, list_transform(v, lambda z: z / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS u FROM v),

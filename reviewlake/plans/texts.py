@@ -206,3 +206,31 @@ def c4(t: Tables):
 def c5(t: Tables):
     rows = t.documents.select(F.col("doc_id").alias("page"), F.concat(F.lit("== Gameplay ==\n"), "text").alias("body"))
     return splitting.pick_description(splitting.split_sections(rows, "page", "body"), "page", ["gameplay", "story"])
+
+
+def prose(c: str) -> str:
+    """SQL for the prose sentences of a value."""
+    return PROSE.replace("WS", S.WS).replace("regexp_replace(text,", f"regexp_replace({c},")
+
+
+WAYS = "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '== Gameplay ==' WHEN 2 THEN '== Plot ==' ELSE '== Features of gameplay ==' END"
+PARTS = ("substring(text, 1, 200)", "substring(text, 201, 400)", "substring(text, 601, 400)")
+FIRST = "array_to_string(list_slice({}, 1, {}), ' ')"
+
+
+@query(
+    "c5_describe_pages",
+    f"""WITH p AS (SELECT doc_id AS page, doc_id % 4 AS way, {PARTS[0]} AS a, {PARTS[1]} AS b, {PARTS[2]} AS c FROM documents),
+       s AS (SELECT page, way, {prose("CASE WHEN way = 0 THEN a || chr(10) || chr(10) || b ELSE a END")} AS lead, CASE WHEN way = 0 THEN [] ELSE {prose("b")} END AS mid, {prose("c")} AS tail,
+         {prose("a || chr(10) || " + "CASE way WHEN 0 THEN '' WHEN 1 THEN '== Gameplay ==' WHEN 2 THEN '== Plot ==' ELSE '== Features of gameplay ==' END" + " || chr(10) || b || chr(10) || '== Reception ==' || chr(10) || c")} AS whole FROM p),
+       e AS (SELECT *, lead || mid || tail AS every FROM s),
+       d AS (SELECT page, way, lead, whole, CASE WHEN way IN (1, 3) THEN mid ELSE [] END AS g, CASE WHEN way = 2 THEN mid ELSE [] END AS t,
+         list_filter(every, lambda x: contains(lower(x), ' the ') OR contains(lower(x), ' die ')) AS gw, list_filter(every, lambda x: contains(lower(x), ' que ') OR contains(lower(x), ' und ')) AS tw FROM e)
+       SELECT page, CASE WHEN len(lead) > 0 THEN {FIRST.format("lead", 2)} ELSE {FIRST.format("whole", 2)} END AS overview,
+         CASE WHEN len(g) > 0 THEN {FIRST.format("g", 3)} WHEN len(gw) > 0 THEN {FIRST.format("gw", 3)} ELSE '{splitting.NO_GAMEPLAY}' END AS gameplay,
+         CASE WHEN len(t) > 0 THEN {FIRST.format("t", 3)} WHEN len(tw) > 0 THEN {FIRST.format("tw", 3)} ELSE '{splitting.NO_STORY}' END AS story FROM d""",
+)
+def c5d(t: Tables):
+    body = f"concat_ws(char(10), {PARTS[0]}, {WAYS}, {PARTS[1]}, '== Reception ==', {PARTS[2]})"
+    rows = t.documents.select(F.col("doc_id").alias("page"), F.expr(body).alias("body"))
+    return splitting.describe_pages(rows, "page", "body", (["gameplay"], [" the ", " die "]), (["plot", "story"], [" que ", " und "]))

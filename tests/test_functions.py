@@ -116,3 +116,11 @@ def test_preparation_stays_out_of_python(spark):
     df = spark.createDataFrame([("1", "text", "yes")], "id string, t string, r string")
     plan = cleaning.prepare_reviews(df, "id", "t", "r", 1, 0)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_marks_may_stand_alone(spark):
+    texts = ["! ! b. c", "a! ! B", ". x", "...", "? ? ?", "", "Hello there. General. ! Kenobi"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select("t", splitting.sentence_array(F.col("t")).alias("s"), splitting.sentence_count(F.col("t")).alias("n"))
+    for r in df.collect():
+        want = [x for x in re.split(r"(?<=[.!?])\s+", r["t"].strip()) if x]
+        assert r["s"] == want and r["n"] == len(want)
