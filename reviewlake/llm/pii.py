@@ -21,6 +21,7 @@ from reviewlake.session import materialize
 ALPHA = 0.9
 SUPPORT = 3
 REACH = 64
+FEW_TERMS = 100_000
 TERM = r"[\p{L}\p{N}]{3,}+"
 
 
@@ -96,15 +97,23 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, alpha: float = ALPHA, su
         return none
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    few = is_few(wanted)  # these go to all tasks; more of them meet words that each task has counted, so no word is shuffled row by row
+    n_term = (words.join(F.broadcast(wanted), "term", "left_semi") if few else words).groupBy("term").agg(F.count("*").alias("n_term"))
+    n_term = n_term if few else n_term.join(wanted, "term", "left_semi")
     scored = pairs.join(n_term, "term").withColumn("disclosure", shared(F.col("n_term")) / content)
     return materialize(scored.where(F.col("disclosure") >= alpha).select(*key, "disclosure"), "pii-disclosing")
 
 
+def is_few(terms: DataFrame) -> bool:
+    """Whether terms may be broadcast: FEW_TERMS rows at most."""
+    return terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+
+
 def find_private(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, reach: int = REACH) -> DataFrame:
     """row, doc_id, base (spans of the patterns) and spans (those and disclosing terms)."""
     found = find_entities(docs, reach)
     reveals = disclosing_terms(docs, found, alpha, support).select("term").distinct()
+    reveals = F.broadcast(reveals) if is_few(reveals) else reveals
     words = found.select("row", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("open", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     present = materialize(words.join(reveals, "term", "left_semi").groupBy("row").agg(F.collect_list("term").alias("terms")), "pii-present")
     hits = find(F.col("open"), TERM, lambda w: F.array_contains("terms", F.lower(w)))

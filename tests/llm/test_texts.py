@@ -406,3 +406,50 @@ def test_languages_of_held_out_documents(spark):
     rows = langid.identify_languages(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out AND lang IS NOT NULL").collect()
     said = [r["lang"] == r["lang_pred"] for r in rows if r["text"] and any(map(str.isalpha, r["text"]))]
     assert len(said) > 100 and sum(said) >= 0.99 * len(said)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+@pytest.mark.parametrize("alpha, support, reach", [(0.9, 3, 64), (0.6, 2, 20)])
+def test_disclosing_terms_are_those_of_plain_counts(spark, monkeypatch, few, alpha, support, reach):
+    """Fifty documents: every term beside every address, by counts over whole documents."""
+    import math
+
+    monkeypatch.setattr(pii, "FEW_TERMS", few)
+    rng = random.Random(12)
+    people = [("ann lee", "ann@corp.com"), ("bob ray", "bob@mail.org"), ("cy dunn", "cy@x.net")]
+    rows = []
+    for i in range(50):
+        words = [rng.choice(["river", "stone", "blue", "walks", "over", "and", "team", "lead"]) for _ in range(rng.randint(5, 30))]
+        if i % 2:
+            name, mail = rng.choice(people)
+            at = rng.randrange(len(words))
+            words[at:at] = [name.upper() if i % 5 == 0 else name, rng.choice(["at", "via", "wrote from"]), mail, rng.choice(["today", "the team", "\n"])]
+        elif i % 7 == 0:
+            words.insert(2, rng.choice(people)[0].split()[0])
+        rows.append((i, " ".join(words)))
+    rows += [(60 + k, t) for k, (_, t) in enumerate(rows[1:3])]
+    term = re.compile(r"[^\W_]{3,}")
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    beside, holds, around = {}, {}, {}
+    n_term = Counter(w for _, t in rows for w in set(term.findall(t.lower())))
+    for i, t in rows:
+        for m in mail.finditer(t):
+            holds.setdefault(m[0].lower(), set()).add(i)
+            left = t[max(0, m.start() - reach) : m.start()].rsplit("\n", 1)[-1]
+            right = t[m.end() : m.end() + reach].split("\n", 1)[0]
+            found = [x[0].lower() for x in term.finditer(left) if x.start() > 0 or len(left) < reach] + [x[0].lower() for x in term.finditer(right) if x.end() < len(right) or len(right) < reach]
+            for w in found:
+                beside.setdefault((m[0].lower(), w), set()).add(i)
+                around.setdefault((m[0].lower(), w), set()).add((left, right))
+    want = set()
+    for (entity, w), docs_ in beside.items():
+        if len(docs_) >= support and len(around[entity, w]) >= support:
+            content = math.log(len(rows) / len(holds[entity]))
+            if content > 0 and math.log(len(docs_) * len(rows) / (n_term[w] * len(holds[entity]))) >= alpha * content:
+                want.add(w)
+    got = {r["doc_id"]: r["spans"] for r in pii.private_report(spark.createDataFrame(rows, "doc_id long, text string"), alpha=alpha, support=support, reach=reach).collect()}
+    for i, t in rows:
+        open_ = mail.sub(lambda m: " " * len(m[0]), t)
+        spans = {f"term:{m.start()}:{m.end()}" for m in term.finditer(open_) if m[0].lower() in want}
+        assert {x for x in got[i].split(",") if x.startswith("term")} == spans
+    assert want
