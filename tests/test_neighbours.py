@@ -32,8 +32,7 @@ def clustered(seed, n, dims=6):
     return list(enumerate(x.tolist()))
 
 
-@pytest.mark.parametrize("tile, part", [(16_384, 128), (50, 7)])
-@pytest.mark.parametrize("k", [1, 6])
+@pytest.mark.parametrize("tile, part, k", [(16_384, 128, 6), (50, 7, 1), (50, 7, 6)])
 def test_nearest_are_all_found(spark, monkeypatch, tile, part, k):
     monkeypatch.setattr(N, "TILE_ROWS", tile)
     monkeypatch.setattr(N, "QUERY_ROWS", part)
