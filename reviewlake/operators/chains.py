@@ -80,9 +80,9 @@ def visited(rows: DataFrame, place: str = "place", next_: str = "next", block_ro
         more = materialize(marked.join(jump, "p").select(F.col("out").alias("p")).join(jump, "p", "left_semi"), "chain-marked")
         if more.isEmpty():
             break
-        marked = materialize(marked.unionByName(more).distinct(), "chain-marked")
+        marked = materialize(marked.unionByName(more).distinct(), "chain-marked", replaces=marked)
         far = jump.select(F.col("p").alias("out"), F.col("out").alias("far"))
-        jump = materialize(jump.join(far, "out", "left").select("p", F.coalesce("far", "out").alias("out")), "chain-jumps")
+        jump = materialize(jump.join(far, "out", "left").select("p", F.coalesce("far", "out").alias("out")), "chain-jumps", replaces=jump)
 
     entry = rows.join(marked.select(F.col("p").alias(place), F.lit(True).alias("_entry")), place, "left").select(*rows.columns, F.coalesce("_entry", F.lit(False)).alias("_entry"))
 

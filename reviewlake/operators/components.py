@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         up, down = F.count_if(F.col("up") == 1), F.count_if(F.col("up") == 0)
         if ends.groupBy("node").agg(up.alias("n_up"), down.alias("n_down")).where("n_up > 1 or n_up = 1 and n_down > 0").isEmpty():
             break  # every node hangs on a root
-        now = materialize(_star(_star(now, True), False), "graph-edges")
+        now = materialize(_star(_star(now, True), False), "graph-edges", replaces=now)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

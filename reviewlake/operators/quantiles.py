@@ -50,7 +50,7 @@ def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
         closer = join_groups(near, seen, by).select(
             *by, pick(F.col("_a"), F.col("_lo"), "_lo"), pick(F.col("_b"), F.col("_hi"), "_hi"), pick(F.col("_upto") - F.col("_below"), F.col("_in"), "_in"),
             pick(F.col("_r1") - F.col("_below"), F.col("_r1"), "_r1"), pick(F.col("_r2") - F.col("_below"), F.col("_r2"), "_r2"))
-        bounds = materialize(bounds.where(~open_).unionByName(closer), "median-bounds")
+        bounds = materialize(bounds.where(~open_).unionByName(closer), "median-bounds", replaces=bounds)
     same = bounds.where(F.col("_lo") == F.col("_hi")).select(*by, F.col("_lo").alias("median"))
     left = join_groups(rows.where(F.col("_x").isNotNull()), bounds.where(F.col("_lo") != F.col("_hi")), by).where(between)
     nth = F.row_number().over(W.partitionBy(*by).orderBy("_x")) - 1

@@ -47,11 +47,12 @@ def spread(table: DataFrame) -> DataFrame:
     return table.repartition(cores) if table.rdd.getNumPartitions() <= min(cores, FEW_SPLITS) else table
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, replaces: DataFrame | None = None) -> DataFrame:
     """Write a frame as Parquet under the shared folder and read it back.
 
     Cuts the lineage like a checkpoint does, survives lost executors, and keeps column pruning and real size
-    statistics, so that Spark broadcasts the small ones by itself. The tables stay until the folder is cleared.
+    statistics, so that Spark broadcasts the small ones by itself. The tables stay until the folder is cleared, but for
+    `replaces`: a table of this function that nothing reads any more once the new one is written, as in a loop.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reviewlake/{label}-{uuid.uuid4().hex}"
@@ -59,4 +60,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    if replaces is not None and (old := getattr(replaces, "_written_to", None)):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
