@@ -7,7 +7,8 @@ documents comes last in all of them and seldom joins. Pairs that meet on a prefi
 positional filter there, and a suffix filter: both sets are cut at the same 256 places of the hash order, and the parts' sizes
 bound what they can share (the partition bound of Xiao et al., 2008). Every pair left is verified once on the whole sets.
 
-Texts stay where they are; postings travel packed by hash range. Texts with equal sets are one node, by 64-bit
+Texts stay where they are, but for those of pairs to verify: they travel compressed, a third of their sets' hashes or so,
+and are cut into n-grams again where they meet. Postings travel packed by hash range. Texts with equal sets are one node, by 64-bit
 signature; of a billion different sets, two share one with a probability of 3 %. Up to GROUP documents on an n-gram are paired all. Larger groups are linked along chains first, in several orders,
 and at last all their pairs whose members are in different components still are verified, so a large group of near
 copies costs a few passes and no pair of different components is left out. N-grams whose counts
@@ -43,6 +44,7 @@ HOT = 20_000
 BUCKET_ROWS = 400_000
 RANGE_BITS = 8
 CACHE_WORDS, KEPT_BYTES = 200_000, 64
+HELD_GRAMS = 1 << 20
 FEW_ROWS = 1_000_000
 FLUSH_ROWS = 500_000
 POSTING = np.dtype([("key", "<u8"), ("sig", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -306,8 +308,8 @@ def meet(packed: DataFrame, percent: int = PERCENT) -> DataFrame:
     return packed.groupBy("bucket", "salt").applyInArrow(run, "a long, b long, key long, n long, pos long, parts long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, grams) of the nodes. A Bloom filter of fixed size on doc_id, broadcast, spares the other texts most of the work."""
+def texts_of(docs: DataFrame, nodes: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sig, text) of the nodes, compressed, and the table they are read from. A Bloom filter of fixed size on doc_id, broadcast, spares the other texts most of the work."""
     spark = docs.sparkSession
     wanted = materialize(sigs.join(nodes, "sig", "left_semi").select("doc_id").where("doc_id is not null"), "jaccard-wanted")
 
@@ -337,7 +339,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame:
         bloom[row["block"]] = np.frombuffer(row["data"], np.uint8)
     shared = spark.sparkContext.broadcast(bloom.reshape(-1))
 
-    def sets(batches):
+    def texts(batches):
         hashes, bits = WordHashes(), shared.value
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
@@ -345,11 +347,11 @@ def sets_of(docs: DataFrame, nodes: DataFrame, sigs: DataFrame) -> DataFrame:
             keep = (bits[at >> 3] >> (7 - (at & 7)) & 1).reshape(3, -1).all(axis=0) | batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for text in batch.column(1).filter(pa.array(keep)).to_pylist():
                 if len(grams := shingle_set(text, hashes)):
-                    yield pa.RecordBatch.from_arrays([pa.array([signature(grams)]), pa.array([grams.astype("<u8").tobytes()], pa.binary())], ["sig", "grams"])
+                    yield pa.RecordBatch.from_arrays([pa.array([signature(grams)]), pa.array([zlib.compress(text.encode(), 1)], pa.binary())], ["sig", "data"])
 
-    found = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "sig long, grams binary"), "jaccard-sets")
+    found = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(texts, "sig long, data binary"), "jaccard-sets")
     # written before the shuffle, so that both sides of a join read one exchange; a set that several documents have is put together first
-    return found.join(nodes, "sig", "left_semi").dropDuplicates(["sig"])
+    return found.join(nodes, "sig", "left_semi").dropDuplicates(["sig"]), found
 
 
 def suffix_filter(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -370,22 +372,35 @@ def suffix_filter(pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) ->
 
 
 def verify(docs: DataFrame, pairs: DataFrame, sigs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of the pairs that link: suffix filter, then the whole sets."""
+    """(a, b) of the pairs that link: suffix filter, then the whole sets. The table of texts goes when they are found."""
     left = suffix_filter(pairs, sigs, percent)
     nodes = materialize(left.select(F.col("a").alias("sig")).union(left.select("b")).distinct(), "jaccard-nodes")
-    sets = sets_of(docs, nodes, sigs)
-    both = left.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("g_a")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("g_b")), "b")
+    texts, table = texts_of(docs, nodes, sigs)
+    side = lambda c: texts.select(F.col("sig").alias(c), F.col("data").alias(f"data_{c}"))
+    both = left.join(side("a"), "a").join(side("b"), "b")
 
     def make():
-        def one(a, b, g_a, g_b):
-            x, y = np.frombuffer(g_a, "<u8"), np.frombuffer(g_b, "<u8")
+        hashes, held, size = WordHashes(), {}, 0
+
+        def grams(sig, data):
+            nonlocal size
+            if sig not in held:
+                if size > HELD_GRAMS:
+                    held.clear()
+                    size = 0
+                held[sig] = shingle_set(zlib.decompress(data).decode(), hashes)
+                size += 100 + len(held[sig])
+            return held[sig]
+
+        def one(a, b, data_a, data_b):
+            x, y = grams(a, data_a), grams(b, data_b)
             shared = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * shared >= percent * (len(x) + len(y) - shared):
                 yield a, b
 
         return one
 
-    return map_rows(both.select("a", "b", "g_a", "g_b"), make, "a long, b long")
+    return materialize(map_rows(both.select("a", "b", "data_a", "data_b"), make, "a long, b long"), "jaccard-links", replaces=table)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -409,7 +424,7 @@ def joined(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFram
     # a member's part differs from key to key, so that parts of one group meet in others
     part_of = F.pmod(F.xxhash64(F.pmod("key", F.lit(8 * ORDERS)), "sig"), F.col("parts"))
     large = met.where("key is not null").select("key", F.col("a").alias("sig"), "n", "pos", "parts").withColumn("deal", part_of)
-    found = materialize(verify(docs, pairs, sigs, percent), "jaccard-links")
+    found = verify(docs, pairs, sigs, percent)
 
     def labelled() -> DataFrame:
         rows = large.join(part, "sig", "left").withColumn("component", F.coalesce("component", "sig"))

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -20,6 +21,30 @@ def classes(pairs):
     return sets, brute.components(ids, links)
 
 
+def test_texts_to_verify_are_small_and_do_not_stay(spark, monkeypatch):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    rows = []
+    for i in range(0, 60, 3):
+        base = [rng.choice(words) for _ in range(700)]
+        # 25 words on end replaced: linked; 150: not
+        rows += [(i + j, " ".join(base[:k] + [rng.choice(words) for _ in range(n)] + base[k + n :])) for j, (k, n) in enumerate([(0, 0), (90, 25), (300, 150)])]
+    written, write = [], jaccard.materialize
+
+    def seen(df, label, *args, **options):
+        out = write(df, label, *args, **options)
+        if label == "jaccard-sets":
+            path = Path(out._written_to.removeprefix("file://").removeprefix("file:"))
+            written.append((path, sum(f.stat().st_size for f in path.glob("*.parquet")), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", seen)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {i: i - (i % 3 == 1) for i in range(60)}
+    assert written and all(0 < size < 0.6 * 8 * 690 * n for _, size, n in written)
+    assert not any(path.exists() for path, _, _ in written)
+
+
 def test_jaccard_classes(docs, texts, empty, odd):
     sets, want = classes(texts)
     got = {r["doc_id"]: r for r in jaccard.jaccard_classes(docs).collect()}
