@@ -219,7 +219,8 @@ def scratch(t: Tables, name: str) -> str:
 def a1(t: Tables):
     """Written as CSV and read back with columns inferred."""
     path = scratch(t, "csv")
-    t.documents.select(F.col("doc_id").alias("App_ID"), F.replace("text", F.lit("\r"), F.lit("")).alias("Review_Text"), F.col("n_chars").alias("Score")).write.csv(path, header=True, escape='"')
+    rows = t.documents.select(F.col("doc_id").alias("App_ID"), F.replace("text", F.lit("\r"), F.lit("")).alias("Review_Text"), F.col("n_chars").alias("Score"))
+    rows.write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return S.with_logical_columns(S.scan_reviews(t.spark, path, "csv")).withColumn("review", F.md5("review"))
 
 

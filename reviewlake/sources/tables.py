@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,7 +24,10 @@ REQUIRED = ("appid", "review")
 
 
 def scan_reviews(spark: SparkSession, path: str, fmt: str | None = None, sep: str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text. The format follows the suffix; a folder is read whole. Zip archives are not read."""
+    """All columns as text. The format follows the suffix; a folder is read whole. Zip archives are not read.
+
+    In CSV an empty field is null and a quoted one is empty text; white space and control characters stay as they are.
+    """
     name = path.lower().removesuffix(".gz")
     fmt = fmt or ("parquet" if name.endswith(".parquet") else "tsv" if name.endswith(".tsv") else "csv")
     if name.endswith(".zip"):
@@ -32,7 +36,9 @@ def scan_reviews(spark: SparkSession, path: str, fmt: str | None = None, sep: st
         df = spark.read.parquet(path)
         return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     sep = sep or ("\t" if fmt == "tsv" else ",")
-    return spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding, multiLine=True, escape='"', quote='"')
+    # a null value that no text has: Spark takes equal texts for null, quoted or not; without the escape's escape, a NUL in quotes counts as one
+    kept = {"nullValue": uuid.uuid4().hex, "charToEscapeQuoteEscaping": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return spark.read.csv(path, header=True, inferSchema=False, sep=sep, encoding=encoding, multiLine=True, escape='"', quote='"', **kept)
 
 
 def infer_columns(df: DataFrame, overrides: dict[str, str] | None = None) -> dict[str, str]:
