@@ -97,44 +97,112 @@ def match_entities(a: DataFrame, b: DataFrame, key_a: str, name_a: str, key_b: s
     return hit.where(F.col(key_a).isNotNull()).groupBy(key_a).agg(F.min(key_b).alias(key_b))
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each place of b."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << i
+    full = free = (1 << len(b)) - 1
+    for c in a:
+        hit = free & at.get(c, 0)
+        free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
 
 
-def similarity(a: Column, b: Column) -> Column:
-    from pyspark.sql.types import DoubleType
+def _ratio(a: str, b: str) -> float:
+    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def _ratio_bound(a: str, b: str) -> float:
+    """The blocks that a ratio counts are one common subsequence, so that the longest one bounds it."""
+    return 1.0 if a == b else 2 * _common(a, b) / (len(a) + len(b))
+
+
+def _page_score(name: pd.Series, title: pd.Series, bare: pd.Series, plus: pd.Series, minus: pd.Series, bracket: pd.Series, least: pd.Series) -> pd.Series:
+    """The score where it can reach `least`, else null."""
+
+    def score(n: str, t: str, b: str, p: int, m: int, k: int, enough: float) -> float | None:
+        extra = p - m + k - enough + 1e-9
+        s = _ratio_bound(n, t)
+        if 4 * s + 2 * (s if t == b else _ratio_bound(n, b)) + extra < 0:
+            return None
+        s = _ratio(n, t)
+        return 4 * s + 2 * (s if t == b else _ratio(n, b)) + p - m + k
+
+    return pd.Series([score(*row) for row in zip(name, title, bare, plus, minus, bracket, least)], dtype="float64")
 
-    return F.pandas_udf(_ratio, DoubleType())(a, b)
+
+#: Names and titles of a word that meet in one group.
+BLOCK = 500
 
 
 def match_pages(entities: DataFrame, pages: DataFrame, entity: str, name: str, page: str, title: str, positive: list[str], negative: list[str], floor: float = 4.0) -> DataFrame:
-    """(entity, page, score): the best page among those that share the whole title or a title word of four letters and more.
+    """(entity, page, score): the best page among those that share a title word of four letters and more.
 
     A name without such a word meets the pages that share any word. Titles are compared in ASCII if both have a word
     of four ASCII letters or digits, else in letters of all scripts.
     score = 4 x title similarity + 2 x similarity without a trailing bracket + 2 for a positive term - 3 for a
     negative one + 1 for a bracket; the smaller page settles ties; below floor there is no match.
+
+    Titles that are compared alike are one row, and so are names. Titles equal to a name, with or without their bracket, are
+    scored first; then only titles whose terms and bracket leave room for a better score meet the name by a shared word.
     """
-    words = lambda c: F.split(c, " ")
-    longer = lambda c: F.filter(words(c), lambda w: F.length(w) >= 4)
-    long_words = lambda c: F.concat(longer(overlap_title(c)), longer(wide_title(c)))
-    all_words = lambda c: F.filter(words(wide_title(c)), lambda w: w != "")
-    whole = lambda c: F.filter(F.array(F.concat(F.lit("="), wide_title(c))), lambda w: w != "=")
-    name_keys = F.concat(whole(F.col(name)), F.when(F.size(long_words(F.col(name))) > 0, long_words(F.col(name))).otherwise(all_words(F.col(name))))
-    page_keys = F.concat(whole(F.col(title)), long_words(F.col(title)), all_words(F.col(title)))
-    left = entities.select(F.col(entity), F.col(name), F.explode(F.array_distinct(name_keys)).alias("_w"))
-    right = pages.select(F.col(page), F.col(title), F.explode(F.array_distinct(page_keys)).alias("_w"))
-    pairs = left.join(right, "_w").select(entity, name, page, title).distinct()
-    in_ascii = (F.size(longer(overlap_title(F.col(name)))) > 0) & (F.size(longer(overlap_title(F.col(title)))) > 0)
-    compared = lambda c: F.when(in_ascii, overlap_title(c)).otherwise(wide_title(c))
+    from pyspark.sql.types import DoubleType
+
+    spark = entities.sparkSession
+    scored = F.pandas_udf(_page_score, DoubleType())
+    longer = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 4)
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    in_ascii = lambda c: F.size(longer(F.col(c))) > 0
+    both = lambda c: F.concat(longer(F.col(c[0])), longer(F.col(c[1])))
+
+    named = entities.select(F.col(entity).alias("entity"), wide_title(F.col(name)).alias("wide"), overlap_title(F.col(name)).alias("plain"))
+    named = materialize(named.where("wide <> ''"), "pages-entities")
+    names = named.select("wide", "plain").distinct().withColumn("ascii", in_ascii("plain"))
+    names = names.withColumn("name", F.when(F.col("ascii"), F.col("plain")).otherwise(F.col("wide")))
+
     bare = F.regexp_replace(F.col(title), r"\s*\([^)]*\)$", "")
     says = lambda terms: F.lit(False) if not terms else F.lower(F.col(title)).rlike("|".join(terms))
-    score = (
-        4 * similarity(compared(F.col(name)), compared(F.col(title))) + 2 * similarity(compared(F.col(name)), compared(bare))
-        + F.when(says(positive), 2).otherwise(0) - F.when(says(negative), 3).otherwise(0) + F.when(F.col(title) != bare, 1).otherwise(0)
-    )
-    best = pairs.withColumn("score", score).groupBy(entity).agg(F.max(F.struct("score", (-F.col(page)).alias("p"))).alias("b"))
-    return best.where(F.col("b.score") >= floor).select(entity, (-F.col("b.p")).alias(page), "b.score")
+    extras = [F.when(says(positive), 2).otherwise(0).alias("plus"), F.when(says(negative), 3).otherwise(0).alias("minus"), F.when(F.col(title) != bare, 1).otherwise(0).alias("bracket")]
+    kinds = ["plus", "minus", "bracket"]
+    forms = {"t_wide": wide_title(F.col(title)), "t_plain": overlap_title(F.col(title)), "b_wide": wide_title(bare), "b_plain": overlap_title(bare)}
+    titles = pages.select(*[c.alias(n) for n, c in forms.items()], *extras, (-F.col(page)).alias("page")).where("t_wide <> ''")
+    titles = materialize(titles.groupBy(*forms, *kinds).agg(F.max("page").alias("page")), "pages-titles")
+
+    # equal ones: a name in ASCII only equals titles in ASCII; of titles that differ in other scripts only, the smallest page will do
+    as_plain = F.when(in_ascii("t_plain"), F.struct(F.lit(True).alias("ascii"), F.col("t_plain").alias("title"), F.col("b_plain").alias("bare")))
+    as_wide = F.struct(F.lit(False).alias("ascii"), F.col("t_wide").alias("title"), F.col("b_wide").alias("bare"))
+    alike = titles.select(F.explode(F.array(as_plain, as_wide)).alias("f"), *kinds, "page").where("f is not null").select("f.*", *kinds, "page")
+    alike = alike.groupBy("ascii", "title", "bare", *kinds).agg(F.max("page").alias("page")).withColumn("name", F.explode(F.array_distinct(F.array("title", "bare"))))
+    equal = alike.join(names.select("ascii", "name").distinct(), ["ascii", "name"]).withColumn("score", scored("name", "title", "bare", *kinds, F.lit(float("-inf"))))
+    equal = equal.groupBy("ascii", "name").agg(F.max(F.struct("score", "page")).alias("best"))
+    known = materialize(names.join(equal, ["ascii", "name"], "left").select("wide", "plain", "ascii", "best"), "pages-equal")
+
+    # others: their similarities are below 1
+    level = F.col("plus") - F.col("minus") + F.col("bracket")
+    levels = [r["level"] for r in titles.select(level.alias("level")).distinct().collect()]  # seven at most
+    least = F.greatest(F.lit(float(floor)), F.col("best.score"))
+    room = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x + 6 > F.col("least"))
+    of_name = F.when(F.size(both(("plain", "wide"))) > 0, both(("plain", "wide"))).otherwise(words(F.col("wide")))
+    of_title = F.concat(longer(F.col("t_plain")), words(F.col("t_wide")))
+    asked = known.withColumn("least", least).withColumn("level", F.explode(room)).withColumn("asks", F.array_distinct(of_name)).withColumn("word", F.explode("asks"))
+    posted = titles.withColumn("level", level).withColumn("holds", F.array_distinct(of_title)).withColumn("word", F.explode("holds"))
+    blocks = lambda df, n: df.groupBy("word", "level").agg(F.ceil(F.count("*") / BLOCK).alias(n))
+    blocks = blocks(asked, "n_of").join(blocks(posted, "t_of"), ["word", "level"])
+    at = ["word", "level", "n_block", "t_block"]
+    asked = asked.join(blocks, ["word", "level"]).withColumn("n_block", F.pmod(F.xxhash64("wide"), "n_of")).withColumn("t_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("t_of") - 1))).drop("n_of", "t_of", "best")
+    posted = posted.join(blocks, ["word", "level"]).withColumn("t_block", F.pmod(F.xxhash64(*forms, *kinds), "t_of")).withColumn("n_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_of") - 1))).drop("n_of", "t_of")
+    met = asked.join(posted.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *at), at)
+    plain = F.col("ascii") & in_ascii("t_plain")
+    pick = lambda a, b: F.when(plain, F.col(a)).otherwise(F.col(b))
+    met = met.select("wide", pick("plain", "wide").alias("name"), pick("t_plain", "t_wide").alias("title"), pick("b_plain", "b_wide").alias("bare"), *kinds, "page", "least", "word", "asks", "holds")
+    reach = lambda c: 2 * F.least(F.length("name"), F.length(c)) / (F.length("name") + F.length(c))
+    met = met.where(4 * reach("title") + 2 * reach("bare") + level + 1e-9 >= F.col("least")).where(F.col("word") == F.array_min(F.array_intersect("asks", "holds")))
+    near = met.withColumn("score", scored("name", "title", "bare", *kinds, "least")).where("score is not null").groupBy("wide").agg(F.max(F.struct("score", "page")).alias("best"))
+
+    best = known.where("best is not null").select("wide", "best").unionByName(near).groupBy("wide").agg(F.max("best").alias("best"))
+    found = named.join(best, "wide").groupBy("entity").agg(F.max("best").alias("best")).where(F.col("best.score") >= floor)
+    return found.select(F.col("entity").alias(entity), (-F.col("best.page")).alias(page), "best.score")
 
 
 def _pruned_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:

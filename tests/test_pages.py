@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import time
 
 from reviewlake.operators import merging as M
 
@@ -105,3 +106,58 @@ def test_copies_do_not_multiply(spark):
     assert len(got) == 300 and {(r["page"], r["score"], r["how"]) for r in got} == {(0, 8.0, "direct")}
     assert M.find_pages(a.limit(0), b, "id", "name", "page", "title", "extract", TERMS).count() == 0
     assert M.find_pages(a, b.limit(0), "id", "name", "page", "title", "extract", TERMS).count() == 0
+
+
+POSITIVE, NEGATIVE = [r"\(video game\)", "remaster"], ["film", "soundtrack"]
+
+
+def matched_by_hand(entities, pages, floor):
+    long_words = lambda t: {w for f in (ascii_words, all_words) for w in f(t).split() if len(w) >= 4}
+    out = {}
+    for entity, name in entities:
+        keys = long_words(name or "") or set(all_words(name or "").split())
+        for page, title in pages:
+            if not title or not keys & (long_words(title) | set(all_words(title).split())):
+                continue
+            bare = re.sub(r"\s*\([^)]*\)$", "", title)
+            f = ascii_words if all(any(len(w) >= 4 for w in ascii_words(x).split()) for x in (name, title)) else all_words
+            ratio = lambda t: difflib.SequenceMatcher(None, f(name), f(t)).ratio()
+            says = lambda terms: any(re.search(t, title.lower()) for t in terms)
+            score = 4 * ratio(title) + 2 * ratio(bare) + 2 * says(POSITIVE) - 3 * says(NEGATIVE) + (title != bare)
+            out[entity] = max(out.get(entity, (score, -page)), (score, -page))
+    return {e: (-p, s) for e, (s, p) in out.items() if s >= floor}
+
+
+def odd_titles(rng, n):
+    vocabulary = ["portal", "half", "life", "the", "of", "война", "игра", "été", "go", "stars", "starcraft", "crafting", "2", "ii", "film", "teauchâteau", "x" * 210]
+    plain = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 5)))
+    dressed = lambda t: rng.choice([t] * 4 + [t.title(), t + "!", f"{t} (video game)", f"{t} (1998)", f"{t}(a b)", f"({t})", f"{t} ()", f"{t} remaster", t + "s", t.replace("a", "e")])
+    base = [plain() for _ in range(n)]
+    return [dressed(rng.choice(base) if rng.random() < 0.7 else plain()) for _ in range(n)] + [None, "", "!!", "(video game)", "go", "x" * 210]
+
+
+def test_matches_are_those_of_a_plain_search(spark, monkeypatch):
+    for seed, n, floor, block in ((1, 90, 4.0, 500), (2, 90, 5.5, 7), (3, 60, 1.0, 3), (4, 60, -3.0, 2)):
+        monkeypatch.setattr(M, "BLOCK", block)
+        rng = random.Random(seed)
+        entities, pages = ([(i if i % 9 else 9, t) for i, t in enumerate(odd_titles(rng, n))] for _ in range(2))
+        a = spark.createDataFrame([(*e, 1.0, "x") for e in entities], "page long, name string, score double, wide string")
+        b = spark.createDataFrame([(*p, "n", 2) for p in pages], "page long, title string, name string, best long")
+        rows = M.match_pages(a.withColumnRenamed("page", "id"), b, "id", "name", "page", "title", POSITIVE, NEGATIVE, floor).collect()
+        assert {r["id"]: (r["page"], r["score"]) for r in rows} == matched_by_hand(entities, pages, floor)
+        assert len({r["id"] for r in rows}) == len(rows) > 0
+
+
+def test_matches_of_names_that_share_a_word_with_all(spark):
+    rng = random.Random(5)
+    names = [f"common {''.join(rng.choice('abcdefgh') for _ in range(40))}" for _ in range(3000)]
+    a = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    game = (1, names[5] + " (video game)")
+    b = spark.createDataFrame([*((i + 7, t) for i, t in enumerate(names)), game], "page long, title string")
+    want = {}
+    for i, t in enumerate(names):
+        want |= matched_by_hand([(i, t)], [(i + 7, t), game], 4.0)
+    start = time.monotonic()
+    got = {r["id"]: (r["page"], r["score"]) for r in M.match_pages(a, b, "id", "name", "page", "title", POSITIVE, NEGATIVE).collect()}
+    assert got == want and len({p for p, _ in got.values()}) > 2000
+    assert time.monotonic() - start < 100  # nine million pairs share the word; compared one by one they take longer
