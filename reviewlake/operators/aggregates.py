@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from reviewlake.operators.corpus import with_ordinal
 from reviewlake.operators.quantiles import join_groups, medians
@@ -50,10 +51,23 @@ def pivot_stats(values: DataFrame, key: str, metric: str, value: str, metrics: l
     return values.groupBy(key).pivot(metric, metrics).agg(*aggs)
 
 
+def exact_mean(c: Column) -> Column:
+    """The mean of doubles, whatever order and partitions their rows have, if ten decimals hold all of them; else the usual one.
+
+    Such numbers are added up and divided as decimals, so that a mean half way between two rounded values is not moved to one side
+    by errors of the sum.
+    """
+    short = c.try_cast("decimal(24,10)")
+    fits = F.bool_and(F.coalesce(short.cast("double") == c, c.isNull()))
+    mean = F.try_divide(F.try_sum(short).try_cast("decimal(24,10)"), F.count(c).cast("decimal(19,0)"))
+    return F.coalesce(F.when(fits, mean.cast("double")), F.avg(c))
+
+
 def mean_scores(df: DataFrame, key: str, dims: list[str], order: str, attributes: list[str], on_blank: str = "skip") -> DataFrame:
-    """Mean of each dimension by entity, samples, and attributes of the first row. on_blank='error' raises for null scores."""
+    """Mean of each dimension by entity, samples, and attributes of the first row by an order that should tell rows apart. on_blank='error' raises for null scores."""
     value = (lambda c: F.col(c)) if on_blank == "skip" else (lambda c: F.when(F.col(c).isNull(), F.raise_error(F.lit(f"blank {c}"))).otherwise(F.col(c)))
-    return df.groupBy(key).agg(*[F.avg(value(c)).alias(c) for c in dims], F.count("*").alias("samples"), *[F.min_by(c, order).alias(c) for c in attributes])
+    mean = lambda c: exact_mean(value(c)) if df.schema[c].dataType == DoubleType() else F.avg(value(c))
+    return df.groupBy(key).agg(*[mean(c).alias(c) for c in dims], F.count("*").alias("samples"), *[F.min_by(c, order).alias(c) for c in attributes])
 
 
 def by_dimension(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
